@@ -207,17 +207,19 @@ def split_packed(df: DataFrame, id_col: str, kinds: dict[str, str], scratch: Scr
     rows = rows.withColumns({"k1": F.xxhash64("kind", "text"), "k2": F.xxhash64(F.lit(7), "text", "kind")})
     texts = rows.groupBy("k1", "k2").agg(F.first("kind").alias("kind"), F.first("text").alias("text"))
     cand = scratch.put(texts.select("k1", "k2", "kind", "text").mapInArrow(_parse_batches, _CAND))
-    weigh = cand.select("kind", (1 / F.col("n_parses")).alias("w"), F.explode("items").alias("item"))
-    counts = weigh.groupBy("kind", "item").agg(F.sum("w").alias("w"))
-    # The texts with one parse only need no score; the others are scored value by value.
-    unknown = CHAR_BITS * F.length("item") + VALUE_BITS
-    open_ = cand.where("n_parses > 1").select("k1", "k2", "kind", "parse_no", "dialect", "bits", F.posexplode("items").alias("pos", "item"))
-    totals = counts.groupBy("kind").agg(F.sum("w").alias("total"))
-    coded = counts.join(totals, "kind").select("kind", "item", (F.log2(F.col("total") / F.col("w")) + unknown / F.greatest("w", F.lit(0.5))).alias("code"))
-    scored = open_.join(coded, ["kind", "item"], "left")
-    per = scored.groupBy("k1", "k2", "parse_no", "dialect", "bits").agg(F.sum(F.least(F.coalesce("code", unknown), unknown) + 1).alias("c"), F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("v"))
-    best = per.groupBy("k1", "k2").agg(F.min_by(F.struct("dialect", F.col("v.item").alias("items")), F.struct((F.col("bits") + F.col("c")).alias("cost"), "parse_no")).alias("b")).select("k1", "k2", "b.dialect", "b.items")
-    chosen = best.unionByName(cand.where("n_parses = 1").select("k1", "k2", "dialect", "items"))
+    # Values are counted and looked up by a 64-bit hash: a collision can only change a code length.
+    coded_items = lambda c: c.select("kind", "k1", "k2", "parse_no", "bits", "n_parses", F.explode("items").alias("item")).select("kind", "k1", "k2", "parse_no", "bits", (1 / F.col("n_parses")).cast("float").alias("w"), F.xxhash64("kind", "item").alias("h"), (CHAR_BITS * F.length("item") + VALUE_BITS).cast("float").alias("unknown"))
+    counts = coded_items(cand).groupBy("h", "kind").agg(F.sum("w").alias("w"))
+    total = {r["kind"]: r["total"] for r in counts.groupBy("kind").agg(F.sum("w").alias("total")).collect()}  # one row per kind
+    total_of = F.element_at(F.create_map(*[F.lit(x) for kv in (total or {"": 1.0}).items() for x in kv]), F.col("kind"))
+    known = counts.select("h", F.col("w").alias("seen"), F.log2(total_of / F.col("w")).alias("code"))
+    # The texts with one parse only need no score; the others are scored value by value, regrouped once.
+    open_ = coded_items(cand.where("n_parses > 1")).select("k1", "k2", "parse_no", "bits", "h", "unknown")
+    bits = F.least(F.col("code") + F.col("unknown") / F.greatest("seen", F.lit(0.5)), F.col("unknown")) + 1
+    scored = open_.join(known, "h").select("k1", "k2", F.col("parse_no").cast("short"), F.col("bits").cast("float"), bits.cast("float").alias("b"))
+    per = scored.repartition("k1", "k2").groupBy("k1", "k2", "parse_no").agg((F.max("bits") + F.sum("b")).alias("cost"))
+    best = per.groupBy("k1", "k2").agg(F.min(F.struct(F.round("cost", 3).alias("cost"), "parse_no")).alias("b")).select("k1", "k2", F.col("b.parse_no").cast("int").alias("parse_no"))
+    chosen = best.join(cand.where("n_parses > 1"), ["k1", "k2", "parse_no"]).select("k1", "k2", "dialect", "items").unionByName(cand.where("n_parses = 1").select("k1", "k2", "dialect", "items"))
     out = rows.select(id_col, "field_name", "k1", "k2").join(chosen, ["k1", "k2"])
     return out.select(id_col, "field_name", "dialect", F.posexplode("items").alias("pos", "item")).withColumn("pos", F.col("pos") + 1)
 
