@@ -134,6 +134,17 @@ def _single(raw: str) -> bool:
     return bool(raw) and not re.search(r'[\s"<>@():]', raw)
 
 
+_PROTECTED = re.compile(r'"(?:[^"\\]|""|\\.)*"|<[^<>]*>|\([^()]*\)', re.S)
+
+
+def _clean(raw: str) -> bool:
+    """One value: no delimiter outside quotes, brackets and comments but the comma of a bare Family, Given name."""
+    rest = _GROUP.sub("", _PROTECTED.sub("", raw)).strip()
+    if ";" in rest or "\n" in rest or rest.count("@") + raw.count("<") > 1:
+        return False
+    return "," not in rest or bool(re.fullmatch(r"[^\s,@]+,\s*[^\s,@]+", rest))
+
+
 def _values(raws: list[str]) -> list[str]:
     out = []
     for raw in raws:
@@ -152,12 +163,12 @@ def address_parses(text: str) -> list[tuple[str, float, list[str]]]:
     there = [d for d in ",;\n" if d in t]
     if not there:
         return [("whole", 1.0, _values([t]))]
-    out = [("whole", 1.0, _values([t.strip(",; \n")]) if len(_EMAIL.findall(t)) <= 1 else [t])]
+    out = [("whole", 1.0, _values([t.strip(",; \n")]) if _clean(t.strip(",; \n")) else [t])]
     for d in there:
         cut = _chunks(t, d + "\n" if d != "\n" else d)
         got = _joined(cut) if d == "," else [r for r, _ in cut]
-        # a value with several addresses is no value of this dialect: it stays as written and costs its length
-        out.append((_NAMES[d], 3.0, [x for r in got for x in (_values([r]) if len(_EMAIL.findall(re.sub(r'"[^"]*"', "", r))) <= 1 and not re.search(r'"\s*,|,\s*"', re.sub(r'^"(?:[^"]|"")*"$', "", r)) else [r])]))
+        # what this dialect leaves with a delimiter inside is no value: it stays as written and costs its marks
+        out.append((_NAMES[d], 3.0, [x for r in got for x in (_values([r]) if _clean(r) else [r])]))
     if len(there) > 1:
         out.append(("mixed", 5.0, _values(_joined(_chunks(t, ",;\n")))))
     return out
