@@ -69,3 +69,17 @@ def p9_selected(spark, d):
 def p9_shares(spark, d):
     t = table(spark, d, "mix_targets")
     return mixing.shares(mixing.mix(table(spark, d, "documents"), t), t)
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    from casebolt.llm import neardup
+
+    return neardup.found(table(spark, d, "documents"), table(spark, d, "mail_messages"))
+
+
+@query("p1_membership")
+def p1_membership(spark, d):
+    from casebolt.llm import neardup
+
+    return neardup.membership(table(spark, d, "documents"), table(spark, d, "mail_messages"))

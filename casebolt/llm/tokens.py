@@ -35,10 +35,11 @@ _FAST = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 
 
 @functools.cache
-def _slow() -> re.Pattern:
-    """Characters the two engines class differently: numbers that are no decimal digits, and separators that are no white space."""
-    odd = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")]
-    return re.compile("[" + "".join(map(re.escape, odd)) + "\x1c-\x1f\ud800-\udfff]")
+def _slow() -> tuple[re.Pattern, re.Pattern]:
+    """Characters the two engines class differently: numbers that are no decimal digits, and separators that are no white space.
+    Beyond the basic plane every character counts as one: a class of single characters is fast within it only."""
+    odd = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("No", "Nl", "Cs")]
+    return re.compile("[" + "".join(map(re.escape, odd)) + "\x1c-\x1f]"), re.compile("[\U00010000-\U0010ffff]")
 
 
 @functools.cache
@@ -49,7 +50,8 @@ def _exact():
 
 
 def words_of(text: str) -> list[str]:
-    return _exact().findall(text) if _slow().search(text) else _FAST.findall(text)
+    basic, beyond = _slow()
+    return _exact().findall(text) if beyond.search(text) or basic.search(text) else _FAST.findall(text)
 
 
 @functools.cache
