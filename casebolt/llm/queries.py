@@ -83,3 +83,17 @@ def p1_membership(spark, d):
     from casebolt.llm import neardup
 
     return neardup.membership(table(spark, d, "documents"), table(spark, d, "mail_messages"))
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    from casebolt.llm import names
+
+    return names.found(table(spark, d, "entity_identifiers"))
+
+
+@query("p3_entities")
+def p3_entities(spark, d):
+    from casebolt.llm import names
+
+    return names.entities(table(spark, d, "entity_identifiers"))
