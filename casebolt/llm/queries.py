@@ -97,3 +97,31 @@ def p3_entities(spark, d):
     from casebolt.llm import names
 
     return names.entities(table(spark, d, "entity_identifiers"))
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    from casebolt.llm import authored
+
+    return authored.found(table(spark, d, "mail_messages"))
+
+
+@query("p6_authored")
+def p6_authored(spark, d):
+    from casebolt.llm import authored
+
+    return authored.authored(table(spark, d, "mail_messages")).withColumn("removed", F.array_join("removed", ","))
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    from casebolt.llm import truncation
+
+    return truncation.found(table(spark, d, "documents"))
+
+
+@query("p10_rates")
+def p10_rates(spark, d):
+    from casebolt.llm import truncation
+
+    return truncation.rates(table(spark, d, "documents"))
