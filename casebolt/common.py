@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,12 @@ class Scratch:
                 hp.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs now; they would stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def total_cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
