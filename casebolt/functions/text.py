@@ -9,6 +9,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Chunk size, overlap and the zones in which a chunk end looks for a line end or a blank.
 CHUNK_SIZE, CHUNK_OVERLAP = 3200, 250
@@ -53,7 +54,7 @@ def tokens_of(text: str | None) -> list[str]:
     return _SPLIT.findall(fold(text)) if text else []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokenize(s):
     """Folded letter and digit runs, the units of keyword search."""
     return s.map(lambda x: tokens_of(x) if isinstance(x, str) else None)
@@ -69,7 +70,7 @@ def strip_html_text(source: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\xa0]*\n[ \t\xa0]*", "\n", re.sub(r"[ \t\xa0]+", " ", t.replace("\r", "")))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_html(s):
     """Text of HTML: scripts and styles removed, block ends as line ends, entities decoded."""
     return s.map(lambda x: strip_html_text(x) if isinstance(x, str) else None)

@@ -80,7 +80,7 @@ def rescan(stored: DataFrame, scanned: DataFrame) -> DataFrame:
     """State of every path after a scan: unchanged (same size and hash), changed, new, missing, renamed (the content of a missing
     path under a new one; each missing path serves once)."""
     j = stored.select("path", "hash", "size").withColumn("s", F.lit(1)).join(scanned.select("path", F.col("hash").alias("new_hash"), F.col("size").alias("new_size")).withColumn("n", F.lit(1)), "path", "full")
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("s").isNull(), "new").when((F.col("hash") <=> F.col("new_hash")) & (F.col("size") <=> F.col("new_size")), "unchanged").otherwise("changed")
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("s").isNull(), "new").when(F.col("hash").eqNullSafe(F.col("new_hash")) & F.col("size").eqNullSafe(F.col("new_size")), "unchanged").otherwise("changed")
     st = j.select("path", F.coalesce("new_hash", "hash").alias("hash"), state.alias("state"))
     number = lambda s: st.where(F.col("state") == s).where("hash is not null").withColumn("k", F.row_number().over(W.partitionBy("hash").orderBy("path")))
     moved = number("new").alias("a").join(number("missing").alias("b"), ["hash", "k"]).select(F.col("a.path").alias("path"), F.col("b.path").alias("from_path"))

@@ -47,3 +47,12 @@ def p7_normalised(spark, d):
 def p7_zone_estimates(spark, d):
     zones = table(spark, d, "account_zones").where("account is not null")
     return instants.estimate_zones(instants.gmail_evidence(table(spark, d, "gmail_metadata"), zones)).join(zones.select("account", "home_zone"), "account")
+
+
+def _add_core() -> None:
+    from casebolt import queries_core
+
+    Q.update(queries_core.Q)
+
+
+_add_core()
