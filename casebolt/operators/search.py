@@ -182,7 +182,7 @@ def occurrences(postings: DataFrame, t: Term) -> DataFrame:
         here = match(w, star)
         if star:
             here = here.groupBy("doc", "column").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-        shifted = here.select("doc", "column", F.transform("positions", lambda x, k=k: x - k).alias(f"p{k}"))
+        shifted = here.select("doc", "column", F.expr(f"transform(positions, x -> x - {k})").alias(f"p{k}"))
         got = shifted.withColumnRenamed("p0", "positions") if got is None else got.join(shifted, ["doc", "column"]).withColumn("positions", F.array_intersect("positions", f"p{k}")).drop(f"p{k}")
     return got.where(F.size("positions") > 0)
 
