@@ -17,24 +17,31 @@ def _value(c) -> Column:
     return F.trim(F.col(c) if isinstance(c, str) else c)
 
 
+def _head(c) -> Column:
+    """What is left of the trailing digits; a plain trim, cheaper than a pattern for each row."""
+    return F.rtrim(_value(c), F.lit("0123456789"))
+
+
+def digits(c) -> Column:
+    """The trailing digits, empty without any."""
+    return F.substring(_value(c), F.length(_head(c)) + 1, F.lit(64))
+
+
 def prefix(c) -> Column:
-    v = _value(c)
-    return F.when(v.rlike(PATTERN), F.upper(F.trim(F.regexp_extract(v, PATTERN, 1))))
+    return F.when(digits(c) != "", F.upper(F.trim(_head(c))))
 
 
 def width(c) -> Column:
-    v = _value(c)
-    return F.when(v.rlike(PATTERN), F.length(F.regexp_extract(v, PATTERN, 2)))
+    return F.nullif(F.length(digits(c)), F.lit(0))
 
 
 def number(c) -> Column:
-    v = _value(c)
-    return F.when(v.rlike(PATTERN), F.regexp_extract(v, PATTERN, 2)).try_cast("decimal(38,0)")
+    return digits(c).try_cast("decimal(38,0)")
 
 
 def series(c) -> Column:
     """Prefix and width in one key for equi-joins; null without one."""
-    return F.when(prefix(c).isNotNull(), F.concat(prefix(c), F.lit("#"), width(c)))
+    return F.concat(prefix(c), F.lit("#"), F.length(digits(c)))
 
 
 def contains(begin, end, query) -> Column:

@@ -52,24 +52,44 @@ def numbered(df: DataFrame, *keys) -> DataFrame:
     return ranged.join(sizes.select("_p", "_before"), "_p").withColumn("ordinal", F.coalesce("_before", F.lit(0)) + F.col("_r")).drop("_p", "_r", "_before")
 
 
+def points_in_spans(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(point, span) of points(point, series, n) inside spans(span, series, lo, hi), without comparing all of a series.
+
+    A span of length l lies in one or two buckets of size 2^k >= l, k its level; a point looks into its bucket of every level that
+    occurs (at most 63, collected). Numbers beyond 18 digits share one bucket of their series."""
+    level = lambda lo, hi: F.when(hi.isNotNull() & lo.isNotNull(), F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int")).otherwise(-1)
+    s = spans.withColumns({"_lo": F.col("lo").try_cast("long"), "_hi": F.col("hi").try_cast("long")}).where("lo <= hi")
+    s = s.withColumn("level", level(F.col("_lo"), F.col("_hi")))
+    at = lambda n: F.expr(f"cast(floor({n} / power(2, level)) as bigint)")
+    s = s.withColumn("bucket", F.explode(F.when(F.col("level") < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.array(at("_lo"), at("_hi"))))))
+    levels = sorted(r["level"] for r in s.select("level").distinct().collect())
+    if not levels:
+        return s.select(F.lit(None).cast("long").alias("point"), "span").limit(0)
+    p = points.withColumn("_n", F.col("n").try_cast("long")).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    p = p.withColumn("bucket", F.when(F.col("level") < 0, F.lit(-1).cast("long")).otherwise(at("_n")))
+    return p.join(s.select("series", "level", "bucket", "span", "lo", "hi"), ["series", "level", "bucket"]).where("n between lo and hi").select("point", "span").distinct()
+
+
 def link_production_families(rows: DataFrame) -> DataFrame:
-    """child -> parent by Bates spans: a document that lies in another's attachment span, the first parent in the text order of
-    (begin_bates, control_number, id), never itself. Equi-join on the series, range test on the numbers."""
+    """child -> parent by Bates spans: a document that meets another's attachment span, the first parent in the text order of
+    (begin_bates, control_number, id), never itself. Two spans meet where one holds the other's beginning."""
     p = rows.where("begin_attachment is not null").select(
         F.col("id").alias("parent"), F.col("begin_bates").alias("p_begin"), F.col("control_number").alias("p_control"), bates.series("begin_attachment").alias("series"),
         bates.series(F.coalesce("end_attachment", "begin_attachment")).alias("s2"), bates.number("begin_attachment").alias("lo"), bates.number(F.coalesce("end_attachment", "begin_attachment")).alias("hi"),
     ).where("series = s2")
     c = rows.select(F.col("id").alias("child"), bates.series("begin_bates").alias("series"), bates.number("begin_bates").alias("b"), bates.number(F.coalesce("end_bates", "begin_bates")).alias("e"))
-    j = c.join(p, "series").where("child <> parent and b <= hi and e >= lo")
+    a = points_in_spans(c.select(F.col("child").alias("point"), "series", F.col("b").alias("n")), p.select(F.col("parent").alias("span"), "series", "lo", "hi")).select(F.col("point").alias("child"), F.col("span").alias("parent"))
+    b = points_in_spans(p.select(F.col("parent").alias("point"), "series", F.col("lo").alias("n")), c.where("e > b").select(F.col("child").alias("span"), "series", F.col("b").alias("lo"), F.col("e").alias("hi"))).select(F.col("span").alias("child"), F.col("point").alias("parent"))
+    j = a.unionByName(b).where("child <> parent").join(p.select("parent", "p_begin", "p_control"), "parent")
     return j.groupBy("child").agg(F.min(F.struct("p_begin", "p_control", "parent")).alias("m")).select("child", F.col("m.parent").alias("parent"))
 
 
 def link_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, page_count, pages): page images whose number lies in the document's span, in order."""
-    d = docs.select("id", bates.series("begin_bates").alias("series"), bates.number("begin_bates").alias("lo"), bates.number(F.coalesce("end_bates", "begin_bates")).alias("hi"))
-    g = pages.select("image_path", bates.series("page_bates").alias("series"), bates.number("page_bates").alias("n"))
-    j = d.join(g, "series").where("n between lo and hi")
-    return j.groupBy("id").agg(F.count("*").alias("page_count"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "image_path"))), lambda x: x["image_path"]), ",").alias("pages"))
+    d = docs.select(F.col("id").alias("span"), bates.series("begin_bates").alias("series"), bates.number("begin_bates").alias("lo"), bates.number(F.coalesce("end_bates", "begin_bates")).alias("hi"))
+    g = pages.select(F.struct("image_path", bates.number("page_bates").alias("n")).alias("point"), bates.series("page_bates").alias("series"), bates.number("page_bates").alias("n"))
+    j = points_in_spans(g, d)
+    return j.groupBy(F.col("span").alias("id")).agg(F.count("*").alias("page_count"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("point.n", "point.image_path"))), lambda x: x["image_path"]), ",").alias("pages"))
 
 
 def next_attachment_numbers(docs: DataFrame) -> DataFrame:

@@ -15,20 +15,39 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebolt.functions.text import tokenize, tokens_of
+from casebolt.functions.text import tokens_of
 
 K1, B = 1.2, 0.75
 
 
+def _postings_of(columns: list[str]):
+    def run(batches):
+        for b in batches:
+            doc, column, term, tf, places = [], [], [], [], []
+            ids = b.column(0).to_pylist()
+            for name, texts in zip(columns, b.columns[1:]):
+                for i, text in zip(ids, texts.to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for k, w in enumerate(tokens_of(text)):
+                        at.setdefault(w, []).append(k)
+                    doc += [i] * len(at)
+                    column += [name] * len(at)
+                    term += at
+                    places += at.values()
+                    tf += map(len, at.values())
+            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(column, pa.string()), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["doc", "column", "term", "tf", "positions"])
+
+    return run
+
+
 def index(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Postings (doc, column, term, tf, positions) of the named text columns."""
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns])).alias("x")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), fields).select("doc", "x.*").where("text is not null")
-    words = rows.select("doc", "column", F.posexplode(tokenize("text")).alias("pos", "term"))
-    return words.groupBy("doc", "column", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """Postings (doc, column, term, tf, positions) of the named text columns; made row by row, without a shuffle."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), *[F.col(c).cast("string") for c in columns])
+    return rows.mapInArrow(_postings_of(columns), "doc long, column string, term string, tf long, positions array<int>")
 
 
 def lengths(postings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casebolt import adapters as A
-from casebolt.common import table
+from casebolt.common import Scratch, table
 from casebolt.functions import bates, identifiers, text
 from casebolt.operators import collection, conversations, entities, families, occurrences, runs, search
 from casebolt.plans.fields import Catalog
@@ -131,8 +131,13 @@ def _bm25_sql(terms: list[str], matched: str) -> str:
     return f"WITH {', '.join(ctes)}, m AS ({matched}) SELECT m.doc AS id, round(-({' + '.join(parts)}), 6) AS score FROM m JOIN ln ON ln.doc = m.doc CROSS JOIN st {joins}"
 
 
+def _index(spark, docs, ident, columns):
+    """Postings written once: every term, the lengths and the statistics read them instead of the texts."""
+    return Scratch(spark, "postings").put(search.index(docs, ident, columns))
+
+
 def _postings(spark, d):
-    return search.index(A.documents(spark, d), "id", ["text"])
+    return _index(spark, A.documents(spark, d), "id", ["text"])
 
 
 def _search(name: str, q: str, terms: list[str], matched: str, top: int | None = None):
@@ -164,7 +169,7 @@ def fts_near(spark, d):
 
 @query("fts_column", "SELECT doc_id AS id FROM documents WHERE list_contains(regexp_split_to_array(lower(strip_accents(file_name)), '[^\\p{L}\\p{N}]+'), 'docx') AND list_contains(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), 'audit')")
 def fts_column(spark, d):
-    p = search.index(A.documents(spark, d), "id", ["file_name", "text"])
+    p = _index(spark, A.documents(spark, d), "id", ["file_name", "text"])
     return search.matches(p, search.parse_query("file_name:docx AND text:audit")).select(F.col("doc").alias("id"))
 
 
@@ -178,7 +183,7 @@ def fts_plus_filter(spark, d):
 @query("search_chunks_capped")
 def search_chunks_capped(spark, d):
     ch = text.chunks(A.documents(spark, d)).withColumn("chunk", F.col("document_id") * 100000 + F.col("chunk_index"))
-    hits = search.rank(search.index(ch, "chunk", ["text_content"]), "audit OR ledger").withColumnRenamed("doc", "chunk").join(ch.select("chunk", "document_id", "chunk_index", "char_start", "char_end"), "chunk")
+    hits = search.rank(_index(spark, ch, "chunk", ["text_content"]), "audit OR ledger").withColumnRenamed("doc", "chunk").join(ch.select("chunk", "document_id", "chunk_index", "char_start", "char_end"), "chunk")
     capped = hits.withColumn("r", F.row_number().over(W.partitionBy("document_id").orderBy("score", "chunk_index"))).where("r <= 3").drop("r")
     return capped.orderBy("score", "chunk").limit(12).select("document_id", "chunk_index", "char_start", "char_end", F.round("score", 6).alias("score"))
 
@@ -187,7 +192,7 @@ def search_chunks_capped(spark, d):
 def search_documents_blended(spark, d):
     docs = A.documents(spark, d)
     ch = text.chunks(docs).withColumn("chunk", F.col("document_id") * 100000 + F.col("chunk_index"))
-    r = search.search_documents(search.index(docs, "id", ["file_name", "control_number"]), search.index(ch, "chunk", ["text_content"]), ch, "audit OR docx")
+    r = search.search_documents(_index(spark, docs, "id", ["file_name", "control_number"]), _index(spark, ch, "chunk", ["text_content"]), ch, "audit OR docx")
     return r.select(F.col("doc").alias("id"), F.round("score", 6).alias("score"))
 
 
