@@ -52,12 +52,14 @@ def canonical(pointers: DataFrame, scratch: Scratch | None = None, rounds: int =
         scratch.drop(cur)
         cur = nxt
         if not moved:
-            return cur.withColumnRenamed("to", "canonical_id")
-        if _ >= 40:
             break
-    # what still moves is on a cycle: its least member stands for it
-    ring = components(pointers.where("merged_into is not null").select("id", F.explode(F.array(F.least("id", "merged_into"), F.greatest("id", "merged_into"))).cast("string").alias("signal")), scratch)
-    return cur.join(ring, "id", "left").select("id", F.coalesce("component", "to").alias("canonical_id"))
+    # whoever does not end at an unmerged entity is on a cycle or leads to one: the least of them all stands for them
+    open_ends = pointers.where("merged_into is null").select(F.col("id").alias("to"))
+    lost = cur.join(open_ends, "to", "left_anti").select("id")
+    if lost.isEmpty():
+        return cur.withColumnRenamed("to", "canonical_id")
+    both = pointers.join(lost, "id", "left_semi").select("id", F.explode(F.array("id", "merged_into")).cast("string").alias("signal"))
+    return cur.join(components(both, scratch), "id", "left").select("id", F.coalesce("component", "to").alias("canonical_id"))
 
 
 def caches(entities: DataFrame, identifiers: DataFrame) -> DataFrame:

@@ -259,32 +259,37 @@ def inventory_counts(spark, d):
 
 
 # ---- Bates, families
+def _production(spark, d):
+    """The produced documents as a stored table: their Bates numbers are columns there, not expressions in every predicate."""
+    return Scratch(spark, "production").put(A.production(spark, d))
+
+
 @query("bates_point", "SELECT o_orderkey * 1000 AS id FROM orders WHERE 123456 BETWEEN o_orderkey * 100 AND o_orderkey * 100 + 99 UNION ALL SELECT DISTINCT l_orderkey * 1000 + l_linenumber FROM lineitem WHERE l_orderkey * 100 + l_linenumber = 123456")
 def bates_point(spark, d):
-    p = A.production(spark, d).withColumn("last", F.coalesce("end_attachment", "end_bates"))
+    p = _production(spark, d).withColumn("last", F.coalesce("end_attachment", "end_bates"))
     return p.where(bates.contains("begin_bates", F.col("last"), F.lit("ord000000123456"))).select("id")
 
 
 @query("bates_range_overlap", "SELECT DISTINCT l_orderkey * 1000 + l_linenumber AS id FROM lineitem WHERE l_orderkey * 100 + l_linenumber BETWEEN 100003 AND 110502 UNION SELECT o_orderkey * 1000 FROM orders WHERE o_orderkey * 100 BETWEEN 100003 AND 110502")
 def bates_range_overlap(spark, d):
     a, b = bates.parse_query("ORD000000100003 - ORD000000110502")
-    return A.production(spark, d).where(bates.overlaps("begin_bates", F.col("end_bates"), F.lit(a), F.lit(b))).select("id")
+    return _production(spark, d).where(bates.overlaps("begin_bates", F.col("end_bates"), F.lit(a), F.lit(b))).select("id")
 
 
 @query("bates_sort", "SELECT * FROM (SELECT o_orderkey * 1000 AS id, o_orderkey * 100 AS n FROM orders UNION ALL SELECT DISTINCT l_orderkey * 1000 + l_linenumber, l_orderkey * 100 + l_linenumber FROM lineitem) ORDER BY n, id LIMIT 100")
 def bates_sort(spark, d):
-    p = A.production(spark, d)
+    p = _production(spark, d)
     return collection.page(p, bates.order("begin_bates"), 1, 100).select("id", bates.number("begin_bates").cast("long").alias("n"))
 
 
 @query("production_family_link", "SELECT DISTINCT l_orderkey * 1000 + l_linenumber AS child, l_orderkey * 1000 AS parent FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def production_family_link(spark, d):
-    return families.link_production_families(A.production(spark, d))
+    return families.link_production_families(_production(spark, d))
 
 
 @query("page_image_link", "SELECT o_orderkey * 1000 AS id, count(*) AS page_count, string_agg('IMG' || l_linenumber, ',' ORDER BY l_linenumber) AS pages FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def page_image_link(spark, d):
-    p = A.production(spark, d)
+    p = _production(spark, d)
     pages = p.where("begin_attachment is null").select(F.col("begin_bates").alias("page_bates"), F.concat(F.lit("IMG"), (F.col("id") % 1000).cast("string")).alias("image_path"))
     docs = p.where("begin_attachment is not null").select("id", F.col("begin_attachment").alias("begin_bates"), F.col("end_attachment").alias("end_bates"))
     return families.link_pages(docs, pages)

@@ -82,10 +82,8 @@ def parse_rtf(data: bytes) -> str:
         elif not skip:
             if hexa:
                 out.append(bytes([int(hexa, 16)]).decode("cp1252", "replace") if not (m.start() == i and uc) else "")
-            elif sym in "\\{}":
-                out.append(sym)
-            elif sym == "~":
-                out.append(" ")
+            elif sym and sym in "\\{}~":
+                out.append(" " if sym == "~" else sym)
             elif plain:
                 out.append(plain[1:] if m.start() == i and plain[:1] == "?" else plain)
     return clean_text("".join(out))
