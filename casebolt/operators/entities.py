@@ -58,7 +58,7 @@ def canonical(pointers: DataFrame, scratch: Scratch | None = None, rounds: int =
     lost = cur.join(open_ends, "to", "left_anti").select("id")
     if lost.isEmpty():
         return cur.withColumnRenamed("to", "canonical_id")
-    both = pointers.join(lost, "id", "left_semi").select("id", F.explode(F.array("id", "merged_into")).cast("string").alias("signal"))
+    both = pointers.join(lost, "id", "left_semi").select("id", F.explode(F.array("id", "merged_into").cast("array<string>")).alias("signal"))
     return cur.join(components(both, scratch), "id", "left").select("id", F.coalesce("component", "to").alias("canonical_id"))
 
 
