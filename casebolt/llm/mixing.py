@@ -78,5 +78,6 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     g = chosen.groupBy("source").agg(F.count("*").alias("docs"), F.sum("repeats").cast("long").alias("copies"), F.sum(F.col("n_tokens") * F.col("repeats")).cast("long").alias("tokens"), F.max("repeats").alias("most_repeats"))
     t = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     j = t.join(g, "source", "left").fillna(0, ["docs", "copies", "tokens", "most_repeats"])
-    all_ = j.agg(F.sum("tokens").alias("all_tokens"))
-    return j.crossJoin(F.broadcast(all_)).select("source", "target_share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "tokens", "docs", "copies", "most_repeats", "max_repeats")  # one row
+    # one row per listed source, so one window holds them all
+    j = j.withColumn("all_tokens", F.sum("tokens").over(W.partitionBy(F.lit(1))))
+    return j.select("source", "target_share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "tokens", "docs", "copies", "most_repeats", "max_repeats")
