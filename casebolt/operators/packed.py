@@ -71,7 +71,7 @@ def label_parses(text: str) -> list[tuple[str, float, list[str]]]:
                 return [("json", 2.0, [y for x in got if (y := x.strip())])]
         except ValueError:
             pass
-        if "," not in t and t.count("[") == 1:
+        if t.count("[") == t.count("]") == 1:
             t = t[1:-1].strip()
     t = t.replace("\r\n", "\n").replace("\r", "\n")
     there = [d for d in _DELIMS if d in t]

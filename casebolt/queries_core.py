@@ -377,17 +377,24 @@ def sidecar_gap_fill(spark, d):
     return occurrences.gap_fill(A.mails(spark, d).select("id", "message_id", "subject", "author"), g, "message_id", ["subject", "author"]).select("id", "subject", "author")
 
 
-@query("rescan_states", """WITH a AS (SELECT doc_id, 'p/' || doc_id AS path, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0),
-b AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'q/' || doc_id ELSE 'p/' || doc_id END AS path, CASE WHEN doc_id % 7 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS hash FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 0),
-j AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'new' WHEN a.hash = b.hash THEN 'unchanged' ELSE 'changed' END AS state, coalesce(b.hash, a.hash) AS hash FROM a FULL JOIN b ON a.path = b.path),
-n AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM j WHERE state = 'new'), m AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM j WHERE state = 'missing'),
-mv AS (SELECT n.path, m.path AS from_path FROM n JOIN m USING (hash, k))
+_SEEN = """g AS (SELECT lower(rfc822messageid) AS path, arg_min(subject, meta_id) AS subject, arg_min(from_addr, meta_id) AS author FROM gmail_metadata WHERE rfc822messageid IS NOT NULL GROUP BY 1),
+m AS (SELECT lower(rfc822messageid) AS path, arg_min(subject, mail_id) AS subject, arg_min(from_addr, mail_id) AS author FROM mail_messages WHERE rfc822messageid IS NOT NULL GROUP BY 1)"""
+
+
+def _seen(spark, d, name: str, ident: str):
+    """The first record of each message id: what a store knows (sidecars) and what a scan finds (mails)."""
+    first = lambda c: F.min_by(c, ident).alias(c)
+    return table(spark, d, name).where("rfc822messageid is not null").groupBy(F.lower("rfc822messageid").alias("path")).agg(first("subject"), first("from_addr"))
+
+
+@query("rescan_states", f"""WITH {_SEEN}, a AS (SELECT path, CASE WHEN subject IS NOT NULL THEN sha256(subject) END AS hash FROM g), b AS (SELECT path, CASE WHEN subject IS NOT NULL THEN sha256(subject) END AS hash FROM m),
+j AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'new' WHEN a.hash IS NOT DISTINCT FROM b.hash THEN 'unchanged' ELSE 'changed' END AS state, coalesce(b.hash, a.hash) AS hash FROM a FULL JOIN b ON a.path = b.path),
+n AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM j WHERE state = 'new' AND hash IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM j WHERE state = 'missing' AND hash IS NOT NULL),
+mv AS (SELECT n.path, o.path AS from_path FROM n JOIN o USING (hash, k))
 SELECT j.path, CASE WHEN mv.from_path IS NOT NULL THEN 'renamed' ELSE j.state END AS state, mv.from_path FROM j LEFT JOIN mv ON mv.path = j.path WHERE j.path NOT IN (SELECT from_path FROM mv)""")
 def rescan_states(spark, d):
-    t = A.documents(spark, d).where("text is not null")
-    stored = t.where("id % 3 <> 0").select(F.concat(F.lit("p/"), "id").alias("path"), F.col("file_hash").alias("hash"), F.lit(1).alias("size"))
-    scanned = t.where("id % 4 <> 0").select(F.when(F.col("id") % 5 == 0, F.concat(F.lit("q/"), "id")).otherwise(F.concat(F.lit("p/"), "id")).alias("path"), F.when(F.col("id") % 7 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("file_hash")).alias("hash"), F.lit(1).alias("size"))
-    return occurrences.rescan(stored, scanned)
+    shape = lambda df: df.select("path", F.sha2("subject", 256).alias("hash"), F.lit(1).alias("size"))
+    return occurrences.rescan(shape(_seen(spark, d, "gmail_metadata", "meta_id")), shape(_seen(spark, d, "mail_messages", "mail_id")))
 
 
 @query("membership_cache", "SELECT document_id, CASE WHEN count(DISTINCT ds) = 1 THEN min(ds) END AS dataset_name FROM (SELECT doc_id AS document_id, source AS ds FROM documents UNION ALL SELECT doc_id, 'lang:' || lower(lang) FROM documents) WHERE ds IS NOT NULL GROUP BY 1")
@@ -422,14 +429,14 @@ def candidate_narrowing(spark, d):
     return occurrences.narrow(i, c, [["message_id"], ["message_id", "account", "subject"], ["account", "subject"]])
 
 
-@query("attachment_match", """WITH o AS (SELECT doc_id AS id, source AS parent_id, lower(file_name) AS name, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id % 2 = 0), n AS (SELECT doc_id AS id, source AS parent_id, lower(file_name) AS name, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id % 2 = 1),
+@query("attachment_match", """WITH o AS (SELECT meta_id AS id, lower(rfc822messageid) AS parent_id, lower(from_addr) AS name, sha256(account) AS hash FROM gmail_metadata WHERE rfc822messageid IS NOT NULL AND account IS NOT NULL), n AS (SELECT mail_id AS id, lower(rfc822messageid) AS parent_id, lower(from_addr) AS name, sha256(account) AS hash FROM mail_messages WHERE rfc822messageid IS NOT NULL AND account IS NOT NULL),
 o1 AS (SELECT *, row_number() OVER (PARTITION BY parent_id, name, hash ORDER BY id) AS k FROM o WHERE name IS NOT NULL), n1 AS (SELECT *, row_number() OVER (PARTITION BY parent_id, name, hash ORDER BY id) AS k FROM n WHERE name IS NOT NULL),
 p1 AS (SELECT o1.id AS old_id, n1.id AS new_id FROM o1 JOIN n1 USING (parent_id, name, hash, k)),
 o2 AS (SELECT *, row_number() OVER (PARTITION BY parent_id, hash ORDER BY id) AS k FROM o WHERE id NOT IN (SELECT old_id FROM p1)), n2 AS (SELECT *, row_number() OVER (PARTITION BY parent_id, hash ORDER BY id) AS k FROM n WHERE id NOT IN (SELECT new_id FROM p1))
 SELECT * FROM p1 UNION ALL SELECT o2.id, n2.id FROM o2 JOIN n2 USING (parent_id, hash, k)""")
 def attachment_match(spark, d):
-    t = A.documents(spark, d).where("text is not null and dataset_name is not null").select("id", F.col("dataset_name").alias("parent_id"), F.lower("file_name").alias("name"), F.col("file_hash").alias("hash"))
-    return occurrences.match_by_hash(t.where("id % 2 = 0"), t.where("id % 2 = 1"))
+    shape = lambda name, ident: table(spark, d, name).where("rfc822messageid is not null and account is not null").select(F.col(ident).alias("id"), F.lower("rfc822messageid").alias("parent_id"), F.lower("from_addr").alias("name"), F.sha2("account", 256).alias("hash"))
+    return occurrences.match_by_hash(shape("gmail_metadata", "meta_id"), shape("mail_messages", "mail_id"))
 
 
 # ---- conversations
@@ -595,9 +602,9 @@ def from_run_scope(spark, d):
 
 
 # ---- texts, streams, vectors
-@query("whitespace_normal_forms", "SELECT doc_id AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS inline, greatest(1, length(text) // 4) AS tokens FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x{00A0}\\x{0085}\\x0b\\x1c-\\x1f\\x{2000}-\\x{200B}\\x{2028}\\x{2029}\\x{3000}]')")
+@query("whitespace_normal_forms", "SELECT doc_id AS id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS inline, greatest(1, length(text) // 4) AS tokens FROM documents WHERE text IS NOT NULL")
 def whitespace_normal_forms(spark, d):
-    t = A.documents(spark, d).where("text is not null").where(~F.col("text").rlike("[\\u00A0\\u0085\\u000b\\u001c-\\u001f\\u2000-\\u200B\\u2028\\u2029\\u3000]"))
+    t = A.documents(spark, d).where("text is not null")
     return t.select("id", text.normalize_inline("text").alias("inline"), text.token_estimate("text").alias("tokens"))
 
 

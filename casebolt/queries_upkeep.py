@@ -8,7 +8,7 @@ from casebolt import adapters as A
 from casebolt.common import table
 from casebolt.functions import people, text
 from casebolt.operators import collection, conversations, families, runs, upkeep
-from casebolt.queries_core import _FAM, query  # the same registry
+from casebolt.queries_core import _FAM, _SEEN, _seen, query  # the same registry
 
 
 @query("membership_refresh", f"WITH {_FAM} SELECT f.id AS document_id, o_orderpriority AS dataset_name FROM fam f JOIN orders ON o_orderkey * 1000 = coalesce(f.parent_id, f.id)")
@@ -22,13 +22,9 @@ def message_content_hash(spark, d):
     return table(spark, d, "mail_messages").select(F.col("mail_id").alias("id"), upkeep.content_hash("subject", "from_addr", "text_body").alias("hash"))
 
 
-@query("load_file_states", """WITH a AS (SELECT control_number, lang, n_chars FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT control_number, lang, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 4 <> 0)
-SELECT coalesce(a.control_number, b.control_number) AS control_number, CASE WHEN b.control_number IS NULL THEN 'retired' WHEN a.control_number IS NULL THEN 'new' WHEN a.lang IS NOT DISTINCT FROM b.lang AND a.n_chars IS NOT DISTINCT FROM b.n_chars THEN 'unchanged' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.control_number = b.control_number""")
+@query("load_file_states", f"""WITH {_SEEN} SELECT coalesce(g.path, m.path) AS path, CASE WHEN m.path IS NULL THEN 'retired' WHEN g.path IS NULL THEN 'new' WHEN g.subject IS NOT DISTINCT FROM m.subject AND g.author IS NOT DISTINCT FROM m.author THEN 'unchanged' ELSE 'changed' END AS state FROM g FULL JOIN m ON g.path = m.path""")
 def load_file_states(spark, d):
-    t = table(spark, d, "documents")
-    stored = t.where("doc_id % 3 <> 0").select("control_number", "lang", "n_chars")
-    loaded = t.where("doc_id % 4 <> 0").select("control_number", "lang", F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"))
-    return upkeep.load_state(stored, loaded, "control_number", ["lang", "n_chars"])
+    return upkeep.load_state(_seen(spark, d, "gmail_metadata", "meta_id"), _seen(spark, d, "mail_messages", "mail_id"), "path", ["subject", "from_addr"])
 
 
 @query("delete_documents", f"WITH {_FAM}, s AS (SELECT o_orderkey * 1000 AS id FROM orders WHERE o_totalprice > 200000) SELECT id, CASE WHEN coalesce(parent_id, id) IN (SELECT id FROM s) THEN 'deleted' ELSE lifecycle_status END AS lifecycle_status FROM fam")
