@@ -14,6 +14,7 @@ import io
 import json
 import re
 import zipfile
+from datetime import timezone
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -206,7 +207,7 @@ def header_date(value: str | None) -> str | None:
         return None
     try:
         d = email.utils.parsedate_to_datetime(value)
-        return d.astimezone(__import__("datetime").timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") if d.tzinfo else d.strftime("%Y-%m-%dT%H:%M:%S")
+        return d.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") if d.tzinfo else d.strftime("%Y-%m-%dT%H:%M:%S")
     except (TypeError, ValueError):
         return value
 
