@@ -10,11 +10,16 @@ neighbourhoods of its subsets (then a segment counts two units: it matches with
 that share for each band by the least expected number of signatures under the guarantee.
 
 Signatures travel as packed bytes: per batch and bucket one row with 4-byte signatures and 2-byte row numbers, and for each row its
-id, size and a sketch of SKETCH_BITS one-bit min-hashes. A bucket finds equal signatures by sorting; a pair whose sketches agree in
-fewer bits than a pair at the threshold does but once in a million is no candidate. Groups of up to GROUP_MAX give all their pairs. A larger group (a text copied into a large part of the
-rows, or a common passage) gives no square of pairs: its members are tied to a common representative and to their neighbours in the
-orders of size and of content; such chains connect the copies, and all other pairs still meet in their further segments.
-Candidates of all buckets are de-duplicated, verified exactly on the full shingle sets, and the links are contracted into groups.
+id, size, a hash of its set and a sketch of SKETCH_BITS one-bit min-hashes. A bucket finds equal signatures by sorting; equal sets count
+once there, by their least id. A pair whose sketches agree in fewer bits than a pair at the threshold does but once in a million is no
+candidate. A signature of up to GROUP_MAX different sets gives all their pairs.
+
+The sets of larger groups (a common passage, a large family of edits) are signed once more, by single shingles, the rarest first: two
+sets at the threshold share at least ``t * n`` of the n shingles of either, so in any one order of all shingles their first common one
+is among the first ``n - ceil(t * n) + 1`` of both. The order is by frequency in a sample, so the shingles of common passages come last
+and are signatures only of texts that consist of them for the most part; these groups give all pairs that the sketches allow, of any
+size. No group is thinned, so every pair at the threshold is a candidate. Candidates of all buckets are de-duplicated, verified exactly
+on the full shingle sets, and the links and equal sets are contracted into groups.
 
 Texts with fewer than ``min_words`` words, empty and null ones take no part. Equal texts have similarity 1.
 """
@@ -35,10 +40,15 @@ from casebolt.common import Scratch, release
 from casebolt.llm.groups import contract
 
 THRESHOLD, SHINGLE, MIN_WORDS = 0.55, 3, 20
-#: Largest group of one signature that gives all its pairs.
+#: Largest group of one signature that gives its pairs in the first signing; the sets of larger ones are signed again.
 GROUP_MAX = 16
-#: Orders of content that chain the members of larger groups; the verified pairs of a group stay below (CHAINS + 2) a member.
-CHAINS = 8
+#: Groups of the second signing up to this size are worked off together, larger ones alone in blocks of BLOCK pairs.
+TOGETHER, BLOCK = 64, 2_000_000
+#: Candidates held before repeated ones are removed.
+HELD = 4_000_000
+#: Places of the filter of sets to sign again (a false hit is signed in vain); sets whose shingles are counted, or SAMPLE_SHARE of all
+#: if that is more; shingles with a known frequency, the most that is collected.
+PLACES, SAMPLE, SAMPLE_SHARE, FREQUENT = 1 << 22, 20_000, 1 / 8, 500_000
 #: Bits of the sketch that screens candidates (a multiple of 64, read in two steps), and the part of pairs at the threshold that
 #: each step may lose.
 SKETCH_BITS, FIRST_BITS, SKETCH_LOSS = 256, 128, 5e-7
@@ -128,6 +138,22 @@ def allocate(top: int, threshold: float, scarce: float = 4.0) -> tuple[int, floa
     return best[1], best[2]
 
 
+def rarest_first(sets: list[np.ndarray], threshold: float, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of the first n - ceil(threshold * n) + 1 shingles of all sets (sorted ones) in the order of ``count`` (of the
+    sorted shingles ``known``; others are rarer), then hash."""
+    n = np.array([len(s) for s in sets], np.int64)
+    tok, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    often = np.zeros(len(tok), _U)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
+        often = np.where(known[at] == tok, np.minimum(count[at], 65535), 0).astype(_U)
+    # stable: of equal keys the lesser shingle comes first in every set
+    order = np.argsort(row.astype(_U) << _U(48) | often << _U(32) | tok & _U(0xFFFFFFFF), kind="stable")
+    place = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
+    first = order[place < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)]
+    return _mix(tok[first] + _U(0x3B)), row[first]
+
+
 def _band_of(n: np.ndarray, tops: np.ndarray) -> np.ndarray:
     return np.searchsorted(tops, n)
 
@@ -197,17 +223,18 @@ def least_agreement(threshold: float, bits: int = SKETCH_BITS) -> int:
 
 
 # ---- signing
-def _sign(k: int, min_words: int, threshold: float, buckets: int):
+def _sign(signer, buckets: int, again: np.ndarray | None = None):
+    """Packs the signatures of sets(v, same, shingles); of those marked at their place in ``again`` only, if given."""
     bits = buckets.bit_length() - 1
 
-    def pack(ids: list[int], sets: list[np.ndarray]):
+    def pack(ids: list[int], same: list[int], sets: list[np.ndarray]):
         with np.errstate(over="ignore"):
-            sig, row = signatures(sets, threshold)
+            sig, row = signer(sets)
         bucket = (sig >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
         order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
         bucket, low, row = bucket[order], sig[order].astype(np.uint32), row[order].astype(np.uint16)
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
-        own, size = np.array(ids, np.int64), np.array([len(s) for s in sets], np.uint32)
+        own, size, equal = np.array(ids, np.int64), np.array([len(s) for s in sets], np.uint32), np.array(same, np.int64)
         with np.errstate(over="ignore"):
             sketch = sketches(sets)
         blobs, keep = [], []
@@ -217,32 +244,60 @@ def _sign(k: int, min_words: int, threshold: float, buckets: int):
                 at = np.zeros(len(own), np.uint16)
                 at[used] = np.arange(len(used))
                 keep.append(i)
-                blobs.append(np.array([len(used)], np.int64).tobytes() + own[used].tobytes() + low[a:b].tobytes() + size[used].tobytes() + sketch[used].tobytes() + at[row[a:b]].tobytes())
+                blobs.append(np.array([len(used)], np.int64).tobytes() + own[used].tobytes() + equal[used].tobytes() + low[a:b].tobytes() + size[used].tobytes() + sketch[used].tobytes() + at[row[a:b]].tobytes())
         return pa.record_batch([pa.array(keep, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
-        shingle = Shingler(k, min_words)
-        ids, sets, size = [], [], 0
+        ids, equal, sets, size = [], [], [], 0
         for b in batches:
-            for v, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingle(text)
-                if s is None:
+            for v, e, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if again is not None and not again[e & (PLACES - 1)]:
                     continue
                 ids.append(v)
-                sets.append(s)
-                size += len(s)
+                equal.append(e)
+                sets.append(np.frombuffer(s.as_py(), _U))
+                size += len(sets[-1])
                 if size > CHUNK_CHARS // 6 or len(ids) >= 60_000:
-                    yield pack(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield pack(ids, equal, sets)
+                    ids, equal, sets, size = [], [], [], 0
         if ids:
-            yield pack(ids, sets)
+            yield pack(ids, equal, sets)
 
     return run
 
 
+def _sampled(batches):
+    """shingle, n: how many of the sets hold it; counted by parts."""
+    held, size = [], 0
+
+    def count():
+        t, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(t.view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
+
+    for b in batches:
+        for s in b.column(0):
+            held.append(np.frombuffer(s.as_py(), _U))
+            size += len(held[-1])
+            if size > 2_000_000:
+                yield count()
+                held, size = [], 0
+    if held:
+        yield count()
+
+
+def _frequent(sets: DataFrame, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, sorted; in how many sets of a sample they are): at most FREQUENT of those in more than one."""
+    part = max(SAMPLE_SHARE, min(1.0, SAMPLE / max(1, n_sets)))
+    some = sets.where(F.pmod(F.xxhash64("same"), F.lit(1000)) < math.ceil(1000 * part)).select("shingles")
+    got = some.mapInArrow(_sampled, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    known, count = got.column(0).to_numpy().view(_U), got.column(1).to_numpy()
+    order = np.argsort(known)
+    return known[order], count[order].astype(np.uint32)
+
+
 # ---- candidates
-def _pairs(low: np.ndarray, rec: np.ndarray, size: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct candidate pairs (indices into ids) of one bucket."""
+def _pairs(low: np.ndarray, rec: np.ndarray, size: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float, most_sets: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct candidate pairs (indices into ids) of one bucket, and the members of groups above ``most_sets``, which give none."""
     key = low.astype(_U) << _U(32) | rec.astype(_U)
     key.sort()
     key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
@@ -251,11 +306,12 @@ def _pairs(low: np.ndarray, rec: np.ndarray, size: np.ndarray, ids: np.ndarray,
     new[1:] = low[1:] != low[:-1]
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(low)))
-    a, b = [], []
+    held, n_held = [], 0
     most_first, most = FIRST_BITS - least_agreement(threshold, FIRST_BITS), SKETCH_BITS - least_agreement(threshold)
     part = [np.ascontiguousarray(sketch[:, w]) for w in range(sketch.shape[1])]
 
     def add(x, y):
+        nonlocal held, n_held
         lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
         ok = lo >= threshold * hi - 1e-9
         x, y = x[ok], y[ok]
@@ -266,10 +322,16 @@ def _pairs(low: np.ndarray, rec: np.ndarray, size: np.ndarray, ids: np.ndarray,
                 ok = differ <= most_first
                 x, y, differ = x[ok], y[ok], differ[ok]
         ok = differ <= most
-        a.append(x[ok])
-        b.append(y[ok])
-
-    small = (length > 1) & (length <= GROUP_MAX)
+        x, y = x[ok], y[ok]
+        flip = ids[x] > ids[y]
+        held.append(np.where(flip, y, x) << 32 | np.where(flip, x, y))
+        n_held += len(x)
+        if n_held > HELD:
+            held = [np.unique(np.concatenate(held))]
+            n_held = len(held[0]) // 2  # so that many different pairs are not sorted again at every step
+
+    together = most_sets or TOGETHER
+    small = (length > 1) & (length <= together)
     if small.any():
         n_small, b_small = length[small], begin[small]
         left = np.repeat(n_small, n_small)  # places from here to the group's end
@@ -280,53 +342,69 @@ def _pairs(low: np.ndarray, rec: np.ndarray, size: np.ndarray, ids: np.ndarray,
             ok = left > d
             i, left = i[ok], left[ok]
             add(rec[i], rec[i + d])
-    for s, n in zip(begin[length > GROUP_MAX], length[length > GROUP_MAX]):
-        r = rec[s : s + n]
-        # the order of content begins at one of CHAINS places of the sketch, by the signature: a member meets several neighbours
-        hub = r[np.argmin(_mix(ids[r].view(_U)))]
-        add(np.full(n, hub), r)
-        place = int(low[s]) % CHAINS
-        bits, turn = part[place % len(part)][r], _U(place // len(part) * 29 % 64)
-        turned = bits << turn | bits >> (_U(64) - turn) if turn else bits
-        for order in (np.argsort(size[r], kind="stable"), np.argsort(turned, kind="stable")):
-            add(r[order[:-1]], r[order[1:]])
-    x, y = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    x, y = x.astype(np.int64), y.astype(np.int64)
-    flip = ids[x] > ids[y]
-    x, y = np.where(flip, y, x), np.where(flip, x, y)
-    key = np.unique(x.astype(np.int64) << 32 | y.astype(np.int64))
-    x, y = key >> 32, key & 0xFFFFFFFF
-    ok = ids[x] != ids[y]
-    return x[ok], y[ok]
-
-
-def _match(threshold: float):
+    if most_sets:
+        large = np.unique(rec[np.repeat(length > together, length)])
+    else:
+        large = np.zeros(0, np.int64)
+        for s, n in zip(begin[length > together].tolist(), length[length > together].tolist()):
+            r = rec[s : s + n]
+            r = r[np.argsort(size[r], kind="stable")]
+            columns = [column[r] for column in part[: FIRST_BITS // 64]]
+            end = np.searchsorted(size[r], size[r] / threshold + 1e-6, side="right")  # sets too large for a partner begin here
+            i = 0
+            while i < n:
+                j = min(n, i + max(1, BLOCK // (n - i)))
+                e = int(end[j - 1])
+                differ = np.zeros((j - i, e - i), np.uint16)
+                for c in columns:
+                    differ += np.bitwise_count(c[i:j, None] ^ c[None, i:e])
+                x, y = np.nonzero(differ <= most_first)
+                ok = y > x
+                add(r[i + x[ok]], r[i + y[ok]])
+                i = j
+    key = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+    return key >> 32, key & 0xFFFFFFFF, large
+
+
+def _match(threshold: float, most_sets: int | None):
+    """(a, b) of the candidates; for a set of a group above ``most_sets`` a row with the hash of the set as a, and b null."""
+
     def bucket(blobs):
-        low, rec, size, ids, sketch, n_ids = [], [], [], [], [], 0
+        low, rec, size, ids, same, sketch, n_ids = [], [], [], [], [], [], 0
         words_ = SKETCH_BITS // 32
         for blob in blobs:
             n = int(np.frombuffer(blob, np.int64, 1)[0])
-            k = (len(blob) - 8 - n * (12 + 4 * words_)) // 6
+            k = (len(blob) - 8 - n * (20 + 4 * words_)) // 6
             at = 8
             ids.append(np.frombuffer(blob, np.int64, n, at))
-            low.append(np.frombuffer(blob, np.uint32, k, at + 8 * n))
-            at += 8 * n + 4 * k
+            same.append(np.frombuffer(blob, np.int64, n, at + 8 * n))
+            at += 16 * n
+            low.append(np.frombuffer(blob, np.uint32, k, at))
+            at += 4 * k
             size.append(np.frombuffer(blob, np.uint32, n, at).astype(np.int64))
             sketch.append(np.frombuffer(blob[at + 4 * n : at + 4 * n + 4 * words_ * n], _U).reshape(n, words_ // 2))
             rec.append(np.frombuffer(blob, np.uint16, k, at + 4 * n + 4 * words_ * n).astype(np.uint32) + np.uint32(n_ids))
             n_ids += n
         blobs.clear()
-        low, rec, size, ids, sketch = map(np.concatenate, (low, rec, size, ids, sketch))
+        low, rec, size, ids, same, sketch = map(np.concatenate, (low, rec, size, ids, same, sketch))
+        # equal sets sign alike, so all of them are here: the least id stands for them
+        order = np.lexsort((ids, same))
+        new = np.append(True, same[order][1:] != same[order][:-1])
+        stands = np.empty(len(ids), np.uint32)
+        stands[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        rec = stands[rec]
         bits = max(0, math.ceil(math.log2(len(low) / AT_ONCE))) if len(low) else 0
         of = (low >> np.uint32(32 - bits)).astype(np.uint16) if bits else None
-        found = []
+        found, again = [], []
         for k in range(1 << bits):
             here = slice(None) if of is None else np.flatnonzero(of == k)
             with np.errstate(over="ignore"):
-                x, y = _pairs(low[here], rec[here], size, ids, sketch, threshold)
+                x, y, large = _pairs(low[here], rec[here], size, ids, sketch, threshold, most_sets)
             found.append(np.stack([ids[x], ids[y]]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            again.append(large)
+        pairs, again = np.unique(np.concatenate(found, axis=1), axis=1), same[np.unique(np.concatenate(again))]
+        a, b = np.concatenate([pairs[0], again]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(again), pa.int64())])
+        return pa.record_batch([pa.array(a), b], names=["a", "b"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -348,8 +426,9 @@ def _sets(k: int, min_words: int):
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if (s := shingle(text)) is not None:
                     v.append(i)
-                    t.append(s)
-            yield pa.record_batch([pa.array(v, pa.int64()), pa.array([s.tobytes() for s in t], pa.binary())], names=["v", "shingles"])
+                    t.append(s.tobytes())
+            same = np.array([xxhash.xxh3_64_intdigest(s) for s in t], _U).view(np.int64)
+            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(same), pa.array(t, pa.binary())], names=["v", "same", "shingles"])
 
     return run
 
@@ -375,31 +454,58 @@ def _common(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[at] == p).sum())
 
 
-def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(a, b, similarity) of verified pairs, a < b, from texts(v long, text). Enough of them to connect every group; all of them
-    outside groups larger than GROUP_MAX."""
-    texts = texts.where(F.char_length("text") >= 2 * min_words - 1).select("v", "text")
-    chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    buckets = 1 << max(3, math.ceil(math.log2(max(1, chars / 6 * 1.4 / PER_BUCKET))))
-    signed = texts.mapInArrow(_sign(k, min_words, threshold, buckets), "bucket int, blob binary")
+def _candidates(sets: DataFrame, signer, n_signatures: float, threshold: float, most_sets: int | None, again: np.ndarray | None = None) -> DataFrame:
+    buckets = 1 << max(3, math.ceil(math.log2(max(1, n_signatures / PER_BUCKET))))
+    signed = sets.mapInArrow(_sign(signer, buckets, again), "bucket int, blob binary")
     placed = signed.repartitionById(buckets, F.col("bucket")) if hasattr(signed, "repartitionById") else signed.repartition(buckets, "bucket")
-    pairs = scratch.put(placed.mapInArrow(_match(threshold), "a long, b long").distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    return placed.mapInArrow(_match(threshold, most_sets), "a long, b long").distinct()
+
+
+def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: int = SHINGLE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """From texts(v long, text): (a, b, similarity) of all verified pairs of different sets, a < b, each set under the least v that has
+    it; and (v, one), the least v with the same set, of every text that takes part."""
+    texts = texts.where(F.char_length("text") >= 2 * min_words - 1).select("v", "text")
+    sets = scratch.put(texts.mapInArrow(_sets(k, min_words), "v long, same long, shingles binary"))
+    n_sets, n_shingles = sets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)) / 8).first()
+    first = scratch.put(_candidates(sets, functools.partial(signatures, threshold=threshold), n_shingles * 1.6, threshold, GROUP_MAX))
     release(texts.sparkSession)
-    sets = scratch.put(texts.join(ends, "v", "left_semi").mapInArrow(_sets(k, min_words), "v long, shingles binary"))
-    of = lambda end: sets.select(F.col("v").alias(end), F.col("shingles").alias("shingles" + end))
+    pairs = first.where("b is not null")
+    places = first.where("b is null").select(F.col("a").bitwiseAND(PLACES - 1).alias("place")).distinct().toArrow().column(0).to_numpy()
+    second = None
+    if len(places):
+        again = np.zeros(PLACES, bool)
+        again[places] = True
+        known, count = _frequent(sets, n_sets)
+        signer = functools.partial(rarest_first, threshold=threshold, known=known, count=count)
+        second = scratch.put(_candidates(sets, signer, n_shingles * (1 - threshold), threshold, None, again))
+        pairs = pairs.unionByName(second).distinct()
+        release(texts.sparkSession)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    some = scratch.put(sets.join(ends, "v", "left_semi").select("v", "shingles"))
+    low = sets.groupBy("same").agg(F.min("v").alias("one"))
+    copies = scratch.put(sets.select("v", "same").join(low, "same").select("v", "one"))
+    scratch.drop(sets)
+    of = lambda end: some.select(F.col("v").alias(end), F.col("shingles").alias("shingles" + end))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "shinglesa", "shinglesb")
     out = scratch.put(both.mapInArrow(_verify(threshold), "a long, b long, similarity double"))
-    scratch.drop(pairs, sets)
+    scratch.drop(first, some, *([second] if second is not None else []))
     release(texts.sparkSession)
-    return out
+    return out, copies
 
 
 def groups(texts: DataFrame, scratch: Scratch, **kw) -> DataFrame:
-    """(v, root, links) of every text with a partner: its group and how many verified links it has."""
-    got = links(texts, scratch, **kw)
-    degree = got.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
-    return contract(got, scratch).join(degree, "v")
+    """(v, root, links) of every text with a partner: its group and how many texts it is linked to directly, copies of one set
+    included."""
+    return _grouped(*links(texts, scratch, **kw), scratch)
+
+
+def _grouped(got: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    edges = got.select("a", "b").unionByName(copies.where("v <> one").select(F.col("one").alias("a"), F.col("v").alias("b")))
+    weight = copies.groupBy("one").agg(F.count("*").alias("n"))
+    both = got.select("a", "b").unionByName(got.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(weight.withColumnRenamed("one", "b"), "b").groupBy(F.col("a").alias("one")).agg(F.sum("n").alias("others"))
+    degree = copies.join(weight.join(others, "one", "left").select("one", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links")), "one")
+    return contract(edges, scratch).join(degree.select("v", "links"), "v")
 
 
 def _both_kinds(documents: DataFrame, mail: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -411,19 +517,14 @@ def _named(c: str):
 
 
 def membership(documents: DataFrame, mail: DataFrame, scratch: Scratch | None = None, **kw) -> DataFrame:
-    """record_kind, record_id, group_id (smallest id of the group), links: one row per record that has a partner of its kind."""
+    """record_kind, record_id, group_id (smallest id of the group), links (number of records at the threshold or above, equal ones
+    included): one row per record that has a partner of its kind."""
     scratch = scratch or Scratch(documents.sparkSession, "neardup")
-    d, m = _both_kinds(documents, mail)
-    got = links_of_kinds(d, m, scratch, **kw)
-    degree = got.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
-    roots = scratch.put(contract(got, scratch))
+    (d, d_copies), (m, m_copies) = (links(x, scratch, **kw) for x in _both_kinds(documents, mail))
+    roots = scratch.put(_grouped(d.unionByName(m), d_copies.unionByName(m_copies), scratch))
     low = roots.groupBy("root").agg(F.min("v").alias("low"))
     kind, rid = _named("v")
-    return roots.join(low, "root").join(degree, "v").select(kind.alias("record_kind"), rid.alias("record_id"), F.shiftright("low", 1).alias("group_id"), "links")
-
-
-def links_of_kinds(d: DataFrame, m: DataFrame, scratch: Scratch, **kw) -> DataFrame:
-    return links(d, scratch, **kw).unionByName(links(m, scratch, **kw))
+    return roots.join(low, "root").select(kind.alias("record_kind"), rid.alias("record_id"), F.shiftright("low", 1).alias("group_id"), "links")
 
 
 def found(documents: DataFrame, mail: DataFrame) -> DataFrame:

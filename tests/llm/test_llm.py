@@ -72,6 +72,64 @@ def test_neardup_equals_brute_force(spark):
     assert want and got == want
 
 
+def test_hot_neardup_equals_brute_force(spark):
+    rng = random.Random(11)
+    # 1,200 texts are two thirds one of three passages, similar to some others only just; a text in a third of the rows; near-copies
+    passages = [[rng.choice(VOC) for _ in range(62)] for _ in range(3)]
+    texts = [(i, " ".join(passages[i % 3] + [rng.choice(VOC) for _ in range(rng.randrange(20, 33))])) for i in range(1200)]
+    base = [rng.choice(VOC) for _ in range(90)]
+    texts += [(2000 + k, " ".join(base).upper() if k % 2 else " ".join(base)) for k in range(600)]
+    texts += [(3000 + k, " ".join(edited(rng, base, 6))) for k in range(40)]
+    # equal sets once, and only pairs with a common word sequence
+    sets, same, holds = {}, defaultdict(list), defaultdict(list)
+    for i, t in texts:
+        same[frozenset(shingles(t))].append(i)
+    for s, members in same.items():
+        for x in s:
+            holds[x].append(members[0])
+        sets[members[0]] = s
+    linked = {(m[0], m[0]) for m in same.values()} | {(a, b) for a in sets for b in {b for x in sets[a] for b in holds[x]} if len(sets[a] & sets[b]) >= 0.55 * len(sets[a] | sets[b])}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = defaultdict(int)
+    for a, b in linked:
+        root[find(b)] = find(a)
+        for i in same[frozenset(sets[a])]:
+            want[i] += len(same[frozenset(sets[b])]) - (a == b)
+    want = {i: n for i, n in want.items() if n}
+    groups_ = defaultdict(list)
+    for s, m in same.items():
+        groups_[find(m[0])] += m
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = neardup.membership(d, spark.createDataFrame([], "mail_id long, text_body string")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.group_id].append(r.record_id)
+    assert sorted(sorted(m) for m in by.values()) == sorted(sorted(m) for m in groups_.values() if len(m) > 1)
+
+
+def test_rarest_first_keeps_the_guarantee():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 2**63, 50).astype(np.uint64))
+    count = rng.integers(2, 90, len(known))
+    for _ in range(300):
+        common = np.concatenate([known[: rng.integers(0, len(known))], rng.integers(0, 2**63, 20).astype(np.uint64)])
+        n = len(common)
+        more = int(n / 0.55) - n  # the largest union at the threshold
+        left = int(rng.integers(0, more + 1))
+        x, y = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k).astype(np.uint64)])) for k in (left, more - left))
+        with np.errstate(over="ignore"):
+            sig, row = neardup.rarest_first([x, y], 0.55, known, count)
+        assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+
+
 def test_allocation_keeps_the_guarantee():
     for top in neardup.bands(0.55, 5000):
         m, share = neardup.allocate(top, 0.55)
