@@ -107,6 +107,7 @@ def test_hot_neardup_equals_brute_force(spark):
         groups_[find(m[0])] += m
     d = spark.createDataFrame(texts, "doc_id long, text string")
     rows = neardup.membership(d, spark.createDataFrame([], "mail_id long, text_body string")).collect()
+    assert {r.record_id: r.links for r in rows} == want
     by = defaultdict(list)
     for r in rows:
         by[r.group_id].append(r.record_id)
