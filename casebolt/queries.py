@@ -46,7 +46,8 @@ def p7_normalised(spark, d):
 @query("p7_zone_estimates")
 def p7_zone_estimates(spark, d):
     zones = table(spark, d, "account_zones").where("account is not null")
-    return instants.estimate_zones(instants.gmail_evidence(table(spark, d, "gmail_metadata"), zones)).join(zones.select("account", "home_zone"), "account")
+    got = instants.zone_estimates(table(spark, d, "gmail_metadata"), table(spark, d, "mail_messages"), zones)
+    return got.join(zones.select("account", "home_zone"), "account")
 
 
 def _add_core() -> None:

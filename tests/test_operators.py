@@ -23,17 +23,19 @@ def utc(spark, value, zone="America/New_York", day_order="mdy"):
     return r[0]["utc_text"]
 
 
-@pytest.mark.parametrize(
-    "value, want",
-    [
-        ("2021-11-07 01:30", "2021-11-07T05:30:00.000000Z"), ("2021-03-14 02:30:00", "2021-03-14T07:30:00.000000Z"), ("03/04/2021 1:02 pm", "2021-03-04T18:02:00.000000Z"), ("12/31/19 12:05:07 AM", "2019-12-31T05:05:07.000000Z"),
-        ("D:20120423124409+02'00'", "2012-04-23T10:44:09.000000Z"), ("1406922959", "2014-08-01T19:55:59.000000Z"), ("1365132918187", "2013-04-05T03:35:18.187000Z"), ("Fri, 24 Dec 2021 22:06:53 GMT", "2021-12-24T22:06:53.000000Z"),
-        ("5 Nov 2017 01:43:09 CDT", "2017-11-05T06:43:09.000000Z"), ("2018-07-24T21:15:35+01:00[Europe/London]", "2018-07-24T20:15:35.000000Z"), ("20221028T075859Z", "2022-10-28T07:58:59.000000Z"), ("May 17, 2019 at 8:33 PM", "2019-05-18T00:33:00.000000Z"),
-        ("2021-02-30 10:00", None), ("0000-00-00 00:00:00", None), ("2021-05-06", None), ("10:11:12", None), ("n/a", None), ("", None), (None, None), ("13/13/2020 10:00:00", None),
-    ],
-)
-def test_instants(spark, value, want):
-    assert utc(spark, value) == want
+INSTANTS = [
+    ("2021-11-07 01:30", "2021-11-07T05:30:00.000000Z"), ("2021-03-14 02:30:00", "2021-03-14T07:30:00.000000Z"), ("03/04/2021 1:02 pm", "2021-03-04T18:02:00.000000Z"), ("12/31/19 12:05:07 AM", "2019-12-31T05:05:07.000000Z"),
+    ("D:20120423124409+02'00'", "2012-04-23T10:44:09.000000Z"), ("1406922959", "2014-08-01T19:55:59.000000Z"), ("1365132918187", "2013-04-05T03:35:18.187000Z"), ("Fri, 24 Dec 2021 22:06:53 GMT", "2021-12-24T22:06:53.000000Z"),
+    ("5 Nov 2017 01:43:09 CDT", "2017-11-05T06:43:09.000000Z"), ("2018-07-24T21:15:35+01:00[Europe/London]", "2018-07-24T20:15:35.000000Z"), ("20221028T075859Z", "2022-10-28T07:58:59.000000Z"), ("May 17, 2019 at 8:33 PM", "2019-05-18T00:33:00.000000Z"),
+    ("2021-02-30 10:00", None), ("0000-00-00 00:00:00", None), ("2021-05-06", None), ("10:11:12", None), ("n/a", None), ("", None), (None, None), ("13/13/2020 10:00:00", None),
+]
+
+
+def test_instants(spark):
+    z = spark.createDataFrame([("a", "America/New_York", "mdy")], ZONES)
+    g = spark.createDataFrame([(i, "a", value, None, None, None, None) for i, (value, _) in enumerate(INSTANTS)], GMAIL)
+    r = instants.normalise_instants(g, spark.createDataFrame([], MAIL), z).where("field_name = 'datesent'").collect()
+    assert {x["record_id"]: x["utc_text"] for x in r} == {i: want for i, (_, want) in enumerate(INSTANTS)}
 
 
 def test_instants_without_zone(spark):
@@ -42,11 +44,60 @@ def test_instants_without_zone(spark):
     assert instants.found(spark.createDataFrame([], GMAIL), spark.createDataFrame([], MAIL), spark.createDataFrame([], ZONES)).count() == 0
 
 
+def estimated(spark, rows, accounts=("x",)):
+    """Segments from (account, sent, received, loaded)."""
+    g = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "meta_id long, account string, datesent string, datereceived string, loaded_at timestamp")
+    z = spark.createDataFrame([(a, None, "dmy") for a in accounts] + [("other", "Europe/Berlin", "dmy"), ("third", "America/New_York", "mdy"), ("fourth", "Asia/Tokyo", "dmy")], ZONES)
+    m = spark.createDataFrame([], "mail_id long, account string, date_created string, ingested_at timestamp")
+    return g, m, z, sorted(tuple(r) for r in instants.zone_estimates(g, m, z, z.where("home_zone is null")).collect())
+
+
 def test_zone_estimate(spark):
-    rows = [(i, "x", f"2020-0{1 + i % 9}-10 12:00:00", f"2020-0{1 + i % 9}-10T{'11' if i % 9 in (0, 1, 2) else '10'}:00:30Z", None, None, None) for i in range(18)]
-    g = spark.createDataFrame(rows, GMAIL)
-    e = instants.estimate_zones(instants.gmail_evidence(g, spark.createDataFrame([("x", None, "dmy")], ZONES))).collect()
-    assert e[0]["estimated_zone"] == "Europe/Berlin" and e[0]["violations"] <= 2
+    rows = [("x", f"2020-0{1 + i % 9}-10 12:00:00", f"2020-0{1 + i % 9}-10T{'11' if i % 9 in (0, 1, 2) else '10'}:00:30Z", None) for i in range(18)]
+    got = estimated(spark, rows)[-1]
+    assert len(got) == 1 and got[0][1] == "Europe/Berlin" and got[0][4] <= 2
+
+
+def test_zone_estimate_of_a_zone_nobody_states(spark):
+    rows = [("x", f"2020-{1 + i % 12:02}-{1 + i:02} 12:00:00", f"2020-{1 + i % 12:02}-{1 + i:02}T06:15:20Z", None) for i in range(24)]
+    assert [r[1] for r in estimated(spark, rows)[-1]] == ["Asia/Kathmandu"]
+
+
+def test_zone_estimate_of_an_account_that_moved(spark):
+    day = lambda i: f"20{18 + i // 12}-{1 + i % 12:02}-15"
+    rows = [("x", f"{day(i)} 12:00:00", f"{day(i)}T{'03' if i < 18 else '16' if 3 <= 1 + i % 12 - 1 <= 9 else '17'}:00:20Z", None) for i in range(36) for _ in range(5)]
+    g, m, z, got = estimated(spark, rows + [("x", "2018-02-01 12:00", None, None), ("x", "2020-12-20 12:00", None, None)])
+    assert [(r[1], r[2] is None, r[3] is None) for r in sorted(got, key=lambda r: r[2] or 0)] == [("Asia/Tokyo", True, False), ("America/New_York", False, True)]
+    utc = {r["raw_text"]: r["utc_text"] for r in instants.normalise_instants(g, m, z).where("field_name = 'datesent' and zone_basis = 'estimated'").collect()}
+    assert utc["2018-02-01 12:00"] == "2018-02-01T03:00:00.000000Z" and utc["2020-12-20 12:00"] == "2020-12-20T17:00:00.000000Z"
+
+
+def test_zone_estimate_by_load_time(spark):
+    """Only zones west of the ones in which a value would follow its own load remain."""
+    rows = [("x", f"2020-06-{1 + i:02} 12:00:00", None, datetime(2020, 6, 1 + i, 3, 1)) for i in range(20)]
+    assert estimated(spark, rows)[-1] == []
+    rows += [("x", "2020-06-21 12:00:00", "2020-06-21T03:00:30Z", None)] * 2
+    got = estimated(spark, rows)[-1]
+    assert len(got) == 1 and got[0][4] == 0 and got[0][5] == 2
+
+
+def test_no_zone_estimate_from_contradictions(spark):
+    rows = [("x", f"2020-06-{1 + i:02} 12:00:00", f"2020-06-{1 + i:02}T{i:02}:00:30Z", None) for i in range(20)]
+    rows += [("x", f"2020-07-{1 + i:02}T{i:02}:00:30Z", f"2020-07-{1 + i:02} 12:00:00", None) for i in range(20)]
+    g, m, z, got = estimated(spark, rows)
+    assert got == [] and instants.normalise_instants(g, m, z).where("zone_basis = 'estimated'").count() == 0
+
+
+def test_instants_plan_stays_small(spark):
+    g = spark.createDataFrame([], GMAIL)
+    df = instants.found(g, spark.createDataFrame([], MAIL), spark.createDataFrame([], ZONES))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 50_000
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation,org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation")
+    try:
+        df = instants.found(g, spark.createDataFrame([], MAIL), spark.createDataFrame([], ZONES))
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
 
 
 def test_packed(spark):
