@@ -78,3 +78,17 @@ def consolidate(dedupe_keys: DataFrame, merge_blocks: DataFrame, scratch: Scratc
     vertices = k.select("v").unionByName(e.select(F.explode(F.array("a", "b")).alias("v")))
     g = label(vertices, edges, scratch)
     return g.select(F.when(F.col("v").bitwiseAND(1) == 0, "document").otherwise("entity").alias("record_kind"), F.shiftright("v", 1).alias("record_id"), F.shiftright("group_id", 1).alias("group_id"))
+
+
+#: Members of a group that one task pairs with the whole group.
+PAIR_PART = 2_000
+
+
+def pairs_within(members: DataFrame, keys: list[str], v: str, left: str, right: str) -> DataFrame:
+    """(keys, left, right) of all pairs left < right of each group; for case lists that ask for every pair. A large group's left members
+    are spread over parts, each of which meets a copy of the group, so the pairs of a group of any size come from many tasks."""
+    size = members.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_PART).cast("int").alias("_parts"))
+    m = members.join(size.where("_parts > 1"), keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    a = m.select(*keys, F.pmod(F.xxhash64(v), F.col("_parts")).cast("int").alias("_part"), F.col(v).alias(left))
+    b = m.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col(v).alias(right))
+    return a.join(b, [*keys, "_part"]).where(F.col(left) < F.col(right)).select(*keys, left, right)

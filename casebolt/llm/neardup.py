@@ -5,21 +5,25 @@ has its own number of segments m. A hash spreads the shingle universe over the m
 Two sets that reach the threshold differ in at most H = (1-t)/(1+t) * (|X|+|Y|) shingles, and each differing shingle spoils at most
 one segment. A set with more than H non-empty segments therefore shares at least one whole non-empty segment with every partner.
 The subsets of the non-empty segments are the signatures; a set signs in its own band and, if it can have a larger partner there,
-in the next one. Where exact subsets alone would need more signatures, a leading share of the segments also gets the one-deletion
-neighbourhoods of its subsets (then a segment counts two units: it matches with up to one difference). ``allocate`` chooses m and
-that share for each band by the least expected number of signatures under the guarantee.
-
-Signatures travel as packed bytes: per batch and bucket one row with 4-byte signatures and 2-byte row numbers, and for each row its
-id, size, a hash of its set and a sketch of SKETCH_BITS one-bit min-hashes. A bucket finds equal signatures by sorting; equal sets count
-once there, by their least id. A pair whose sketches agree in fewer bits than a pair at the threshold does but once in a million is no
-candidate. A signature of up to GROUP_MAX different sets gives all their pairs.
-
-The sets of larger groups (a common passage, a large family of edits) are signed once more, by single shingles, the rarest first: two
-sets at the threshold share at least ``t * n`` of the n shingles of either, so in any one order of all shingles their first common one
-is among the first ``n - ceil(t * n) + 1`` of both. The order is by frequency in a sample, so the shingles of common passages come last
-and are signatures only of texts that consist of them for the most part; these groups give all pairs that the sketches allow, of any
-size. No group is thinned, so every pair at the threshold is a candidate. Candidates of all buckets are de-duplicated, verified exactly
-on the full shingle sets, and the links and equal sets are contracted into groups.
+in the next one. A leading share of the segments may also get the one-deletion neighbourhoods of its subsets; such a segment is
+spoiled by two differing shingles only, so fewer and larger segments do.
+
+``options`` lists the (m, share) that keep the guarantee. Which one a band uses is decided by cost over all sets: one segment in SLICE
+(at least one) is signed under every option, and the signatures and the pairs they would bring together are counted (``measure``). Where
+shingles are rare, small exact segments are cheapest; where many sets hold the same passages, larger segments with neighbourhoods are.
+
+Equal sets are signed once. Signatures travel as packed bytes, six a signature however many buckets there are: per chunk of sets and
+bucket the number of the chunk's first set, 4-byte signatures and 2-byte distances from that number. A bucket finds equal signatures by
+sorting. Those of up to GROUP_MAX sets give all their pairs. The sets of larger groups are signed once more, by single shingles, the
+rarest first: two sets at the threshold share at least ``t * n`` of the n shingles of either, so in any one order of all shingles their
+first common one is among the first ``n - ceil(t * n) + 1`` of both. The order is by counts over all these sets, in SLOTS counters, so
+the shingles of common passages come last and are signatures only of texts that consist of them for the most part. Groups of more than
+TOGETHER sets are worked off in blocks of BLOCK sets against BLOCK sets, spread over the executors. No group is thinned, so every pair at
+the threshold is a candidate.
+
+Candidates are screened by sketches of SKETCH_BITS one-bit min-hashes, made for the sets of candidates only: a pair whose sketches agree in
+fewer bits than a pair at the threshold does but once in a million is dropped. The rest is verified exactly on the full shingle sets
+(40-bit hashes), and the links and equal sets are contracted into groups.
 
 Texts with fewer than ``min_words`` words, empty and null ones take no part. Equal texts have similarity 1.
 """
@@ -33,33 +37,39 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebolt.common import Scratch, release
-from casebolt.llm.groups import contract
+from casebolt.llm.groups import contract, pairs_within
 
 THRESHOLD, SHINGLE, MIN_WORDS = 0.55, 3, 20
 #: Largest group of one signature that gives its pairs in the first signing; the sets of larger ones are signed again.
 GROUP_MAX = 16
-#: Groups of the second signing up to this size are worked off together, larger ones alone in blocks of BLOCK pairs.
-TOGETHER, BLOCK = 64, 2_000_000
+#: Groups of the second signing up to this size give their pairs in their bucket, larger ones in blocks of so many sets.
+TOGETHER, BLOCK = 64, 2_000
 #: Candidates held before repeated ones are removed.
 HELD = 4_000_000
-#: Places of the filter of sets to sign again (a false hit is signed in vain); sets whose shingles are counted, or SAMPLE_SHARE of all
-#: if that is more; shingles with a known frequency, the most that is collected.
-PLACES, SAMPLE, SAMPLE_SHARE, FREQUENT = 1 << 22, 20_000, 1 / 8, 500_000
-#: Bits of the sketch that screens candidates (a multiple of 64, read in two steps), and the part of pairs at the threshold that
-#: each step may lose.
-SKETCH_BITS, FIRST_BITS, SKETCH_LOSS = 256, 128, 5e-7
-#: Signatures a bucket should hold: sets the number of buckets from the amount of text. A bucket is worked off in PASSES ranges of
+#: Counters of the order by frequency.
+SLOTS = 1 << 20
+#: Bits of the sketch that screens candidates (a multiple of 64), and the part of pairs at the threshold that it may lose.
+SKETCH_BITS, SKETCH_LOSS = 256, 1e-6
+#: Signatures a bucket should hold: sets the number of buckets from the amount of text. A bucket is worked off in ranges of
 #: signatures of at most AT_ONCE, so its working memory does not grow with it.
-PER_BUCKET, AT_ONCE = 12_000_000, 2_000_000
-#: Characters handled at once by a worker.
-CHUNK_CHARS = 6_000_000
+PER_BUCKET, AT_ONCE = 8_000_000, 2_000_000
+#: Shingles handled at once by a worker; sets a chunk can number.
+CHUNK, CHUNK_SETS = 1_000_000, 65_536
+#: One segment in so many is measured for each option; the cost of a candidate pair in signatures.
+SLICE, PAIR_COST = 256, 20.0
+#: Set numbers that are broadcast at most (8 bytes each); beyond, the join is shuffled.
+BROADCAST_IDS = 1_000_000
+#: Equal sets a worker remembers.
+REMEMBERED = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
+_MASK = _U((1 << 40) - 1)
 
 
 def words(text: str) -> list[str]:
@@ -104,6 +114,19 @@ class Shingler:
             return np.unique(_mix(s))
 
 
+# ---- packed sets
+def packed(shingles: np.ndarray) -> bytes:
+    """Sorted distinct 40-bit values, five bytes each."""
+    return shingles.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view(_U).ravel()
+
+
 # ---- bands and allocation
 def bands(threshold: float, largest: int) -> list[int]:
     """Upper sizes of the bands, up to one that holds ``largest``."""
@@ -114,224 +137,228 @@ def bands(threshold: float, largest: int) -> list[int]:
 
 
 @functools.cache
-def allocate(top: int, threshold: float, scarce: float = 4.0) -> tuple[int, float]:
-    """(m, share): segments of the band with largest size ``top`` and the share of them with one-deletion neighbourhoods.
+def options(top: int, threshold: float, scarce: float = 4.0) -> list[tuple[int, float]]:
+    """(m, share): numbers of segments of the band with largest size ``top``, each with the least share of segments with one-deletion
+    neighbourhoods that keeps the guarantee.
 
     The units of a set of n shingles (1 for a non-empty segment, 2 for one of the share with two or more shingles) must exceed
-    its H with ``scarce`` standard deviations to spare, at the top of the band where the bound is tightest. Cost: signatures."""
+    its H with ``scarce`` standard deviations to spare, at the top of the band where the bound is tightest."""
     need = (1 - threshold) / (1 + threshold) * 2 * top + 1
-    best = None
-    for step in range(2, 40):
-        m = max(8, int(top * step / 8))
+    out = []
+    for ratio in (0.36, 0.42, 0.5, 0.62, 0.8, 1.0, 1.25, 1.6, 2.2, 3.0, 4.5):
+        m = max(8, int(top * ratio))
         lam = top / m
         p1, p2 = 1 - math.exp(-lam), 1 - math.exp(-lam) * (1 + lam)
-        more = lam - lam * math.exp(-lam)  # shingles of a segment that has two or more
         for tenth in range(11):
             share = tenth / 10
             units = m * (p1 + share * p2)
             spread = (1 + share) * math.sqrt(m * math.exp(-lam) * (1 - (1 + lam) * math.exp(-lam)))  # of occupied cells
             if units - scarce * spread >= need:
-                cost = m * (p1 + share * more)
-                if best is None or cost < best[0]:
-                    best = (cost, m, share)
+                out.append((m, share))
                 break
-    return best[1], best[2]
+        if out and out[-1][1] == 0:
+            break  # more segments only add signatures
+    return out
+
+
+def _place(sets: list[np.ndarray], threshold: float):
+    n = np.array([len(s) for s in sets], np.int64)
+    tops = np.array(bands(threshold, int(math.floor(n.max() / threshold)) + 1), np.int64)
+    tok = np.concatenate(sets)
+    return n, tops, np.searchsorted(tops, n), np.repeat(np.arange(len(sets)), n), _mix(tok + _U(0x51)), _mix(tok + _U(0xA7))
+
+
+def _segments(row, place, value, m, two, g, limit=None):
+    """(signature, row) of the segments of each row's m, those below ``two`` with neighbourhoods; of the first ``limit`` segments only,
+    if given."""
+    seg = ((place >> _U(32)) * m[row].astype(_U) >> _U(32)).astype(np.int64)
+    if limit is not None:
+        keep = seg < limit[row]
+        row, seg, value = row[keep], seg[keep], value[keep]
+        width = limit
+    else:
+        width = m
+    start = np.concatenate([[0], np.cumsum(width)])
+    at = start[row] + seg
+    total = np.zeros(start[-1], _U)
+    np.add.at(total, at, value)
+    count = np.bincount(at, minlength=int(start[-1]))
+    full = np.flatnonzero(count)
+    seg_row = np.repeat(np.arange(len(m)), width)[full]
+    salt = lambda segs, rows: segs.astype(_U) * _U(0xD6E8FEB86659FD93) + (g[rows].astype(_U) << _U(40))
+    sig, who = [_mix(total[full] + salt(full - start[seg_row], seg_row))], [seg_row]
+    d = (seg < two[row]) & (count[at] > 1)
+    if d.any():
+        sig.append(_mix(total[at[d]] - value[d] + salt(seg[d], row[d])))
+        who.append(row[d])
+    return np.concatenate(sig), np.concatenate(who)
+
+
+def signatures(sets: list[np.ndarray], threshold: float, plan: dict[int, tuple[int, float]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of all sets under the plan {top of a band: (m, share)}; bands without one use their last option."""
+    n, tops, band, row_of, place, value = _place(sets, threshold)
+    plan = plan or {}
+    spec = [plan.get(t) or options(t, threshold)[-1] for t in tops.tolist()]
+    of_m, of_two = np.array([s[0] for s in spec]), np.array([s[0] * s[1] for s in spec])
+    sig, row = [], []
+    for up in (0, 1):
+        g = band + up
+        # a larger partner in the next band exists only if n / threshold reaches beyond this band's top
+        take = np.ones(len(n), bool) if up == 0 else np.floor(n / threshold) > tops[band]
+        g = np.where(take, g, 0)
+        use = take[row_of]
+        x, y = _segments(row_of[use], place[use], value[use], np.where(take, of_m[g], 0), of_two[g], g)
+        sig.append(x)
+        row.append(y)
+    return np.concatenate(sig), np.concatenate(row)
+
+
+def _measured(threshold: float):
+    """(top, choice, signature, n): in how many sets of a chunk a signature of the measured segments is, for every option of their bands."""
+
+    def count(sets):
+        n, tops, band, row_of, place, value = _place(sets, threshold)
+        choices = [options(t, threshold) for t in tops.tolist()]
+        out = []
+        for up in (0, 1):
+            take = np.ones(len(n), bool) if up == 0 else np.floor(n / threshold) > tops[band]
+            g = np.where(take, band + up, 0)
+            most = np.array([max(max(1, m // SLICE) / m for m, _ in c) for c in choices])
+            near = take[row_of] & (place >> _U(32) < ((most[g] * 2**32).astype(_U) + _U(2))[row_of])
+            row, p, v = row_of[near], place[near], value[near]
+            for k in range(max(map(len, choices))):
+                m = np.array([c[k][0] if k < len(c) else 0 for c in choices])
+                two = np.array([c[k][0] * c[k][1] if k < len(c) else 0 for c in choices])
+                limit = np.where(take & (m[g] > 0), np.maximum(1, m[g] // SLICE), 0)
+                sig, who = _segments(row, p, v, m[g], two[g], g, limit)
+                out.append((g[who], np.full(len(sig), k), sig, who))
+        g, k, sig, who = (np.concatenate(x) for x in zip(*out))
+        # a set counts once for a signature
+        _, first = np.unique(_mix(sig + k.astype(_U)) * _U(0x9E3779B97F4A7C15) + who.astype(_U), return_index=True)
+        key, at, c = np.unique(sig[first] ^ _mix(k[first].astype(_U) + _U(1)), return_index=True, return_counts=True)
+        return pa.record_batch([pa.array(tops[g[first][at]], pa.int32()), pa.array(k[first][at], pa.int32()), pa.array(key.view(np.int64)), pa.array(c, pa.int64())], names=["top", "choice", "signature", "n"])
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for sets in _chunks(batches):
+                yield count(sets[1])
+
+    return run
 
 
-def rarest_first(sets: list[np.ndarray], threshold: float, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of the first n - ceil(threshold * n) + 1 shingles of all sets (sorted ones) in the order of ``count`` (of the
-    sorted shingles ``known``; others are rarer), then hash."""
+def _chunks(batches):
+    """(numbers, sets) of rows (n, shingles), up to CHUNK shingles, with numbers that rise and span less than CHUNK_SETS."""
+    ids, sets, size = [], [], 0
+    for b in batches:
+        for v, s in zip(b.column(0).to_pylist(), b.column(1)):
+            if ids and (size > CHUNK or not ids[-1] < v < ids[0] + CHUNK_SETS):
+                yield ids, sets
+                ids, sets, size = [], [], 0
+            ids.append(v)
+            sets.append(unpacked(s.as_buffer()))
+            size += len(sets[-1])
+    if ids:
+        yield ids, sets
+
+
+def measure(sets: DataFrame, threshold: float = THRESHOLD) -> dict[int, tuple[int, float]]:
+    """{top of a band: (m, share)}: the options of least cost over all ``sets`` (n, shingles).
+
+    Cost: signatures, and PAIR_COST for every pair that a signature brings together; beyond GROUP_MAX a set of a group costs as much as in
+    one of GROUP_MAX. What comes to the driver are two sums for each option of a band."""
+    counted = sets.select("n", "shingles").mapInArrow(_measured(threshold), "top int, choice int, signature long, n long").groupBy("top", "choice", "signature").agg(F.sum("n").alias("n"))
+    pairs = F.col("n") * F.least(F.col("n") - 1, F.lit(GROUP_MAX)) / 2
+    cost: dict[int, dict[int, float]] = {}
+    for top, choice, n, met in counted.groupBy("top", "choice").agg(F.sum("n"), F.sum(pairs)).collect():
+        m = options(top, threshold)[choice][0]
+        cost.setdefault(top, {})[choice] = (n + PAIR_COST * met) * m / max(1, m // SLICE)
+    return {top: options(top, threshold)[min(c, key=lambda k: (c[k], k))] for top, c in cost.items()}
+
+
+def rarest_first(sets: list[np.ndarray], threshold: float, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of the first n - ceil(threshold * n) + 1 shingles of all sets (sorted ones) in the order of their counters in
+    ``often``, then hash."""
     n = np.array([len(s) for s in sets], np.int64)
     tok, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    often = np.zeros(len(tok), _U)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
-        often = np.where(known[at] == tok, np.minimum(count[at], 65535), 0).astype(_U)
+    count = often[_slot(tok)].astype(_U)
     # stable: of equal keys the lesser shingle comes first in every set
-    order = np.argsort(row.astype(_U) << _U(48) | often << _U(32) | tok & _U(0xFFFFFFFF), kind="stable")
+    order = np.argsort(row.astype(_U) << _U(48) | count << _U(32) | tok & _U(0xFFFFFFFF), kind="stable")
     place = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
     first = order[place < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)]
     return _mix(tok[first] + _U(0x3B)), row[first]
 
 
-def _band_of(n: np.ndarray, tops: np.ndarray) -> np.ndarray:
-    return np.searchsorted(tops, n)
+def _slot(tok: np.ndarray) -> np.ndarray:
+    return (_mix(tok + _U(0x77)) & _U(SLOTS - 1)).astype(np.int64)
 
 
-def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of all sets."""
-    n = np.array([len(s) for s in sets], np.int64)
-    tops = np.array(bands(threshold, int(math.floor(n.max() / threshold)) + 1), np.int64)
-    tok = np.concatenate(sets)
-    row_of = np.repeat(np.arange(len(sets)), n)
-    band = _band_of(n, tops)
-    place, value = _mix(tok + _U(0x51)), _mix(tok + _U(0xA7))
-    out_sig, out_row = [], []
-    for up in (0, 1):
-        g = band + up
-        # a larger partner in the next band exists only if n / threshold reaches beyond this band's top
-        take = np.ones(len(n), bool) if up == 0 else np.floor(n / threshold) > tops[band]
-        spec = [allocate(int(tops[x]), threshold) for x in g]
-        m = np.where(take, np.array([s[0] for s in spec], np.int64), 0)
-        start = np.concatenate([[0], np.cumsum(m)])
-        use = take[row_of]
-        r = row_of[use]
-        seg = ((place[use] >> _U(32)) * m[r].astype(_U) >> _U(32)).astype(np.int64)
-        at = start[r] + seg
-        total = np.zeros(start[-1], _U)
-        np.add.at(total, at, value[use])
-        count = np.bincount(at, minlength=int(start[-1]))
-        full = np.flatnonzero(count)
-        seg_row = np.repeat(np.arange(len(n)), m)[full]
-        salt = lambda segs, rows: (segs.astype(_U) * _U(0xD6E8FEB86659FD93)) + (g[rows].astype(_U) << _U(40)) + _U(up * 0)
-        out_sig.append(_mix(total[full] + salt(full - start[seg_row], seg_row)))
-        out_row.append(seg_row)
-        two = np.array([s[0] * s[1] for s in spec])
-        d = (seg < two[r]) & (count[at] > 1)
-        if d.any():
-            out_sig.append(_mix(total[at[d]] - value[use][d] + salt(seg[d], r[d])))
-            out_row.append(r[d])
-    return np.concatenate(out_sig), np.concatenate(out_row)
+def _counters(batches):
+    """block, counts: the counters of this task's shingles in blocks of 65,536."""
+    total = np.zeros(SLOTS, np.int64)
+    with np.errstate(over="ignore"):
+        for _, sets in _chunks(batches):
+            total += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+    for k, part in enumerate(total.reshape(-1, 65_536)):
+        if part.any():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def sketches(sets: list[np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
-    """One row of bits / 32 words a set: of each of so many hash orders, one bit of the first shingle."""
-    tok = np.concatenate(sets)
-    low, high = tok.astype(np.uint32), (tok >> _U(32)).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.zeros((len(sets), bits // 32), np.uint32)
-    factor = _mix(np.arange(1, bits + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
-    work = np.empty_like(low)
-    for j in range(bits):
-        np.multiply(low, factor[j], out=work)
-        np.bitwise_xor(work, high, out=work)
-        np.multiply(work, factor[-1 - j], out=work)
-        first = np.minimum.reduceat(work, starts)
-        out[:, j // 32] |= ((first * factor[j] >> np.uint32(13)) & np.uint32(1)) << np.uint32(j % 32)
-    return out
+def _added(block: pa.Table) -> pa.Table:
+    total = np.zeros(65_536, np.int64)
+    for c in block.column("counts"):
+        total += np.frombuffer(c.as_buffer(), np.int64)
+    return pa.table({"block": block.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-@functools.cache
-def least_agreement(threshold: float, bits: int = SKETCH_BITS) -> int:
-    """Agreeing bits that a pair at the threshold reaches except in SKETCH_LOSS of the cases: bits agree with (1 + t) / 2."""
-    p, n, mass = (1 + threshold) / 2, bits, 0.0
-    for k in range(n + 1):
-        mass += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-        if mass > SKETCH_LOSS:
-            return k
-    return n
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """Counters of the shingles of all ``sets`` on a logarithmic scale (one byte each, SLOTS of them)."""
+    # two steps, so that no task gets the counters of all others
+    parts = sets.select("n", "shingles").mapInArrow(_counters, "block int, counts binary").withColumn("salt", F.floor(F.rand(1) * 16).cast("int"))
+    once = parts.groupBy("block", "salt").applyInArrow(lambda t: _added(t), "block int, counts binary")
+    out = np.zeros((SLOTS // 65_536, 65_536), np.int64)
+    for k, c in once.groupBy("block").applyInArrow(lambda t: _added(t), "block int, counts binary").collect():
+        out[k] = np.frombuffer(c, np.int64)
+    return np.minimum(255, np.log2(1 + out.ravel()) * 8).astype(np.uint8)
 
 
-# ---- signing
-def _sign(signer, buckets: int, again: np.ndarray | None = None):
-    """Packs the signatures of sets(v, same, shingles); of those marked at their place in ``again`` only, if given."""
+# ---- signing and matching
+def _sign(signer, buckets: int):
+    """Packs the signatures of sets(n, shingles): bucket, blob."""
     bits = buckets.bit_length() - 1
 
-    def pack(ids: list[int], same: list[int], sets: list[np.ndarray]):
+    def pack(ids: list[int], sets: list[np.ndarray]):
         with np.errstate(over="ignore"):
             sig, row = signer(sets)
+        away = (np.array(ids, np.int64) - ids[0]).astype(np.uint16)[row]
         bucket = (sig >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
         order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-        bucket, low, row = bucket[order], sig[order].astype(np.uint32), row[order].astype(np.uint16)
-        edge = np.searchsorted(bucket, np.arange(buckets + 1))
-        own, size, equal = np.array(ids, np.int64), np.array([len(s) for s in sets], np.uint32), np.array(same, np.int64)
-        with np.errstate(over="ignore"):
-            sketch = sketches(sets)
-        blobs, keep = [], []
-        for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
-            if b > a:  # only the rows that sign in this bucket
-                used = np.flatnonzero(np.bincount(row[a:b], minlength=len(own)))
-                at = np.zeros(len(own), np.uint16)
-                at[used] = np.arange(len(used))
-                keep.append(i)
-                blobs.append(np.array([len(used)], np.int64).tobytes() + own[used].tobytes() + equal[used].tobytes() + low[a:b].tobytes() + size[used].tobytes() + sketch[used].tobytes() + at[row[a:b]].tobytes())
+        low, away = sig[order].astype(np.uint32), away[order]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        first = np.array([ids[0]], np.int64).tobytes()
+        keep = [i for i in range(buckets) if edge[i + 1] > edge[i]]
+        blobs = [first + low[edge[i] : edge[i + 1]].tobytes() + away[edge[i] : edge[i + 1]].tobytes() for i in keep]
         return pa.record_batch([pa.array(keep, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
-        ids, equal, sets, size = [], [], [], 0
-        for b in batches:
-            for v, e, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if again is not None and not again[e & (PLACES - 1)]:
-                    continue
-                ids.append(v)
-                equal.append(e)
-                sets.append(np.frombuffer(s.as_py(), _U))
-                size += len(sets[-1])
-                if size > CHUNK_CHARS // 6 or len(ids) >= 60_000:
-                    yield pack(ids, equal, sets)
-                    ids, equal, sets, size = [], [], [], 0
-        if ids:
-            yield pack(ids, equal, sets)
+        for ids, sets in _chunks(batches):
+            yield pack(ids, sets)
 
     return run
 
 
-def _sampled(batches):
-    """shingle, n: how many of the sets hold it; counted by parts."""
-    held, size = [], 0
-
-    def count():
-        t, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(t.view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
-
-    for b in batches:
-        for s in b.column(0):
-            held.append(np.frombuffer(s.as_py(), _U))
-            size += len(held[-1])
-            if size > 2_000_000:
-                yield count()
-                held, size = [], 0
-    if held:
-        yield count()
-
-
-def _frequent(sets: DataFrame, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, sorted; in how many sets of a sample they are): at most FREQUENT of those in more than one."""
-    part = max(SAMPLE_SHARE, min(1.0, SAMPLE / max(1, n_sets)))
-    some = sets.where(F.pmod(F.xxhash64("same"), F.lit(1000)) < math.ceil(1000 * part)).select("shingles")
-    got = some.mapInArrow(_sampled, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    known, count = got.column(0).to_numpy().view(_U), got.column(1).to_numpy()
-    order = np.argsort(known)
-    return known[order], count[order].astype(np.uint32)
-
-
-# ---- candidates
-def _pairs(low: np.ndarray, rec: np.ndarray, size: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float, most_sets: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct candidate pairs (indices into ids) of one bucket, and the members of groups above ``most_sets``, which give none."""
+def _pairs(low: np.ndarray, rec: np.ndarray, most_sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (a << 32 | b, a < b) of the groups of up to ``most_sets`` members, and (signature, member) of larger ones."""
     key = low.astype(_U) << _U(32) | rec.astype(_U)
     key.sort()
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
     low, rec = (key >> _U(32)).astype(np.uint32), (key & _U(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(low), bool)
     new[1:] = low[1:] != low[:-1]
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(low)))
     held, n_held = [], 0
-    most_first, most = FIRST_BITS - least_agreement(threshold, FIRST_BITS), SKETCH_BITS - least_agreement(threshold)
-    part = [np.ascontiguousarray(sketch[:, w]) for w in range(sketch.shape[1])]
-
-    def add(x, y):
-        nonlocal held, n_held
-        lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-        ok = lo >= threshold * hi - 1e-9
-        x, y = x[ok], y[ok]
-        differ = np.zeros(len(x), np.uint16)
-        for w, column in enumerate(part):
-            differ += np.bitwise_count(column[x] ^ column[y])
-            if (w + 1) * 64 == FIRST_BITS:
-                ok = differ <= most_first
-                x, y, differ = x[ok], y[ok], differ[ok]
-        ok = differ <= most
-        x, y = x[ok], y[ok]
-        flip = ids[x] > ids[y]
-        held.append(np.where(flip, y, x) << 32 | np.where(flip, x, y))
-        n_held += len(x)
-        if n_held > HELD:
-            held = [np.unique(np.concatenate(held))]
-            n_held = len(held[0]) // 2  # so that many different pairs are not sorted again at every step
-
-    together = most_sets or TOGETHER
-    small = (length > 1) & (length <= together)
+    small = (length > 1) & (length <= most_sets)
     if small.any():
         n_small, b_small = length[small], begin[small]
         left = np.repeat(n_small, n_small)  # places from here to the group's end
@@ -341,70 +368,44 @@ def _pairs(low: np.ndarray, rec: np.ndarray, size: np.ndarray, ids: np.ndarray,
         for d in range(1, int(n_small.max())):
             ok = left > d
             i, left = i[ok], left[ok]
-            add(rec[i], rec[i + d])
-    if most_sets:
-        large = np.unique(rec[np.repeat(length > together, length)])
-    else:
-        large = np.zeros(0, np.int64)
-        for s, n in zip(begin[length > together].tolist(), length[length > together].tolist()):
-            r = rec[s : s + n]
-            r = r[np.argsort(size[r], kind="stable")]
-            columns = [column[r] for column in part[: FIRST_BITS // 64]]
-            end = np.searchsorted(size[r], size[r] / threshold + 1e-6, side="right")  # sets too large for a partner begin here
-            i = 0
-            while i < n:
-                j = min(n, i + max(1, BLOCK // (n - i)))
-                e = int(end[j - 1])
-                differ = np.zeros((j - i, e - i), np.uint16)
-                for c in columns:
-                    differ += np.bitwise_count(c[i:j, None] ^ c[None, i:e])
-                x, y = np.nonzero(differ <= most_first)
-                ok = y > x
-                add(r[i + x[ok]], r[i + y[ok]])
-                i = j
-    key = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-    return key >> 32, key & 0xFFFFFFFF, large
-
-
-def _match(threshold: float, most_sets: int | None):
-    """(a, b) of the candidates; for a set of a group above ``most_sets`` a row with the hash of the set as a, and b null."""
-
-    def bucket(blobs):
-        low, rec, size, ids, same, sketch, n_ids = [], [], [], [], [], [], 0
-        words_ = SKETCH_BITS // 32
+            held.append(rec[i] << 32 | rec[i + d])
+            n_held += len(i)
+            if n_held > HELD:
+                held = [np.unique(np.concatenate(held))]
+                n_held = len(held[0]) // 2  # so that many different pairs are not sorted again at every step
+    large = np.repeat(length > most_sets, length)
+    return np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64), low[large], rec[large]
+
+
+def _match(most_sets: int, again: bool):
+    """(kind, a, b): kind 0 is a candidate pair of set numbers; of groups above ``most_sets`` kind 1 with the set's number as a where they
+    are signed again, else kind 2 with the group as a and the set as b."""
+
+    def bucket(k, blobs):
+        low, rec = [], []
         for blob in blobs:
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            k = (len(blob) - 8 - n * (20 + 4 * words_)) // 6
-            at = 8
-            ids.append(np.frombuffer(blob, np.int64, n, at))
-            same.append(np.frombuffer(blob, np.int64, n, at + 8 * n))
-            at += 16 * n
-            low.append(np.frombuffer(blob, np.uint32, k, at))
-            at += 4 * k
-            size.append(np.frombuffer(blob, np.uint32, n, at).astype(np.int64))
-            sketch.append(np.frombuffer(blob[at + 4 * n : at + 4 * n + 4 * words_ * n], _U).reshape(n, words_ // 2))
-            rec.append(np.frombuffer(blob, np.uint16, k, at + 4 * n + 4 * words_ * n).astype(np.uint32) + np.uint32(n_ids))
-            n_ids += n
+            n = (len(blob) - 8) // 6
+            low.append(np.frombuffer(blob, np.uint32, n, 8))
+            rec.append(np.frombuffer(blob, np.uint16, n, 8 + 4 * n).astype(np.int64) + np.frombuffer(blob, np.int64, 1)[0])
         blobs.clear()
-        low, rec, size, ids, same, sketch = map(np.concatenate, (low, rec, size, ids, same, sketch))
-        # equal sets sign alike, so all of them are here: the least id stands for them
-        order = np.lexsort((ids, same))
-        new = np.append(True, same[order][1:] != same[order][:-1])
-        stands = np.empty(len(ids), np.uint32)
-        stands[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        rec = stands[rec]
-        bits = max(0, math.ceil(math.log2(len(low) / AT_ONCE))) if len(low) else 0
+        low = np.concatenate(low)
+        ids, rec = np.unique(np.concatenate(rec), return_inverse=True)
+        bits = max(0, math.ceil(math.log2(max(1, len(low)) / AT_ONCE)))
         of = (low >> np.uint32(32 - bits)).astype(np.uint16) if bits else None
-        found, again = [], []
-        for k in range(1 << bits):
-            here = slice(None) if of is None else np.flatnonzero(of == k)
-            with np.errstate(over="ignore"):
-                x, y, large = _pairs(low[here], rec[here], size, ids, sketch, threshold, most_sets)
-            found.append(np.stack([ids[x], ids[y]]))
-            again.append(large)
-        pairs, again = np.unique(np.concatenate(found, axis=1), axis=1), same[np.unique(np.concatenate(again))]
-        a, b = np.concatenate([pairs[0], again]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(again), pa.int64())])
-        return pa.record_batch([pa.array(a), b], names=["a", "b"])
+        found, groups_, members = [], [], []
+        for x in range(1 << bits):
+            here = slice(None) if of is None else np.flatnonzero(of == x)
+            pairs, group, member = _pairs(low[here], rec[here], most_sets)
+            found.append(pairs)
+            groups_.append(group)
+            members.append(member)
+        found, members = np.unique(np.concatenate(found)), np.concatenate(members)
+        if again:
+            a, b, kind = ids[np.unique(members)], None, 1
+        else:
+            a, b, kind = np.concatenate(groups_).astype(np.int64) | (k << 32), ids[members], 2
+        second = pa.concat_arrays([pa.array(ids[found & 0xFFFFFFFF], pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())])
+        return pa.record_batch([pa.array(np.repeat([0, kind], [len(found), len(a)]), pa.int32()), pa.array(np.concatenate([ids[found >> 32], a]), pa.int64()), second], names=["kind", "a", "b"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -412,23 +413,124 @@ def _match(threshold: float, most_sets: int | None):
             for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 held.setdefault(k, []).append(blob.as_py())
         for k in sorted(held):
-            yield bucket(held.pop(k))
+            yield bucket(k, held.pop(k))
 
     return run
 
 
-# ---- verification
+def _candidates(sets: DataFrame, signer, n_signatures: float, most_sets: int, again: bool) -> DataFrame:
+    buckets = 1 << max(3, math.ceil(math.log2(max(1, n_signatures / PER_BUCKET))))
+    signed = sets.select("n", "shingles").mapInArrow(_sign(signer, buckets), "bucket int, blob binary")
+    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(most_sets, again), "kind int, a long, b long").distinct()
+
+
+# ---- screening
+def sketches(sets: list[np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
+    """One row of bits / 32 words a set: of each of so many hash orders, one bit of the first shingle."""
+    tok = _mix(np.concatenate(sets))
+    low, high = tok.astype(np.uint32), (tok >> _U(32)).astype(np.uint32)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    out = np.zeros((len(sets), bits // 32), np.uint32)
+    factor = _mix(np.arange(1, bits + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
+    work = np.empty_like(low)
+    for j in range(bits):
+        np.multiply(low, factor[j], out=work)
+        np.bitwise_xor(work, high, out=work)
+        np.multiply(work, factor[-1 - j], out=work)
+        first = np.minimum.reduceat(work, starts)
+        out[:, j // 32] |= ((first * factor[j] >> np.uint32(13)) & np.uint32(1)) << np.uint32(j % 32)
+    return out
+
+
+@functools.cache
+def least_agreement(threshold: float, bits: int = SKETCH_BITS) -> int:
+    """Agreeing bits that a pair at the threshold reaches except in SKETCH_LOSS of the cases: bits agree with (1 + t) / 2."""
+    p, n, mass = (1 + threshold) / 2, bits, 0.0
+    for k in range(n + 1):
+        mass += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if mass > SKETCH_LOSS:
+            return k
+    return n
+
+
+_PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+
+def _sketched(batches):
+    with np.errstate(over="ignore"):
+        for ids, sets in _chunks(batches):
+            parts = np.ascontiguousarray(sketches(sets)).view(np.int64)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(np.ascontiguousarray(parts[:, i])) for i in range(len(_PARTS))]], names=["n", "size", *_PARTS])
+
+
+def _screen(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the threshold."""
+    of = lambda end: sketch.select(*[F.col(c).alias(f"{end}_{c}") for c in sketch.columns])
+    both = pairs.join(of("a"), F.col("a") == F.col("a_n")).join(of("b"), F.col("b") == F.col("b_n"))
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in _PARTS[1:]), F.bit_count(F.col(f"a_{_PARTS[0]}").bitwiseXOR(F.col(f"b_{_PARTS[0]}"))))
+    sizes = F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size") - 1e-9
+    return both.where(sizes & (differ <= SKETCH_BITS - least_agreement(threshold))).select("a", "b")
+
+
+def _block_pairs(threshold: float):
+    most = SKETCH_BITS - least_agreement(threshold)
+
+    def run(block: pa.Table) -> pa.Table:
+        n, size, side = (block.column(c).to_numpy() for c in ("n", "size", "side"))
+        parts = [block.column(p).to_numpy().view(_U) for p in _PARTS]
+        x, y = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: both sides are one block
+        out = [np.zeros((2, 0), np.int64)]
+        for k in range(0, len(x), 256):
+            i = x[k : k + 256]
+            differ = np.zeros((len(i), len(y)), np.uint16)
+            for p in parts:
+                differ += np.bitwise_count(p[i][:, None] ^ p[y][None, :])
+            ok = (differ <= most) & (np.minimum(size[i][:, None], size[y][None, :]) >= threshold * np.maximum(size[i][:, None], size[y][None, :]) - 1e-9)
+            a, b = np.nonzero(ok)
+            a, b = n[i[a]], n[y[b]]
+            keep = a != b if len(x) != len(n) else a < b
+            out.append(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _in_blocks(members: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """Screened pairs of the members (group, n) of large groups: every block of a group against itself and every other one."""
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    m = members.join(blocks, "group").join(sketch, "n").withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    m = m.select("*", other).withColumn("side", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2))
+    m = m.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "side", "n", "size", *_PARTS)
+    run = _block_pairs(threshold)
+    return m.groupBy("group", "i", "j").applyInArrow(lambda t: run(t), "a long, b long")
+
+
+# ---- sets and verification
 def _sets(k: int, min_words: int):
     def run(batches):
-        shingle = Shingler(k, min_words)
+        shingle, seen = Shingler(k, min_words), set()
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
-            v, t = [], []
+            v, n, same, size, data = [], [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if (s := shingle(text)) is not None:
-                    v.append(i)
-                    t.append(s.tobytes())
-            same = np.array([xxhash.xxh3_64_intdigest(s) for s in t], _U).view(np.int64)
-            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(same), pa.array(t, pa.binary())], names=["v", "same", "shingles"])
+                if (s := shingle(text)) is None:
+                    continue
+                s = np.unique(s & _MASK)
+                raw = packed(s)
+                h = xxhash.xxh3_64_intdigest(raw)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                v.append(i)
+                n.append(number)
+                same.append(h - (1 << 64) if h >> 63 else h)
+                size.append(len(s))
+                # the sets of repeated texts are written once
+                data.append(None if h in seen else raw)
+                seen.add(h)
+                number += 1
+            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(same, pa.int64()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["v", "n", "same", "size", "shingles"])
 
     return run
 
@@ -438,10 +540,10 @@ def _verify(threshold: float):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = len(p) + len(q) - len(np.union1d(p, q)) if len(p) + len(q) < 64 else _common(p, q)
+                p, q = unpacked(x.as_buffer()), unpacked(y.as_buffer())
+                both = _common(p, q)
                 keep.append(both / max(1, len(p) + len(q) - both))
-            sim = np.array(keep)
+            sim = np.array(keep, np.float64)
             ok = pa.array(sim >= threshold - 1e-12)
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(sim).filter(ok)], names=["a", "b", "similarity"])
 
@@ -454,42 +556,59 @@ def _common(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[at] == p).sum())
 
 
-def _candidates(sets: DataFrame, signer, n_signatures: float, threshold: float, most_sets: int | None, again: np.ndarray | None = None) -> DataFrame:
-    buckets = 1 << max(3, math.ceil(math.log2(max(1, n_signatures / PER_BUCKET))))
-    signed = sets.mapInArrow(_sign(signer, buckets, again), "bucket int, blob binary")
-    placed = signed.repartitionById(buckets, F.col("bucket")) if hasattr(signed, "repartitionById") else signed.repartition(buckets, "bucket")
-    return placed.mapInArrow(_match(threshold, most_sets), "a long, b long").distinct()
+def _only(sets: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """sets whose n is (left_semi) or is not (left_anti) among the written ``ids``: they are broadcast up to BROADCAST_IDS of them."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids) if few else ids, "n", how)
 
 
 def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: int = SHINGLE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """From texts(v long, text): (a, b, similarity) of all verified pairs of different sets, a < b, each set under the least v that has
-    it; and (v, one), the least v with the same set, of every text that takes part."""
+    """From texts(v long, text): (a, b, similarity) of all verified pairs of different sets, each set under one v that has it; and
+    (v, one), that v, of every text that takes part."""
+    spark = texts.sparkSession
     texts = texts.where(F.char_length("text") >= 2 * min_words - 1).select("v", "text")
-    sets = scratch.put(texts.mapInArrow(_sets(k, min_words), "v long, same long, shingles binary"))
-    n_sets, n_shingles = sets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)) / 8).first()
-    first = scratch.put(_candidates(sets, functools.partial(signatures, threshold=threshold), n_shingles * 1.6, threshold, GROUP_MAX))
-    release(texts.sparkSession)
-    pairs = first.where("b is not null")
-    places = first.where("b is null").select(F.col("a").bitwiseAND(PLACES - 1).alias("place")).distinct().toArrow().column(0).to_numpy()
-    second = None
-    if len(places):
-        again = np.zeros(PLACES, bool)
-        again[places] = True
-        known, count = _frequent(sets, n_sets)
-        signer = functools.partial(rarest_first, threshold=threshold, known=known, count=count)
-        second = scratch.put(_candidates(sets, signer, n_shingles * (1 - threshold), threshold, None, again))
-        pairs = pairs.unionByName(second).distinct()
-        release(texts.sparkSession)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    some = scratch.put(sets.join(ends, "v", "left_semi").select("v", "shingles"))
-    low = sets.groupBy("same").agg(F.min("v").alias("one"))
-    copies = scratch.put(sets.select("v", "same").join(low, "same").select("v", "one"))
-    scratch.drop(sets)
-    of = lambda end: some.select(F.col("v").alias(end), F.col("shingles").alias("shingles" + end))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "shinglesa", "shinglesb")
+    every = scratch.put(texts.mapInArrow(_sets(k, min_words), "v long, n long, same long, size int, shingles binary"))
+    written = every.where("shingles is not null")
+    ones = scratch.put(written.groupBy("same").agg(F.min(F.struct("n", "v")).alias("x"), F.count("*").alias("c")).select("same", F.col("x.n").alias("one_n"), F.col("x.v").alias("one"), "c"))
+    repeated = scratch.put(written.select("n", "same").join(ones.where("c > 1"), "same").where("n <> one_n").select("n"))
+    copies = scratch.put(every.select("v", "same").join(ones.select("same", "one"), "same").select("v", "one"))
+    sets = _only(written.select("n", "size", "shingles"), repeated, "left_anti")
+    n_shingles = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    plan = measure(sets, threshold)
+    release(spark)
+    per_shingle = max([1.0, *[m / top * (1 + 2 * share) for top, (m, share) in plan.items()]]) * 1.3
+    first = scratch.put(_candidates(sets, functools.partial(signatures, threshold=threshold, plan=plan), n_shingles * per_shingle, GROUP_MAX, True))
+    release(spark)
+    pairs = first.where("kind = 0").select("a", "b")
+    hot = scratch.put(first.where("kind = 1").select(F.col("a").alias("n")).distinct())
+    members = None
+    if not hot.isEmpty():
+        some = scratch.put(_only(sets, hot, "left_semi"))
+        often = frequencies(some)
+        signer = functools.partial(rarest_first, threshold=threshold, often=often)
+        n_hot = some.agg(F.sum("size")).first()[0]
+        second = scratch.put(_candidates(some, signer, n_hot * (1 - threshold), TOGETHER, False))
+        release(spark)
+        pairs = pairs.unionByName(second.where("kind = 0").select("a", "b")).distinct()
+        members = second.where("kind = 2").select(F.col("a").alias("group"), F.col("b").alias("n"))
+        scratch.drop(some)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("n"))
+    ends = scratch.put((ends if members is None else ends.unionByName(members.select("n"))).distinct())
+    sketch = scratch.put(_only(sets, ends, "left_semi").select("n", "shingles").mapInArrow(_sketched, "n long, size int, " + ", ".join(f"{p} long" for p in _PARTS)))
+    screened = _screen(pairs, sketch, threshold)
+    if members is not None and not members.isEmpty():
+        screened = screened.unionByName(_in_blocks(members, sketch, threshold)).distinct()
+    screened = scratch.put(screened)
+    scratch.drop(sketch, first, hot, ends, *([] if members is None else [second]))
+    release(spark)
+    ends = scratch.put(screened.select(F.explode(F.array("a", "b")).alias("n")).distinct())
+    some = scratch.put(_only(written.select("n", "v", "shingles"), ends, "left_semi"))
+    scratch.drop(every, ones, repeated)
+    of = lambda end: some.select(F.col("n").alias(end), F.col("v").alias("v" + end), F.col("shingles").alias("shingles" + end))
+    both = screened.join(of("a"), "a").join(of("b"), "b").select("va", "vb", "shinglesa", "shinglesb")
     out = scratch.put(both.mapInArrow(_verify(threshold), "a long, b long, similarity double"))
-    scratch.drop(first, some, *([second] if second is not None else []))
-    release(texts.sparkSession)
+    scratch.drop(screened, ends, some)
+    release(spark)
     return out, copies
 
 
@@ -529,7 +648,6 @@ def membership(documents: DataFrame, mail: DataFrame, scratch: Scratch | None =
 
 def found(documents: DataFrame, mail: DataFrame) -> DataFrame:
     """record_kind, left_id, right_id of every pair in one group. Expands groups into pairs, as the case list asks."""
-    g = membership(documents, mail).select("record_kind", "group_id", "record_id")
-    a = g.select("record_kind", "group_id", F.col("record_id").alias("left_id"))
-    b = g.select("record_kind", "group_id", F.col("record_id").alias("right_id"))
-    return a.join(b, ["record_kind", "group_id"]).where("left_id < right_id").select("record_kind", "left_id", "right_id")
+    scratch = Scratch(documents.sparkSession, "neardup")
+    g = scratch.put(membership(documents, mail, scratch).select("record_kind", "group_id", "record_id"))
+    return pairs_within(g, ["record_kind", "group_id"], "record_id", "left_id", "right_id").select("record_kind", "left_id", "right_id")

@@ -114,37 +114,81 @@ def test_hot_neardup_equals_brute_force(spark):
     assert sorted(sorted(m) for m in by.values()) == sorted(sorted(m) for m in groups_.values() if len(m) > 1)
 
 
+def sorted_sets(*sets):
+    import numpy as np
+
+    return [np.unique(np.asarray(x, np.uint64) & neardup._MASK) for x in sets]
+
+
 def test_rarest_first_keeps_the_guarantee():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    known = np.unique(rng.integers(0, 2**63, 50).astype(np.uint64))
-    count = rng.integers(2, 90, len(known))
+    often = rng.integers(0, 90, neardup.SLOTS).astype(np.uint8)
     for _ in range(300):
-        common = np.concatenate([known[: rng.integers(0, len(known))], rng.integers(0, 2**63, 20).astype(np.uint64)])
+        common = rng.integers(0, 2**63, rng.integers(20, 70))
         n = len(common)
         more = int(n / 0.55) - n  # the largest union at the threshold
         left = int(rng.integers(0, more + 1))
-        x, y = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k).astype(np.uint64)])) for k in (left, more - left))
+        x, y = (np.concatenate([common, rng.integers(0, 2**63, k)]) for k in (left, more - left))
         with np.errstate(over="ignore"):
-            sig, row = neardup.rarest_first([x, y], 0.55, known, count)
+            sig, row = neardup.rarest_first(sorted_sets(x, y), 0.55, often)
         assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
 def test_allocation_keeps_the_guarantee():
-    for top in neardup.bands(0.55, 5000):
-        m, share = neardup.allocate(top, 0.55)
-        assert m >= 8 and 0 <= share <= 1
-    rng = random.Random(1)
+    """Pairs exactly at the threshold, of any two sizes that allow it, share a signature under every option of their bands."""
     import numpy as np
 
-    for n in (20, 40, 90, 200, 700):
-        x = np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)
-        common = int(n * 0.72)
-        y = np.concatenate([x[:common], np.array([rng.getrandbits(63) for _ in range(n - common)], np.uint64)])
-        with np.errstate(over="ignore"):
-            sig, row = neardup.signatures([np.sort(x), np.sort(y)], 0.55)
-        assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+    rng = np.random.default_rng(1)
+    tops = neardup.bands(0.55, 3000)
+    most = max(len(neardup.options(t, 0.55)) for t in tops)
+    assert all(o[0] >= 8 and 0 <= o[1] <= 1 for t in tops for o in neardup.options(t, 0.55))
+    assert any(o[1] > 0 for o in neardup.options(845, 0.55)) and neardup.options(845, 0.55)[-1][1] == 0
+    for k in range(most):
+        plan = {t: o[min(k, len(o) - 1)] for t in tops for o in [neardup.options(t, 0.55)]}
+        for top in tops[:8]:
+            for n in (top, top // 2 + 14, int(top * 0.551) + 1):
+                for part in (0.0, 0.5):
+                    common = int(np.ceil(n * 0.55)) if part == 0 else int(np.ceil(n * 0.7097))
+                    more = int(common / 0.55 + 1e-9) - common
+                    left = min(more, n - common)
+                    base = rng.integers(0, 2**63, common)
+                    pair = sorted_sets(np.concatenate([base, rng.integers(0, 2**63, left)]), np.concatenate([base, rng.integers(0, 2**63, more - left)]))
+                    with np.errstate(over="ignore"):
+                        sig, row = neardup.signatures(pair, 0.55, plan)
+                    assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (k, top, n, part)
+
+
+def test_cost_decides_for_neighbourhoods(spark):
+    """Unlike texts get exact segments; where shingles are in many sets, larger segments with one-deletion neighbourhoods cost less."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 16_000)
+    frame = lambda sets: spark.createDataFrame([(i, bytearray(neardup.packed(s))) for i, s in enumerate(sets)], "n long, shingles binary")
+    unlike = neardup.measure(frame(sorted_sets(*[rng.integers(0, 2**63, 400) for _ in range(400)])))
+    alike = neardup.measure(frame(sorted_sets(*[rng.choice(pool, 400, replace=False) for _ in range(400)])))
+    top = next(t for t in neardup.bands(0.55, 3000) if t >= 400)
+    assert unlike[top][1] == 0 and alike[top][1] > 0 and alike[top][0] < unlike[top][0]
+
+
+def test_signature_bytes_do_not_grow_with_the_buckets():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sets = sorted_sets(*[rng.integers(0, 2**63, 300) for _ in range(1500)])
+    batch = pa.record_batch([pa.array(range(len(sets)), pa.int64()), pa.array([neardup.packed(s) for s in sets], pa.binary())], names=["n", "shingles"])
+    size = {b: sum(x.column(1).nbytes for x in neardup._sign(lambda s: neardup.signatures(s, 0.55), b)([batch])) for b in (8, 64, 512, 4096)}
+    assert size[4096] < 1.15 * size[8]
+
+
+def test_packed_sets_round_trip():
+    import numpy as np
+
+    (s,) = sorted_sets(np.random.default_rng(7).integers(0, 2**63, 50))
+    assert (neardup.unpacked(neardup.packed(s)) == s).all() and len(neardup.packed(s)) == 250 and len(neardup.unpacked(b"")) == 0
 
 
 def test_contraction(spark):
