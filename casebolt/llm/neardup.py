@@ -3,19 +3,20 @@
 Universe-partition pigeonhole. Sizes fall into bands (each band's largest size is 1/threshold times the one before), and every band
 has its own number of segments m. A hash spreads the shingle universe over the m segments of a band, so a set becomes m subsets.
 Two sets that reach the threshold differ in at most H = (1-t)/(1+t) * (|X|+|Y|) shingles, and each differing shingle spoils at most
-one segment. A set with more than H non-empty segments therefore shares at least one whole non-empty segment with every partner.
-The subsets of the non-empty segments are the signatures; a set signs in its own band and, if it can have a larger partner there,
-in the next one. A leading share of the segments may also get the one-deletion neighbourhoods of its subsets; such a segment is
-spoiled by two differing shingles only, so fewer and larger segments do.
+one segment. With more than H non-empty segments some segment is the same in both, whatever the hash does; as the hash spreads the
+differences at random, fewer segments leave one too, except with a probability that ``miss`` gives. The subsets of the non-empty segments
+are the signatures; a set signs in its own band and, if it can have a larger partner there, in the next one. A leading share of the
+segments may also get the one-deletion neighbourhoods of its subsets; such a segment is spoiled by two differing shingles only, so
+fewer and larger segments do.
 
-``options`` lists the (m, share) that keep the guarantee. Which one a band uses is decided by cost over all sets: one segment in SLICE
+``options`` lists the (m, share) that keep the guarantee: a pair at the threshold is missed with a probability of MISS at most. Which one a band uses is decided by cost over all sets: one segment in SLICE
 (at least one) is signed under every option, and the signatures and the pairs they would bring together are counted (``measure``). Where
-shingles are rare, small exact segments are cheapest; where many sets hold the same passages, larger segments with neighbourhoods are.
+pairs are dear against signatures, larger segments with neighbourhoods win; else the fewest exact segments do.
 
 Equal sets are signed once. Signatures travel as packed bytes, six a signature however many buckets there are: per chunk of sets and
 bucket the number of the chunk's first set, 4-byte signatures and 2-byte distances from that number. A bucket finds equal signatures by
-sorting. Those of up to GROUP_MAX sets give all their pairs. The sets of larger groups are signed once more, by single shingles, the
-rarest first: two sets at the threshold share at least ``t * n`` of the n shingles of either, so in any one order of all shingles their
+sorting. Those of up to GROUP_MAX sets give all their pairs. Larger groups are hot and give none; a set with so many hot signatures that a pair
+could be missed with more than MISS_HOT for want of others (``spare``) is signed once more, by single shingles, the rarest first: two sets at the threshold share at least ``t * n`` of the n shingles of either, so in any one order of all shingles their
 first common one is among the first ``n - ceil(t * n) + 1`` of both. The order is by counts over all these sets, in SLOTS counters, so
 the shingles of common passages come last and are signatures only of texts that consist of them for the most part. Groups of more than
 TOGETHER sets are worked off in blocks of BLOCK sets against BLOCK sets, spread over the executors. No group is thinned, so every pair at
@@ -60,8 +61,11 @@ SKETCH_BITS, SKETCH_LOSS = 256, 1e-6
 PER_BUCKET, AT_ONCE = 8_000_000, 2_000_000
 #: Shingles handled at once by a worker; sets a chunk can number.
 CHUNK, CHUNK_SETS = 1_000_000, 65_536
+#: Probability of missing a pair at the threshold, without and with its hot signatures left out, and standard deviations to spare where
+#: it must hold in the worst case.
+MISS, MISS_HOT, SCARCE = 1e-8, 1e-6, 4.0
 #: One segment in so many is measured for each option; the cost of a candidate pair in signatures.
-SLICE, PAIR_COST = 256, 20.0
+SLICE, PAIR_COST = 64, 20.0
 #: Set numbers that are broadcast at most (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets a worker remembers.
@@ -90,6 +94,11 @@ class Shingler:
         self.k, self.min_words, self.known = k, min_words, {}
 
     def __call__(self, text: str | None) -> np.ndarray | None:
+        s = self.ordered(text)
+        return None if s is None else np.unique(s)
+
+    def ordered(self, text: str | None) -> np.ndarray | None:
+        """The hashes in the order of the text, repeated ones included."""
         if not text:
             return None
         w = words(text)
@@ -111,7 +120,7 @@ class Shingler:
             for j in range(self.k):
                 s = s * _U(0x9E3779B97F4A7C15) + h[j : j + n]
                 s ^= s >> _U(29)
-            return np.unique(_mix(s))
+            return _mix(s)
 
 
 # ---- packed sets
@@ -136,29 +145,60 @@ def bands(threshold: float, largest: int) -> list[int]:
     return out
 
 
+def miss(top: int, m: int, share: float, threshold: float, hot: int = 0) -> float:
+    """The greatest probability that a pair at the threshold, both of whose sets sign in the band with largest size ``top``, shares no
+    signature of m segments, ``share`` of them with neighbourhoods, other than ``hot`` ones (which hold common shingles only).
+
+    A hash puts c common and d differing shingles, c = threshold * (c + d), into the segments; a segment brings the pair together if it
+    has a common shingle and no differing one, or with neighbourhoods at most one (one of each side would do as well; all on one side
+    is the harder case). The unions of such pairs have threshold to 2 / (1 + threshold) times ``top`` shingles."""
+    worst = 0.0
+    for step in range(9):
+        union = top * (threshold + (2 / (1 + threshold) - threshold) * step / 8)
+        c = threshold * union / m
+        left, common = m - hot, threshold * union - hot * c / (1 - math.exp(-c))
+        if left <= 0 or common <= 0:
+            return 1.0
+        mu, some = (1 - threshold) * union / left, 1 - math.exp(-common / left)
+        exact, near = some * math.exp(-mu), some * math.exp(-mu) * (1 + mu)
+        worst = max(worst, (1 - exact) ** (left * (1 - share)) * (1 - near) ** (left * share))
+    return worst
+
+
+@functools.cache
+def spare(top: int, m: int, share: float, threshold: float) -> int:
+    """How many of a set's signatures may be hot while the others keep a miss under MISS_HOT."""
+    h = 0
+    while miss(top, m, share, threshold, h + 1) <= MISS_HOT:
+        h += 1
+    return h
+
+
 @functools.cache
-def options(top: int, threshold: float, scarce: float = 4.0) -> list[tuple[int, float]]:
+def options(top: int, threshold: float) -> list[tuple[int, float]]:
     """(m, share): numbers of segments of the band with largest size ``top``, each with the least share of segments with one-deletion
-    neighbourhoods that keeps the guarantee.
+    neighbourhoods that keeps the guarantee, the last one without any.
 
-    The units of a set of n shingles (1 for a non-empty segment, 2 for one of the share with two or more shingles) must exceed
-    its H with ``scarce`` standard deviations to spare, at the top of the band where the bound is tightest."""
-    need = (1 - threshold) / (1 + threshold) * 2 * top + 1
+    The guarantee: a pair at the threshold is missed with a probability of MISS at most. Sets too small for that get so many segments
+    that the pigeonhole holds in the worst case: the non-empty ones exceed H by SCARCE standard deviations, at the top of the band."""
     out = []
-    for ratio in (0.36, 0.42, 0.5, 0.62, 0.8, 1.0, 1.25, 1.6, 2.2, 3.0, 4.5):
-        m = max(8, int(top * ratio))
+    for k in range(60):
+        m = int(top * 0.08 * 1.09**k)
+        if m < 8:
+            continue
+        shares = [x / 4 for x in range(5) if miss(top, m, x / 4, threshold) <= MISS]
+        if shares and (not out or shares[0] < out[-1][1]):
+            out.append((m, shares[0]))
+        if shares and shares[0] == 0:
+            return out
+    need = (1 - threshold) / (1 + threshold) * 2 * top + 1
+    for step in range(8, 80):
+        m = max(8, int(top * step / 8))
         lam = top / m
-        p1, p2 = 1 - math.exp(-lam), 1 - math.exp(-lam) * (1 + lam)
-        for tenth in range(11):
-            share = tenth / 10
-            units = m * (p1 + share * p2)
-            spread = (1 + share) * math.sqrt(m * math.exp(-lam) * (1 - (1 + lam) * math.exp(-lam)))  # of occupied cells
-            if units - scarce * spread >= need:
-                out.append((m, share))
-                break
-        if out and out[-1][1] == 0:
-            break  # more segments only add signatures
-    return out
+        spread = math.sqrt(m * math.exp(-lam) * (1 - (1 + lam) * math.exp(-lam)))  # of occupied cells
+        if m * (1 - math.exp(-lam)) - SCARCE * spread >= need:
+            return [*out, (m, 0.0)]
+    raise ValueError(f"no segments for sets of {top}")
 
 
 def _place(sets: list[np.ndarray], threshold: float):
@@ -261,17 +301,17 @@ def _chunks(batches):
         yield ids, sets
 
 
-def measure(sets: DataFrame, threshold: float = THRESHOLD) -> dict[int, tuple[int, float]]:
+def measure(sets: DataFrame, threshold: float = THRESHOLD, pair_cost: float = PAIR_COST) -> dict[int, tuple[int, float]]:
     """{top of a band: (m, share)}: the options of least cost over all ``sets`` (n, shingles).
 
-    Cost: signatures, and PAIR_COST for every pair that a signature brings together; beyond GROUP_MAX a set of a group costs as much as in
+    Cost: signatures, and ``pair_cost`` for every pair that a signature brings together; beyond GROUP_MAX a set of a group costs as much as in
     one of GROUP_MAX. What comes to the driver are two sums for each option of a band."""
     counted = sets.select("n", "shingles").mapInArrow(_measured(threshold), "top int, choice int, signature long, n long").groupBy("top", "choice", "signature").agg(F.sum("n").alias("n"))
     pairs = F.col("n") * F.least(F.col("n") - 1, F.lit(GROUP_MAX)) / 2
     cost: dict[int, dict[int, float]] = {}
     for top, choice, n, met in counted.groupBy("top", "choice").agg(F.sum("n"), F.sum(pairs)).collect():
         m = options(top, threshold)[choice][0]
-        cost.setdefault(top, {})[choice] = (n + PAIR_COST * met) * m / max(1, m // SLICE)
+        cost.setdefault(top, {})[choice] = (n + pair_cost * met) * m / max(1, m // SLICE)
     return {top: options(top, threshold)[min(c, key=lambda k: (c[k], k))] for top, c in cost.items()}
 
 
@@ -378,8 +418,8 @@ def _pairs(low: np.ndarray, rec: np.ndarray, most_sets: int) -> tuple[np.ndarray
 
 
 def _match(most_sets: int, again: bool):
-    """(kind, a, b): kind 0 is a candidate pair of set numbers; of groups above ``most_sets`` kind 1 with the set's number as a where they
-    are signed again, else kind 2 with the group as a and the set as b."""
+    """(kind, a, b): kind 0 is a candidate pair of set numbers; of groups above ``most_sets`` kind 1 with the set's number and its hot
+    signatures in this bucket where sets are signed again, else kind 2 with the group and the set's number."""
 
     def bucket(k, blobs):
         low, rec = [], []
@@ -401,11 +441,12 @@ def _match(most_sets: int, again: bool):
             members.append(member)
         found, members = np.unique(np.concatenate(found)), np.concatenate(members)
         if again:
-            a, b, kind = ids[np.unique(members)], None, 1
+            a, b = np.unique(members, return_counts=True)
+            a, kind = ids[a], 1
         else:
             a, b, kind = np.concatenate(groups_).astype(np.int64) | (k << 32), ids[members], 2
-        second = pa.concat_arrays([pa.array(ids[found & 0xFFFFFFFF], pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())])
-        return pa.record_batch([pa.array(np.repeat([0, kind], [len(found), len(a)]), pa.int32()), pa.array(np.concatenate([ids[found >> 32], a]), pa.int64()), second], names=["kind", "a", "b"])
+        a, b = np.concatenate([ids[found >> 32], a]), np.concatenate([ids[found & 0xFFFFFFFF], b])
+        return pa.record_batch([pa.array(np.repeat([0, kind], [len(found), len(a) - len(found)]), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -421,7 +462,7 @@ def _match(most_sets: int, again: bool):
 def _candidates(sets: DataFrame, signer, n_signatures: float, most_sets: int, again: bool) -> DataFrame:
     buckets = 1 << max(3, math.ceil(math.log2(max(1, n_signatures / PER_BUCKET))))
     signed = sets.select("n", "shingles").mapInArrow(_sign(signer, buckets), "bucket int, blob binary")
-    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(most_sets, again), "kind int, a long, b long").distinct()
+    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(most_sets, again), "kind int, a long, b long")
 
 
 # ---- screening
@@ -562,6 +603,16 @@ def _only(sets: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return sets.join(F.broadcast(ids) if few else ids, "n", how)
 
 
+def _spare(plan: dict[int, tuple[int, float]], threshold: float):
+    """The hot signatures a set of ``size`` may have in its own band and the next one."""
+    tops = bands(threshold, int(max(plan, default=24) / threshold) + 1)
+    out = F.lit(0)
+    for top, up in reversed(list(zip(tops[:-1], tops[1:]))):
+        most = min(spare(t, *(plan.get(t) or options(t, threshold)[-1]), threshold) for t in (top, up))
+        out = F.when(F.col("size") <= top, most).otherwise(out)
+    return out
+
+
 def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: int = SHINGLE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """From texts(v long, text): (a, b, similarity) of all verified pairs of different sets, each set under one v that has it; and
     (v, one), that v, of every text that takes part."""
@@ -579,8 +630,9 @@ def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: i
     per_shingle = max([1.0, *[m / top * (1 + 2 * share) for top, (m, share) in plan.items()]]) * 1.3
     first = scratch.put(_candidates(sets, functools.partial(signatures, threshold=threshold, plan=plan), n_shingles * per_shingle, GROUP_MAX, True))
     release(spark)
-    pairs = first.where("kind = 0").select("a", "b")
-    hot = scratch.put(first.where("kind = 1").select(F.col("a").alias("n")).distinct())
+    pairs = first.where("kind = 0").select("a", "b").distinct()
+    hot = first.where("kind = 1").groupBy(F.col("a").alias("n")).agg(F.sum("b").alias("hot"))
+    hot = scratch.put(hot.join(written.select("n", "size"), "n").where(F.col("hot") > _spare(plan, threshold)).select("n"))
     members = None
     if not hot.isEmpty():
         some = scratch.put(_only(sets, hot, "left_semi"))
