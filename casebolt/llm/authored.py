@@ -47,6 +47,8 @@ _BANNER = re.compile(
     re.I,
 )
 _ATTRIBUTION = re.compile(r"^(?:(?:on|am|le|el|em|il)\b.{4,240}?(?:\bwrote|\bschrieb\b.{0,160}|\ba écrit|\bescribió)\s?:|.{2,160}\bwrote on \d[\d/.\-]{5,9}\s?:)\s*$", re.I | re.S)
+#: With an address in it an attribution may be of any length.
+_LONG_ATTRIBUTION = re.compile(r"^(?:on|am|le|el|em|il)\b[^<]*.*<[^<>@\s]+@[^<>\s]*>.*(?:\bwrote|\bschrieb\b.*|\ba écrit|\bescribió)\s?:\s*$", re.I | re.S)
 _ATTRIBUTION_START = re.compile(r"^(?:on|am|le|el)\b.*\d|.*\bwrote on\b|.*<[^<>@\s]+@[^<>\s]*>?\s*(?:wrote)?", re.I)
 _QUOTED = re.compile(r"^[ \t]{0,3}>")
 _RULE = re.compile(r"^\s*([-_*=#~])\1{7,}\s*$")
@@ -71,15 +73,19 @@ _NOTICE = [
         r"^\W*(?:falls sie nicht der|sollten sie nicht der)\b|^\W*en cas d['’]erreur\b|^\W*si lo recibe por error\b",
     )
 ]
+_NOTICE_LEAD = re.compile(
+    r"^\W*(?:confidentiality|legal|privacy|disclaimer|caution|haftungsausschluss|the (?:information|contents?)|any|this|diese|ce|cet|este|please|unauthorised|if|views|falls|sollten|en cas|si)\b", re.I
+)
 
 
 @dataclass
 class Node:
-    """A node of the layout tree: its kind, its own lines, and for quotes and forwards the earlier message."""
+    """A node of the layout tree: its kind, its own lines, and for quotes and forwards the earlier message, ``levels`` quote marks down."""
 
     kind: str
     lines: list[str] = field(default_factory=list)
     children: list[Node] = field(default_factory=list)
+    levels: int = 1
 
 
 def _kind_of(line: str) -> int | None:
@@ -90,16 +96,16 @@ def _kind_of(line: str) -> int | None:
 
 
 def _header_at(lines: list[str], i: int) -> int:
-    """Number of lines of a header block that starts here with its sender, else 0: a sender and two other fields, folded lines allowed."""
+    """Number of lines of a header block that starts here with its sender, else 0: a sender and two other fields, each followed by any
+    number of folded lines (indented, after a comma or semicolon, or with an address in them) and up to two others."""
     if not _FROM_LABEL.match(lines[i]):
         return 0
     seen, j, last = {0}, i + 1, i
-    while j < len(lines) and j <= last + 3 and j - i < 24:
-        if not lines[j].strip():
-            break
+    while j < len(lines) and j <= last + 3 and lines[j].strip():
         k = _kind_of(lines[j])
         if k is not None:
             seen.add(k)
+        if k is not None or lines[j][0] in " \t" or "@" in lines[j] or lines[j - 1].rstrip()[-1:] in ",;":
             last = j
         j += 1
     return j - i if len(seen) >= 3 else 0
@@ -112,17 +118,21 @@ def _next_full(lines: list[str], i: int) -> int:
 
 
 def _attribution_at(lines: list[str], i: int) -> int:
-    """Number of lines (up to four, if wrapped) of an attribution that starts here, else 0."""
+    """Number of lines of an attribution that starts here, however often wrapped, else 0."""
     if not _ATTRIBUTION_START.match(lines[i]):
         return 0
-    for n in range(1, 5):
-        part = lines[i : i + n]
-        if len(part) < n or not part[-1].strip() or _QUOTED.match(part[-1]):
+    n = 1
+    while i + n <= len(lines):
+        last = lines[i + n - 1].rstrip()
+        if not last.strip() or _QUOTED.match(last):
             return 0
-        if part[-1].rstrip().endswith(":") and _ATTRIBUTION.match(" ".join(x.strip() for x in part)):
-            return n
-        if part[-1].rstrip().endswith((".", "!", "?")) and n > 1:
+        if last.endswith(":"):
+            text = " ".join(x.strip() for x in lines[i : i + n])
+            if _ATTRIBUTION.match(text) or _LONG_ATTRIBUTION.match(text):
+                return n
+        if last.endswith((".", "!", "?", ":")) and n > 1:
             return 0
+        n += 1
     return 0
 
 
@@ -138,7 +148,10 @@ def _paragraph(lines: list[str], i: int) -> int:
 
 
 def _notice_at(lines: list[str], i: int) -> bool:
-    text = " ".join(x.strip() for x in lines[i : min(_paragraph(lines, i), i + 12)])
+    """Whether a disclaimer starts here; its cue may stand anywhere in the paragraph."""
+    if not _NOTICE_LEAD.match(" ".join(x.strip() for x in lines[i : i + 2])):
+        return False
+    text = " ".join(x.strip() for x in lines[i : _paragraph(lines, i)])
     return any(p.search(text) for p in _NOTICE)
 
 
@@ -173,16 +186,31 @@ def _signature_at(lines: list[str], i: int) -> bool:
     return False
 
 
-def parse(lines: list[str], depth: int = 0) -> list[Node]:
-    """The nodes of one message."""
+_MARKS = re.compile(r"^[ \t]{0,3}>(?:[ ]?>)*")
+
+
+def parse(lines: list[str]) -> list[Node]:
+    """The nodes of a message, with those of the earlier messages in it, however deep."""
+    top = Node("message")
+    open_ = [(top, lines, 0)]
+    while open_:
+        node, inner, depth = open_.pop()
+        node.children = _level(inner, depth, open_)
+    return top.children
+
+
+def _level(lines: list[str], depth: int, open_: list) -> list[Node]:
+    """The nodes of one level; earlier messages are put on ``open_``."""
     out: list[Node] = []
     i, n = 0, len(lines)
 
-    def add(kind: str, part: list[str], children: list[Node] | None = None) -> None:
+    def add(kind: str, part: list[str], earlier: list[str] | None = None) -> None:
         if kind == "authored" and out and out[-1].kind == "authored":
             out[-1].lines += part
         else:
-            out.append(Node(kind, part, children or []))
+            out.append(Node(kind, part))
+            if earlier:
+                open_.append((out[-1], earlier, depth + 1))
 
     while i < n:
         line = lines[i]
@@ -200,8 +228,10 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
                 add("authored", [line])  # a wrapped comparison, not a quote
                 i += 1
                 continue
-            inner = [re.sub(r"^[ \t]{0,3}>[ ]?", "", x) for x in lines[i:j]]
-            add("quote", lines[i:j], parse(inner, depth + 1) if depth < 40 else [])
+            # marks that all lines have are taken off at once
+            marks = min((_MARKS.match(x)[0].count(">") for x in lines[i:j] if x.strip()), default=1)
+            add("quote", lines[i:j], [re.sub(rf"^[ \t]{{0,3}}>(?:[ ]?>){{{marks - 1}}}[ ]?", "", x) for x in lines[i:j]])
+            out[-1].levels = marks
             i = j
             continue
         if k := _attribution_at(lines, i):
@@ -212,21 +242,21 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
                 continue
             if j >= n or depth == 0:
                 # an attribution without quote marks: the rest is the earlier message
-                add("forward", lines[i:], parse(lines[j:], depth + 1) if depth < 40 else [])
+                add("forward", lines[i:], lines[j:])
                 break
         start = i
         if _BANNER.match(line) or _RULE.match(line):
             start = _next_full(lines, i + 1)
         if _BANNER.match(line) or (start < n and _header_at(lines, start)):
             k = _header_at(lines, start) if start < n else 0
-            add("forward", lines[i:], parse(lines[start + k :], depth + 1) if depth < 40 else [])
+            add("forward", lines[i:], lines[start + k :])
             break
         if _RULE.match(line) and start < n and _notice_at(lines, start):
             j = _paragraph(lines, start)
             add("disclaimer", lines[i:j])
             i = j
             continue
-        if _notice_at(lines, i) and (i == 0 or not lines[i - 1].strip() or (out and out[-1].kind in ("signature", "disclaimer"))):
+        if (i == 0 or not lines[i - 1].strip() or (out and out[-1].kind in ("signature", "disclaimer"))) and _notice_at(lines, i):
             j = _paragraph(lines, i)
             add("disclaimer", lines[i:j])
             i = j

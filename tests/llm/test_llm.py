@@ -161,16 +161,35 @@ def test_allocation_keeps_the_guarantee():
 
 
 def test_cost_decides_for_neighbourhoods(spark):
-    """Unlike texts get exact segments; where shingles are in many sets, larger segments with one-deletion neighbourhoods cost less."""
+    """Exact segments where a signature costs as much as a pair; larger ones with one-deletion neighbourhoods where pairs are dear and the
+    sets hold the same shingles so often that larger segments bring fewer of them together."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    pool = rng.integers(0, 2**63, 16_000)
-    frame = lambda sets: spark.createDataFrame([(i, bytearray(neardup.packed(s))) for i, s in enumerate(sets)], "n long, shingles binary")
-    unlike = neardup.measure(frame(sorted_sets(*[rng.integers(0, 2**63, 400) for _ in range(400)])))
-    alike = neardup.measure(frame(sorted_sets(*[rng.choice(pool, 400, replace=False) for _ in range(400)])))
+    pool = rng.integers(0, 2**63, 3000)
+    sets = sorted_sets(*[rng.choice(pool, 400, replace=False) for _ in range(1200)])
+    df = spark.createDataFrame([(i, bytearray(neardup.packed(s))) for i, s in enumerate(sets)], "n long, shingles binary").coalesce(1).cache()
     top = next(t for t in neardup.bands(0.55, 3000) if t >= 400)
-    assert unlike[top][1] == 0 and alike[top][1] > 0 and alike[top][0] < unlike[top][0]
+    cheap, dear = neardup.measure(df, pair_cost=1.0), neardup.measure(df, pair_cost=1e6)
+    assert cheap[top] == neardup.options(top, 0.55)[-1] and dear[top] in neardup.options(top, 0.55)
+    counts = {o: 0 for o in neardup.options(top, 0.55)}
+    for batch in neardup._measured(0.55)(df.toArrow().to_batches()):
+        for t, k, n in zip(*(batch.column(c).to_pylist() for c in ("top", "choice", "n"))):
+            if t == top:
+                o = neardup.options(t, 0.55)[k]
+                counts[o] += n * min(n - 1, neardup.GROUP_MAX) / 2 * o[0] / max(1, o[0] // neardup.SLICE)
+    assert dear[top] == min(counts, key=counts.get)
+
+
+def test_plans_with_neighbourhoods_find_the_same_links(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(VOC) for _ in range(rng.choice([60, 120, 300]))]
+        texts += [(len(texts), " ".join(edited(rng, base, n))) for n in (0, len(base) // 30, len(base) // 12, len(base) // 8)]
+    monkeypatch.setattr(neardup, "measure", lambda sets, threshold: {t: neardup.options(t, threshold)[0] for t in neardup.bands(threshold, 5000)})
+    got = {(r.left_id, r.right_id) for r in neardup.found(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([], "mail_id long, text_body string")).collect()}
+    assert got == brute_groups(texts)
 
 
 def test_signature_bytes_do_not_grow_with_the_buckets():
@@ -339,6 +358,23 @@ def test_authored_html_and_edges(spark):
     assert [tuple(r) for r in authored.found(d).collect()] == [(2, "New & fine.")]
 
 
+def test_authored_beyond_the_usual_lengths():
+    """Header blocks over many lines, late cues, wrapped attributions and deep quotes are read whole."""
+    new = lambda body: authored.new_text(authored.read_body(body, None))
+    folded = "\n".join(f"    person{i}@x.example," for i in range(60))
+    assert new(f"Fine.\n\nFrom: A B\nTo: c@x.example,\n{folded}\nSent: today\nSubject: S\n\nOld.") == "Fine."
+    filler = "\n".join(f"line {i} of the notice which goes on and on" for i in range(40))
+    assert new(f"Fine.\n\nThis message and its contents are sent by the firm\n{filler}\nand are confidential to the addressee.") == "Fine."
+    wrapped = ",\n".join(f"Person Number{i} and others" for i in range(9))
+    assert new(f"Fine.\n\nOn 3 May 2021 at 10:00 {wrapped}\n<a.b@x.example>\nwrote:\n> old") == "Fine."
+    tree = authored.read_body("top\n" + "\n".join(">" * k + f" level {k}" for k in range(1, 90)), None)
+    depth = 0
+    while tree:
+        deeper = [x for x in tree if x.kind == "quote"]
+        depth, tree = depth + sum(x.levels for x in deeper), deeper[0].children if deeper else []
+    assert depth == 89
+
+
 def test_truncation(spark):
     rng = random.Random(5)
     sentence = lambda: " ".join(rng.choice(VOC[:200]) for _ in range(9)).capitalize() + "."
@@ -359,6 +395,51 @@ def test_alignment():
     assert truncation.ends_early(a, a + "teen fourteen.") == "word"
     assert truncation.ends_early(a[:-5], a + "teen fourteen.") == "sentence"
     assert truncation.ends_early("a b c d", "quite another text here") == ""
+    assert truncation.ends_early("one two three four Dr.", "one two three four Dr. Berg came.") == "stop, capital"
+    assert truncation.ends_early("one two three four no.", "one two three four no. 5 came.") == "stop"
+
+
+def cut_copies(rng, n, edit):
+    """(full texts, (cut text, part kept)): texts without a stop at all, so that nothing but the copy shows the cut."""
+    full = [[rng.choice(VOC) for _ in range(rng.randrange(60, 400))] for _ in range(n)]
+    cut = []
+    for w in full:
+        part = rng.uniform(0.2, 0.9)
+        kept = w[: int(len(w) * part)]
+        for _ in range(int(len(kept) * edit)):
+            kept[rng.randrange(len(kept) - 8)] = rng.choice(VOC)
+        cut.append((" ".join(kept), part))
+    return [" ".join(w) for w in full], cut
+
+
+@pytest.mark.parametrize("edit", [0.0, 0.02])
+def test_alignment_finds_texts_cut_at_any_part(spark, edit):
+    rng = random.Random(8)
+    full, cut = cut_copies(rng, 300, edit)
+    # a third of all rows are equal to one text, and its cut copy is asked among them
+    rows = [(i, "s", t) for i, t in enumerate(full)] + [(1000 + i, "s", t) for i, (t, _) in enumerate(cut)] + [(5000 + k, "s", full[0]) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id for r in truncation.judge(d).where("copy_goes_on in ('word', 'sentence')").collect()}
+    assert not {i for i in got if i < 1000 or i >= 5000}
+    recall = len(got) / len(cut)
+    assert recall >= (0.99 if edit == 0 else 0.9), recall
+
+
+def test_alignment_tries_every_copy(spark):
+    """Longer members of the family that end alike or go another way do not hide the one the text was cut from."""
+    rng = random.Random(9)
+    base = [rng.choice(VOC) for _ in range(80)]
+    rows = [(k, "s", " ".join([*base[:60], *[rng.choice(VOC) for _ in range(40)]])) for k in range(1, 400)] + [(500, "s", " ".join(base)), (501, "s", " ".join(base[:70]))]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.copy_goes_on for r in truncation.judge(d).collect()}
+    assert got[501] == "sentence"
+
+
+def test_limits_do_not_come_by_chance(spark):
+    rng = random.Random(10)
+    rows = [("many", rng.randrange(100, 400), i) for i in range(20_000)] + [("many", 250, 100_000 + i) for i in range(2_000)] + [("few", 512, i) for i in range(3)] + [("few", 80 + 9 * i, 10 + i) for i in range(9)] + [(None, 5, i) for i in range(9)]
+    got = truncation.field_limits(spark.createDataFrame(rows, "source string, size long, ending long")).collect()
+    assert {(r.source, r.size, r.exact) for r in got} == {("many", 250, True), ("many", 249, False), ("few", 512, True), ("few", 511, False)}
 
 
 @pytest.mark.parametrize("name", sorted(Q))
