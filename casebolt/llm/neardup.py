@@ -13,16 +13,17 @@ fewer and larger segments do.
 (at least one) is signed under every option, and the signatures and the pairs they would bring together are counted (``measure``). Where
 pairs are dear against signatures, larger segments with neighbourhoods win; else the fewest exact segments do.
 
-Equal sets are signed once. Signatures travel as packed bytes, six a signature however many buckets there are: per chunk of sets and
-bucket the number of the chunk's first set, 4-byte signatures and 2-byte distances from that number. A bucket finds equal signatures by
-sorting. Those of up to GROUP_MAX sets give all their pairs. Larger groups are hot and give none; a set with so many hot signatures that a pair
+Equal sets are signed once. Signatures travel as packed bytes: per chunk of sets and bucket 4-byte signatures with 2-byte places, and for
+each set with a signature there 19 bytes: its distance from the chunk's first number, its size on a logarithmic scale and the first
+FIRST_BITS of its sketch. So a signature costs 6 bytes, and 25 at most however many buckets there are. A bucket finds equal signatures
+by sorting and drops pairs whose sizes or sketches cannot reach the threshold. Those of up to GROUP_MAX sets give all their pairs. Larger groups are hot and give none; a set with so many hot signatures that a pair
 could be missed with more than MISS_HOT for want of others (``spare``) is signed once more, by single shingles, the rarest first: two sets at the threshold share at least ``t * n`` of the n shingles of either, so in any one order of all shingles their
 first common one is among the first ``n - ceil(t * n) + 1`` of both. The order is by counts over all these sets, in SLOTS counters, so
 the shingles of common passages come last and are signatures only of texts that consist of them for the most part. Groups of more than
 TOGETHER sets are worked off in blocks of BLOCK sets against BLOCK sets, spread over the executors. No group is thinned, so every pair at
 the threshold is a candidate.
 
-Candidates are screened by sketches of SKETCH_BITS one-bit min-hashes, made for the sets of candidates only: a pair whose sketches agree in
+Candidates of all buckets, each once, are screened by their whole sketches of SKETCH_BITS one-bit min-hashes: a pair whose sketches agree in
 fewer bits than a pair at the threshold does but once in a million is dropped. The rest is verified exactly on the full shingle sets
 (40-bit hashes), and the links and equal sets are contracted into groups.
 
@@ -54,8 +55,11 @@ TOGETHER, BLOCK = 64, 2_000
 HELD = 4_000_000
 #: Counters of the order by frequency.
 SLOTS = 1 << 20
-#: Bits of the sketch that screens candidates (a multiple of 64), and the part of pairs at the threshold that it may lose.
-SKETCH_BITS, SKETCH_LOSS = 256, 1e-6
+#: Bits of the sketch that screens candidates and of its part in the buckets (multiples of 64), and the part of pairs at the threshold that
+#: each screening may lose.
+SKETCH_BITS, FIRST_BITS, SKETCH_LOSS = 256, 128, 5e-7
+#: Base of the logarithmic scale of sizes in the buckets.
+SIZE_BASE = 1.08
 #: Signatures a bucket should hold: sets the number of buckets from the amount of text. A bucket is worked off in ranges of
 #: signatures of at most AT_ONCE, so its working memory does not grow with it.
 PER_BUCKET, AT_ONCE = 8_000_000, 2_000_000
@@ -287,18 +291,20 @@ def _measured(threshold: float):
 
 
 def _chunks(batches):
-    """(numbers, sets) of rows (n, shingles), up to CHUNK shingles, with numbers that rise and span less than CHUNK_SETS."""
-    ids, sets, size = [], [], 0
+    """(numbers, sets, further columns) of rows (n, shingles, ...), up to CHUNK shingles, with numbers that rise and span less than CHUNK_SETS."""
+    ids, sets, more, size = [], [], [], 0
     for b in batches:
-        for v, s in zip(b.column(0).to_pylist(), b.column(1)):
+        rest = list(zip(*(c.to_pylist() for c in b.columns[2:]))) or [()] * b.num_rows
+        for v, s, x in zip(b.column(0).to_pylist(), b.column(1), rest):
             if ids and (size > CHUNK or not ids[-1] < v < ids[0] + CHUNK_SETS):
-                yield ids, sets
-                ids, sets, size = [], [], 0
+                yield ids, sets, more
+                ids, sets, more, size = [], [], [], 0
             ids.append(v)
             sets.append(unpacked(s.as_buffer()))
+            more.append(x)
             size += len(sets[-1])
     if ids:
-        yield ids, sets
+        yield ids, sets, more
 
 
 def measure(sets: DataFrame, threshold: float = THRESHOLD, pair_cost: float = PAIR_COST) -> dict[int, tuple[int, float]]:
@@ -336,7 +342,7 @@ def _counters(batches):
     """block, counts: the counters of this task's shingles in blocks of 65,536."""
     total = np.zeros(SLOTS, np.int64)
     with np.errstate(over="ignore"):
-        for _, sets in _chunks(batches):
+        for _, sets, _ in _chunks(batches):
             total += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
     for k, part in enumerate(total.reshape(-1, 65_536)):
         if part.any():
@@ -362,31 +368,69 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 # ---- signing and matching
+_PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_FIRST = _PARTS[: FIRST_BITS // 64]
+_RECORD = np.dtype([("sketch", np.uint64, len(_FIRST)), ("away", np.uint16), ("size", np.uint8)])
+
+
+def _size_code(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.log(np.maximum(1, n)) / math.log(SIZE_BASE)).astype(np.uint8)
+
+
 def _sign(signer, buckets: int):
-    """Packs the signatures of sets(n, shingles): bucket, blob."""
+    """Packs the signatures of sets(n, shingles, first parts of the sketch): bucket, blob."""
     bits = buckets.bit_length() - 1
 
-    def pack(ids: list[int], sets: list[np.ndarray]):
+    def pack(ids: list[int], sets: list[np.ndarray], sketch: list[tuple]):
         with np.errstate(over="ignore"):
             sig, row = signer(sets)
-        away = (np.array(ids, np.int64) - ids[0]).astype(np.uint16)[row]
+        record = np.zeros(len(ids), _RECORD)
+        record["sketch"] = np.array(sketch, np.int64).view(_U).reshape(len(ids), len(_FIRST))
+        record["away"] = np.array(ids, np.int64) - ids[0]
+        record["size"] = _size_code(np.array([len(s) for s in sets]))
         bucket = (sig >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
-        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-        low, away = sig[order].astype(np.uint32), away[order]
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        first = np.array([ids[0]], np.int64).tobytes()
+        # by bucket, then set: the sets of a bucket are numbered as they come
+        order = np.argsort(bucket << 16 | row, kind="stable")
+        bucket, low, row = bucket[order], sig[order].astype(np.uint32), row[order]
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+        number = np.cumsum(new) - 1
+        edge = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+        used, first = record[row[new]], np.array([ids[0]], np.int64).tobytes()
         keep = [i for i in range(buckets) if edge[i + 1] > edge[i]]
-        blobs = [first + low[edge[i] : edge[i + 1]].tobytes() + away[edge[i] : edge[i + 1]].tobytes() for i in keep]
+        blobs = []
+        for i in keep:
+            a, b = edge[i], edge[i + 1]
+            x, y = number[a], number[b - 1] + 1
+            blobs.append(first + np.array([y - x], np.int32).tobytes() + used[x:y].tobytes() + low[a:b].tobytes() + (number[a:b] - x).astype(np.uint16).tobytes())
         return pa.record_batch([pa.array(keep, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
-        for ids, sets in _chunks(batches):
-            yield pack(ids, sets)
+        for ids, sets, more in _chunks(batches):
+            yield pack(ids, sets, more)
 
     return run
 
 
-def _pairs(low: np.ndarray, rec: np.ndarray, most_sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Sieve:
+    """Pairs that sizes and sketches allow the threshold."""
+
+    def __init__(self, sketch: np.ndarray, size: np.ndarray, threshold: float):
+        self.parts = [np.ascontiguousarray(sketch[:, w]) for w in range(sketch.shape[1])]
+        self.size, self.most = size.astype(np.int16), FIRST_BITS - least_agreement(threshold, FIRST_BITS)
+        self.apart = math.ceil(math.log(1 / threshold) / math.log(SIZE_BASE)) + 1
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.abs(self.size[x] - self.size[y]) <= self.apart
+        x, y = x[ok], y[ok]
+        differ = np.zeros(len(x), np.uint16)
+        for p in self.parts:
+            differ += np.bitwise_count(p[x] ^ p[y])
+        ok = differ <= self.most
+        x, y = x[ok], y[ok]
+        return np.minimum(x, y) << 32 | np.maximum(x, y)
+
+
+def _pairs(low: np.ndarray, rec: np.ndarray, sieve: _Sieve, most_sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (a << 32 | b, a < b) of the groups of up to ``most_sets`` members, and (signature, member) of larger ones."""
     key = low.astype(_U) << _U(32) | rec.astype(_U)
     key.sort()
@@ -408,8 +452,8 @@ def _pairs(low: np.ndarray, rec: np.ndarray, most_sets: int) -> tuple[np.ndarray
         for d in range(1, int(n_small.max())):
             ok = left > d
             i, left = i[ok], left[ok]
-            held.append(rec[i] << 32 | rec[i + d])
-            n_held += len(i)
+            held.append(sieve(rec[i], rec[i + d]))
+            n_held += len(held[-1])
             if n_held > HELD:
                 held = [np.unique(np.concatenate(held))]
                 n_held = len(held[0]) // 2  # so that many different pairs are not sorted again at every step
@@ -417,25 +461,35 @@ def _pairs(low: np.ndarray, rec: np.ndarray, most_sets: int) -> tuple[np.ndarray
     return np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64), low[large], rec[large]
 
 
-def _match(most_sets: int, again: bool):
+def _match(threshold: float, most_sets: int, again: bool):
     """(kind, a, b): kind 0 is a candidate pair of set numbers; of groups above ``most_sets`` kind 1 with the set's number and its hot
     signatures in this bucket where sets are signed again, else kind 2 with the group and the set's number."""
 
     def bucket(k, blobs):
-        low, rec = [], []
+        low, rec, numbers, records, n_records = [], [], [], [], 0
         for blob in blobs:
-            n = (len(blob) - 8) // 6
-            low.append(np.frombuffer(blob, np.uint32, n, 8))
-            rec.append(np.frombuffer(blob, np.uint16, n, 8 + 4 * n).astype(np.int64) + np.frombuffer(blob, np.int64, 1)[0])
+            u = int(np.frombuffer(blob, np.int32, 1, 8)[0])
+            at = 12 + u * _RECORD.itemsize
+            n = (len(blob) - at) // 6
+            records.append(np.frombuffer(blob, _RECORD, u, 12))
+            numbers.append(records[-1]["away"].astype(np.int64) + np.frombuffer(blob, np.int64, 1)[0])
+            low.append(np.frombuffer(blob, np.uint32, n, at))
+            rec.append(np.frombuffer(blob, np.uint16, n, at + 4 * n).astype(np.uint32) + np.uint32(n_records))
+            n_records += u
         blobs.clear()
-        low = np.concatenate(low)
-        ids, rec = np.unique(np.concatenate(rec), return_inverse=True)
+        low, rec, ids, records = np.concatenate(low), np.concatenate(rec), np.concatenate(numbers), np.concatenate(records)
+        # every set is in one chunk, so each has one record here; in the order of numbers a pair has its lesser number first
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.uint32)
+        place[order] = np.arange(len(ids))
+        ids, records, rec = ids[order], records[order], place[rec]
+        sieve = _Sieve(records["sketch"], records["size"], threshold)
         bits = max(0, math.ceil(math.log2(max(1, len(low)) / AT_ONCE)))
         of = (low >> np.uint32(32 - bits)).astype(np.uint16) if bits else None
         found, groups_, members = [], [], []
         for x in range(1 << bits):
             here = slice(None) if of is None else np.flatnonzero(of == x)
-            pairs, group, member = _pairs(low[here], rec[here], most_sets)
+            pairs, group, member = _pairs(low[here], rec[here], sieve, most_sets)
             found.append(pairs)
             groups_.append(group)
             members.append(member)
@@ -459,10 +513,10 @@ def _match(most_sets: int, again: bool):
     return run
 
 
-def _candidates(sets: DataFrame, signer, n_signatures: float, most_sets: int, again: bool) -> DataFrame:
+def _candidates(sets: DataFrame, signer, n_signatures: float, threshold: float, most_sets: int, again: bool) -> DataFrame:
     buckets = 1 << max(3, math.ceil(math.log2(max(1, n_signatures / PER_BUCKET))))
-    signed = sets.select("n", "shingles").mapInArrow(_sign(signer, buckets), "bucket int, blob binary")
-    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(most_sets, again), "kind int, a long, b long")
+    signed = sets.select("n", "shingles", *_FIRST).mapInArrow(_sign(signer, buckets), "bucket int, blob binary")
+    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(threshold, most_sets, again), "kind int, a long, b long")
 
 
 # ---- screening
@@ -494,16 +548,6 @@ def least_agreement(threshold: float, bits: int = SKETCH_BITS) -> int:
     return n
 
 
-_PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-
-
-def _sketched(batches):
-    with np.errstate(over="ignore"):
-        for ids, sets in _chunks(batches):
-            parts = np.ascontiguousarray(sketches(sets)).view(np.int64)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(np.ascontiguousarray(parts[:, i])) for i in range(len(_PARTS))]], names=["n", "size", *_PARTS])
-
-
 def _screen(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the threshold."""
     of = lambda end: sketch.select(*[F.col(c).alias(f"{end}_{c}") for c in sketch.columns])
@@ -554,7 +598,7 @@ def _sets(k: int, min_words: int):
         shingle, seen = Shingler(k, min_words), set()
         number = TaskContext.get().partitionId() << 40
         for b in batches:
-            v, n, same, size, data = [], [], [], [], []
+            v, n, same, size, data, fresh = [], [], [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if (s := shingle(text)) is None:
                     continue
@@ -569,9 +613,15 @@ def _sets(k: int, min_words: int):
                 size.append(len(s))
                 # the sets of repeated texts are written once
                 data.append(None if h in seen else raw)
-                seen.add(h)
+                if h not in seen:
+                    fresh.append(s)
+                    seen.add(h)
                 number += 1
-            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(same, pa.int64()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["v", "n", "same", "size", "shingles"])
+            parts = np.zeros((len(v), len(_PARTS)), np.int64)
+            if fresh:
+                with np.errstate(over="ignore"):
+                    parts[[x is not None for x in data]] = sketches(fresh).view(np.int64)
+            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(same, pa.int64()), pa.array(size, pa.int32()), *[pa.array(np.ascontiguousarray(parts[:, i])) for i in range(len(_PARTS))], pa.array(data, pa.binary())], names=["v", "n", "same", "size", *_PARTS, "shingles"])
 
     return run
 
@@ -618,17 +668,17 @@ def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: i
     (v, one), that v, of every text that takes part."""
     spark = texts.sparkSession
     texts = texts.where(F.char_length("text") >= 2 * min_words - 1).select("v", "text")
-    every = scratch.put(texts.mapInArrow(_sets(k, min_words), "v long, n long, same long, size int, shingles binary"))
+    every = scratch.put(texts.mapInArrow(_sets(k, min_words), f"v long, n long, same long, size int, {', '.join(f'{p} long' for p in _PARTS)}, shingles binary"))
     written = every.where("shingles is not null")
     ones = scratch.put(written.groupBy("same").agg(F.min(F.struct("n", "v")).alias("x"), F.count("*").alias("c")).select("same", F.col("x.n").alias("one_n"), F.col("x.v").alias("one"), "c"))
     repeated = scratch.put(written.select("n", "same").join(ones.where("c > 1"), "same").where("n <> one_n").select("n"))
     copies = scratch.put(every.select("v", "same").join(ones.select("same", "one"), "same").select("v", "one"))
-    sets = _only(written.select("n", "size", "shingles"), repeated, "left_anti")
+    sets = _only(written.select("n", "size", "shingles", *_FIRST), repeated, "left_anti")
     n_shingles = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     plan = measure(sets, threshold)
     release(spark)
-    per_shingle = max([1.0, *[m / top * (1 + 2 * share) for top, (m, share) in plan.items()]]) * 1.3
-    first = scratch.put(_candidates(sets, functools.partial(signatures, threshold=threshold, plan=plan), n_shingles * per_shingle, GROUP_MAX, True))
+    per_shingle = max([m / top * (1 + 4 * share) for top, (m, share) in plan.items()] or [1.0]) * 1.5
+    first = scratch.put(_candidates(sets, functools.partial(signatures, threshold=threshold, plan=plan), n_shingles * per_shingle, threshold, GROUP_MAX, True))
     release(spark)
     pairs = first.where("kind = 0").select("a", "b").distinct()
     hot = first.where("kind = 1").groupBy(F.col("a").alias("n")).agg(F.sum("b").alias("hot"))
@@ -639,19 +689,17 @@ def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: i
         often = frequencies(some)
         signer = functools.partial(rarest_first, threshold=threshold, often=often)
         n_hot = some.agg(F.sum("size")).first()[0]
-        second = scratch.put(_candidates(some, signer, n_hot * (1 - threshold), TOGETHER, False))
+        second = scratch.put(_candidates(some, signer, n_hot * (1 - threshold), threshold, TOGETHER, False))
         release(spark)
         pairs = pairs.unionByName(second.where("kind = 0").select("a", "b")).distinct()
         members = second.where("kind = 2").select(F.col("a").alias("group"), F.col("b").alias("n"))
         scratch.drop(some)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("n"))
-    ends = scratch.put((ends if members is None else ends.unionByName(members.select("n"))).distinct())
-    sketch = scratch.put(_only(sets, ends, "left_semi").select("n", "shingles").mapInArrow(_sketched, "n long, size int, " + ", ".join(f"{p} long" for p in _PARTS)))
+    sketch = written.select("n", "size", *_PARTS)
     screened = _screen(pairs, sketch, threshold)
     if members is not None and not members.isEmpty():
         screened = screened.unionByName(_in_blocks(members, sketch, threshold)).distinct()
     screened = scratch.put(screened)
-    scratch.drop(sketch, first, hot, ends, *([] if members is None else [second]))
+    scratch.drop(first, hot, *([] if members is None else [second]))
     release(spark)
     ends = scratch.put(screened.select(F.explode(F.array("a", "b")).alias("n")).distinct())
     some = scratch.put(_only(written.select("n", "v", "shingles"), ends, "left_semi"))
