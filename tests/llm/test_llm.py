@@ -401,8 +401,8 @@ def test_alignment():
     assert truncation.ends_early(a, a + "teen fourteen.") == "word"
     assert truncation.ends_early(a[:-5], a + "teen fourteen.") == "sentence"
     assert truncation.ends_early("a b c d", "quite another text here") == ""
-    assert truncation.ends_early("one two three four Dr.", "one two three four Dr. Berg came.") == "stop, capital"
-    assert truncation.ends_early("one two three four no.", "one two three four no. 5 came.") == "stop"
+    assert truncation.ends_early("one two three four Dr.", "one two three four Dr. berg came.") == "stop"
+    assert truncation.ends_early("one two three four no.", "one two three four no. 5 came.") == "stop, new"
 
 
 def cut_copies(rng, n, edit):
