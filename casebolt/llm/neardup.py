@@ -14,8 +14,8 @@ fewer and larger segments do.
 pairs are dear against signatures, larger segments with neighbourhoods win; else the fewest exact segments do.
 
 Equal sets are signed once. Signatures travel as packed bytes: per chunk of sets and bucket 4-byte signatures with 2-byte places, and for
-each set with a signature there 19 bytes: its distance from the chunk's first number, its size on a logarithmic scale and the first
-FIRST_BITS of its sketch. So a signature costs 6 bytes, and 25 at most however many buckets there are. A bucket finds equal signatures
+each set with a signature there 23 bytes: its distance from the chunk's first number, its size on a logarithmic scale and the first
+FIRST_BITS of its sketch. So a signature costs 6 bytes, and 29 at most however many buckets there are. A bucket finds equal signatures
 by sorting and drops pairs whose sizes or sketches cannot reach the threshold. Those of up to GROUP_MAX sets give all their pairs. Larger groups are hot and give none; a set with so many hot signatures that a pair
 could be missed with more than MISS_HOT for want of others (``spare``) is signed once more, by single shingles, the rarest first: two sets at the threshold share at least ``t * n`` of the n shingles of either, so in any one order of all shingles their
 first common one is among the first ``n - ceil(t * n) + 1`` of both. The order is by counts over all these sets, in SLOTS counters, so
@@ -23,8 +23,8 @@ the shingles of common passages come last and are signatures only of texts that
 TOGETHER sets are worked off in blocks of BLOCK sets against BLOCK sets, spread over the executors. No group is thinned, so every pair at
 the threshold is a candidate.
 
-Candidates of all buckets, each once, are screened by their whole sketches of SKETCH_BITS one-bit min-hashes: a pair whose sketches agree in
-fewer bits than a pair at the threshold does but once in a million is dropped. The rest is verified exactly on the full shingle sets
+Candidates of all buckets, each once, are screened by their whole sketches of SKETCH_BITS one-bit min-hashes. Each screening
+drops a pair that agrees in fewer bits than a pair at the threshold does but in SKETCH_LOSS of the cases. The rest is verified exactly on the full shingle sets
 (40-bit hashes), and the links and equal sets are contracted into groups.
 
 Texts with fewer than ``min_words`` words, empty and null ones take no part. Equal texts have similarity 1.
@@ -48,16 +48,16 @@ from casebolt.llm.groups import contract, pairs_within
 
 THRESHOLD, SHINGLE, MIN_WORDS = 0.55, 3, 20
 #: Largest group of one signature that gives its pairs in the first signing; the sets of larger ones are signed again.
-GROUP_MAX = 16
+GROUP_MAX = 128
 #: Groups of the second signing up to this size give their pairs in their bucket, larger ones in blocks of so many sets.
-TOGETHER, BLOCK = 64, 2_000
+TOGETHER, BLOCK = 128, 2_000
 #: Candidates held before repeated ones are removed.
 HELD = 4_000_000
 #: Counters of the order by frequency.
 SLOTS = 1 << 20
-#: Bits of the sketch that screens candidates and of its part in the buckets (multiples of 64), and the part of pairs at the threshold that
+#: Bits of the sketch that screens candidates (a multiple of 64) and of its part in the buckets (half a multiple more), and the part of pairs at the threshold that
 #: each screening may lose.
-SKETCH_BITS, FIRST_BITS, SKETCH_LOSS = 256, 128, 5e-7
+SKETCH_BITS, FIRST_BITS, SKETCH_LOSS = 256, 160, 5e-7
 #: Base of the logarithmic scale of sizes in the buckets.
 SIZE_BASE = 1.08
 #: Signatures a bucket should hold: sets the number of buckets from the amount of text. A bucket is worked off in ranges of
@@ -69,7 +69,7 @@ CHUNK, CHUNK_SETS = 1_000_000, 65_536
 #: it must hold in the worst case.
 MISS, MISS_HOT, SCARCE = 1e-8, 1e-6, 4.0
 #: One segment in so many is measured for each option; the cost of a candidate pair in signatures.
-SLICE, PAIR_COST = 64, 20.0
+SLICE, PAIR_COST = 64, 0.5
 #: Set numbers that are broadcast at most (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets a worker remembers.
@@ -369,8 +369,8 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 # ---- signing and matching
 _PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-_FIRST = _PARTS[: FIRST_BITS // 64]
-_RECORD = np.dtype([("sketch", np.uint64, len(_FIRST)), ("away", np.uint16), ("size", np.uint8)])
+_FIRST = _PARTS[: FIRST_BITS // 64 + 1]
+_RECORD = np.dtype([("sketch", np.uint64, len(_FIRST) - 1), ("half", np.uint32), ("away", np.uint16), ("size", np.uint8)])
 
 
 def _size_code(n: np.ndarray) -> np.ndarray:
@@ -385,7 +385,8 @@ def _sign(signer, buckets: int):
         with np.errstate(over="ignore"):
             sig, row = signer(sets)
         record = np.zeros(len(ids), _RECORD)
-        record["sketch"] = np.array(sketch, np.int64).view(_U).reshape(len(ids), len(_FIRST))
+        parts = np.array(sketch, np.int64).view(_U).reshape(len(ids), len(_FIRST))
+        record["sketch"], record["half"] = parts[:, :-1], parts[:, -1] & _U(0xFFFFFFFF)
         record["away"] = np.array(ids, np.int64) - ids[0]
         record["size"] = _size_code(np.array([len(s) for s in sets]))
         bucket = (sig >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
@@ -414,9 +415,10 @@ def _sign(signer, buckets: int):
 class _Sieve:
     """Pairs that sizes and sketches allow the threshold."""
 
-    def __init__(self, sketch: np.ndarray, size: np.ndarray, threshold: float):
-        self.parts = [np.ascontiguousarray(sketch[:, w]) for w in range(sketch.shape[1])]
-        self.size, self.most = size.astype(np.int16), FIRST_BITS - least_agreement(threshold, FIRST_BITS)
+    def __init__(self, records: np.ndarray, threshold: float):
+        sketch = records["sketch"]
+        self.parts = [*[np.ascontiguousarray(sketch[:, w]) for w in range(sketch.shape[1])], np.ascontiguousarray(records["half"])]
+        self.size, self.most = records["size"].astype(np.int16), FIRST_BITS - least_agreement(threshold, FIRST_BITS)
         self.apart = math.ceil(math.log(1 / threshold) / math.log(SIZE_BASE)) + 1
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -429,6 +431,9 @@ class _Sieve:
         x, y = x[ok], y[ok]
         return np.minimum(x, y) << 32 | np.maximum(x, y)
 
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(p[x] ^ p[y]).astype(np.int32) for p in self.parts)
+
 
 def _pairs(low: np.ndarray, rec: np.ndarray, sieve: _Sieve, most_sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (a << 32 | b, a < b) of the groups of up to ``most_sets`` members, and (signature, member) of larger ones."""
@@ -462,7 +467,7 @@ def _pairs(low: np.ndarray, rec: np.ndarray, sieve: _Sieve, most_sets: int) -> t
 
 
 def _match(threshold: float, most_sets: int, again: bool):
-    """(kind, a, b): kind 0 is a candidate pair of set numbers; of groups above ``most_sets`` kind 1 with the set's number and its hot
+    """(kind, a, b, d): kind 0 is a candidate pair of set numbers with its differing sketch bits; of groups above ``most_sets`` kind 1 with the set's number and its hot
     signatures in this bucket where sets are signed again, else kind 2 with the group and the set's number."""
 
     def bucket(k, blobs):
@@ -483,7 +488,7 @@ def _match(threshold: float, most_sets: int, again: bool):
         place = np.empty(len(ids), np.uint32)
         place[order] = np.arange(len(ids))
         ids, records, rec = ids[order], records[order], place[rec]
-        sieve = _Sieve(records["sketch"], records["size"], threshold)
+        sieve = _Sieve(records, threshold)
         bits = max(0, math.ceil(math.log2(max(1, len(low)) / AT_ONCE)))
         of = (low >> np.uint32(32 - bits)).astype(np.uint16) if bits else None
         found, groups_, members = [], [], []
@@ -499,8 +504,10 @@ def _match(threshold: float, most_sets: int, again: bool):
             a, kind = ids[a], 1
         else:
             a, b, kind = np.concatenate(groups_).astype(np.int64) | (k << 32), ids[members], 2
-        a, b = np.concatenate([ids[found >> 32], a]), np.concatenate([ids[found & 0xFFFFFFFF], b])
-        return pa.record_batch([pa.array(np.repeat([0, kind], [len(found), len(a) - len(found)]), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+        x, y = found >> 32, found & 0xFFFFFFFF
+        d = np.concatenate([sieve.differing(x, y), np.zeros(len(a), np.int32)])
+        a, b = np.concatenate([ids[x], a]), np.concatenate([ids[y], b])
+        return pa.record_batch([pa.array(np.repeat([0, kind], [len(found), len(a) - len(found)]), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["kind", "a", "b", "d"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -516,7 +523,7 @@ def _match(threshold: float, most_sets: int, again: bool):
 def _candidates(sets: DataFrame, signer, n_signatures: float, threshold: float, most_sets: int, again: bool) -> DataFrame:
     buckets = 1 << max(3, math.ceil(math.log2(max(1, n_signatures / PER_BUCKET))))
     signed = sets.select("n", "shingles", *_FIRST).mapInArrow(_sign(signer, buckets), "bucket int, blob binary")
-    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(threshold, most_sets, again), "kind int, a long, b long")
+    return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(threshold, most_sets, again), "kind int, a long, b long, d int")
 
 
 # ---- screening
@@ -548,13 +555,18 @@ def least_agreement(threshold: float, bits: int = SKETCH_BITS) -> int:
     return n
 
 
+_LAST = _PARTS[len(_FIRST) - 1 :]
+
+
 def _screen(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the threshold."""
-    of = lambda end: sketch.select(*[F.col(c).alias(f"{end}_{c}") for c in sketch.columns])
-    both = pairs.join(of("a"), F.col("a") == F.col("a_n")).join(of("b"), F.col("b") == F.col("b_n"))
-    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in _PARTS[1:]), F.bit_count(F.col(f"a_{_PARTS[0]}").bitwiseXOR(F.col(f"b_{_PARTS[0]}"))))
-    sizes = F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size") - 1e-9
-    return both.where(sizes & (differ <= SKETCH_BITS - least_agreement(threshold))).select("a", "b")
+    """The distinct pairs (a, b) of those (a, b, d) screened in their buckets whose other sketch bits, with the d differing ones of the first,
+    allow the threshold too."""
+    of = lambda end: sketch.select(F.col("n").alias(end), *[F.col(p).alias(f"{end}_{p}") for p in _LAST])
+    # one shuffle by a serves the removal of repeated pairs and the first join
+    both = pairs.repartition("a").distinct().join(of("a"), "a").join(of("b"), "b")
+    differ = [F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")) for p in _LAST]
+    differ = [F.bit_count(F.shiftrightunsigned(differ[0], 32)), *map(F.bit_count, differ[1:])]
+    return both.where(F.col("d") + sum(differ[1:], differ[0]) <= SKETCH_BITS - least_agreement(threshold)).select("a", "b")
 
 
 def _block_pairs(threshold: float):
@@ -647,10 +659,10 @@ def _common(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[at] == p).sum())
 
 
-def _only(sets: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """sets whose n is (left_semi) or is not (left_anti) among the written ``ids``: they are broadcast up to BROADCAST_IDS of them."""
+def only(rows: DataFrame, ids: DataFrame, how: str, key: str = "n") -> DataFrame:
+    """Rows whose key is (left_semi) or is not (left_anti) among the written ``ids``: they are broadcast up to BROADCAST_IDS of them."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return sets.join(F.broadcast(ids) if few else ids, "n", how)
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def _spare(plan: dict[int, tuple[int, float]], threshold: float):
@@ -673,25 +685,25 @@ def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: i
     ones = scratch.put(written.groupBy("same").agg(F.min(F.struct("n", "v")).alias("x"), F.count("*").alias("c")).select("same", F.col("x.n").alias("one_n"), F.col("x.v").alias("one"), "c"))
     repeated = scratch.put(written.select("n", "same").join(ones.where("c > 1"), "same").where("n <> one_n").select("n"))
     copies = scratch.put(every.select("v", "same").join(ones.select("same", "one"), "same").select("v", "one"))
-    sets = _only(written.select("n", "size", "shingles", *_FIRST), repeated, "left_anti")
+    sets = only(written.select("n", "size", "shingles", *_FIRST), repeated, "left_anti")
     n_shingles = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     plan = measure(sets, threshold)
     release(spark)
     per_shingle = max([m / top * (1 + 4 * share) for top, (m, share) in plan.items()] or [1.0]) * 1.5
     first = scratch.put(_candidates(sets, functools.partial(signatures, threshold=threshold, plan=plan), n_shingles * per_shingle, threshold, GROUP_MAX, True))
     release(spark)
-    pairs = first.where("kind = 0").select("a", "b").distinct()
+    pairs = first.where("kind = 0").select("a", "b", "d")
     hot = first.where("kind = 1").groupBy(F.col("a").alias("n")).agg(F.sum("b").alias("hot"))
     hot = scratch.put(hot.join(written.select("n", "size"), "n").where(F.col("hot") > _spare(plan, threshold)).select("n"))
     members = None
     if not hot.isEmpty():
-        some = scratch.put(_only(sets, hot, "left_semi"))
+        some = scratch.put(only(sets, hot, "left_semi"))
         often = frequencies(some)
         signer = functools.partial(rarest_first, threshold=threshold, often=often)
         n_hot = some.agg(F.sum("size")).first()[0]
         second = scratch.put(_candidates(some, signer, n_hot * (1 - threshold), threshold, TOGETHER, False))
         release(spark)
-        pairs = pairs.unionByName(second.where("kind = 0").select("a", "b")).distinct()
+        pairs = pairs.unionByName(second.where("kind = 0").select("a", "b", "d"))
         members = second.where("kind = 2").select(F.col("a").alias("group"), F.col("b").alias("n"))
         scratch.drop(some)
     sketch = written.select("n", "size", *_PARTS)
@@ -702,7 +714,7 @@ def links(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, k: i
     scratch.drop(first, hot, *([] if members is None else [second]))
     release(spark)
     ends = scratch.put(screened.select(F.explode(F.array("a", "b")).alias("n")).distinct())
-    some = scratch.put(_only(written.select("n", "v", "shingles"), ends, "left_semi"))
+    some = scratch.put(only(written.select("n", "v", "shingles"), ends, "left_semi"))
     scratch.drop(every, ones, repeated)
     of = lambda end: some.select(F.col("n").alias(end), F.col("v").alias("v" + end), F.col("shingles").alias("shingles" + end))
     both = screened.join(of("a"), "a").join(of("b"), "b").select("va", "vb", "shinglesa", "shinglesb")
