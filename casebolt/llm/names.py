@@ -1,14 +1,19 @@
 """Variant spellings of names, by a noisy channel.
 
 A typed name is read into a family (or firm) part, a given (or trade) part, a middle initial and how the given part was written. The
-frequent given parts of the whole collection are the candidates for the given part: exact, nickname, abbreviation, or one typing
-error away, weighed by frequency. Family parts are compared within one scope and given part, through the one-deletion
-neighbourhood of the spelling: each spelling is attached to the spelling with the largest posterior, its frequency times the
-likelihood of the error, against the probability of a new name so close to a known one. An initial is attached to the most probable
-full name with that initial. Attached spellings form one entity; the least identifier of it is its name.
-
-Defined results: a null or blank spelling (and one that is only a title or punctuation) names nobody and gets no row; a null scope
-is no scope and gives no row; equal spellings of one scope always name the same one; ties go to the alphabetically first spelling.
+frequent given parts of the whole collection are the candidates for the given part: exact, short form, abbreviation, or one typing
+error away, weighed by frequency. Short forms are learned: a given part that stands with another, more frequent one under the same family
+part of a scope far more often than chance brings them together is a short form of it (``short_forms``); no list of nicknames is used.
+
+Family parts are compared within one scope and given part, through the one-deletion neighbourhood of the spelling: each spelling is
+attached to the spelling with the largest posterior, its frequency times the likelihood of the error, against the probability that a
+new name of that length lies so close to a known one. Given parts that are no candidates are compared likewise under one family part, and a
+name in the other order of its parts is attached to the more frequent order. An initial is attached to the most probable full name
+with that initial. Attached spellings form one entity; the least identifier of it is its name.
+
+Defined results: a null or blank spelling is replaced by normalized_full_name, where the rows have it; a name without either (and one that
+is only a title or punctuation) names nobody and gets no row; a null scope is no scope and gives no row; equal spellings of one scope
+always name the same one; ties go to the alphabetically first spelling.
 """
 
 from __future__ import annotations
@@ -22,27 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebolt.common import Scratch
-from casebolt.llm.groups import contract
-
-# Common English, German, Spanish and other short forms and the full given names they stand for.
-NICKNAMES = {
-    "abby": "abigail", "gail": "abigail", "alex": "alexandra", "sandra": "alexandra", "sasha": "alexandra", "drew": "andrew", "andy": "andrew",
-    "tony": "anthony", "ben": "benjamin", "cathy": "catherine", "kathy": "katherine", "kate": "katherine", "katie": "katherine", "kit": "christopher",
-    "charlie": "charles", "chuck": "charles", "chris": "christopher", "dan": "daniel", "danny": "daniel", "dave": "david", "debbie": "deborah",
-    "dot": "dorothea", "dorothy": "dorothea", "thea": "dorothea", "ed": "edward", "eddie": "edward", "ned": "edward", "liz": "elizabeth", "lisa": "elizabeth",
-    "beth": "elizabeth", "betty": "elizabeth", "betsy": "elizabeth", "eliza": "elizabeth", "paco": "francisco", "pancho": "francisco", "frank": "francis",
-    "fred": "frederick", "freddie": "frederick", "fritz": "friedrich", "greg": "gregory", "memo": "guillermo", "hank": "henry", "harry": "henry",
-    "bella": "isabella", "izzy": "isabella", "jim": "james", "jimmy": "james", "jamie": "james", "jen": "jennifer", "jenny": "jennifer",
-    "jeff": "jeffrey", "hannes": "johannes", "hans": "johannes", "jack": "john", "johnny": "john", "jon": "jonathan", "joe": "joseph", "pepe": "jose",
-    "ken": "kenneth", "leo": "leonard", "len": "leonard", "lenny": "leonard", "larry": "lawrence", "peggy": "margaret", "meg": "margaret",
-    "maggie": "margaret", "greta": "margaret", "marge": "margaret", "matt": "matthew", "mike": "michael", "mick": "michael", "nate": "nathaniel",
-    "nick": "nicholas", "klaus": "nicholas", "seun": "oluwaseun", "paddy": "patrick", "pat": "patrick", "pete": "peter", "phil": "philip",
-    "becky": "rebecca", "becca": "rebecca", "dick": "richard", "rick": "richard", "rich": "richard", "bob": "robert", "bobby": "robert", "rob": "robert",
-    "robbie": "robert", "ron": "ronald", "sam": "samuel", "steve": "stephen", "sue": "susannah", "susie": "susannah", "susan": "susannah", "ted": "theodore",
-    "theo": "theodore", "teddy": "theodore", "tom": "thomas", "tommy": "thomas", "tim": "timothy", "tina": "valentina", "val": "valentina",
-    "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "mina": "wilhelmina", "willa": "wilhelmina", "minnie": "wilhelmina", "bill": "william",
-    "billy": "william", "will": "william", "liam": "william", "zach": "zacharias", "zack": "zacharias", "zac": "zacharias", "joey": "joseph", "sandy": "alexandra",
-}
+from casebolt.llm.groups import contract, pairs_within
 
 # Words around a name that are no part of it.
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "dame", "herr", "frau", "hr", "fr", "sr", "sra", "mme", "mlle", "mag", "ing"}
@@ -54,7 +39,10 @@ LEGAL = {
 
 #: A given part is a candidate for all scopes from this share of all names on, so there are at most 1 / share of them.
 COMMON_SHARE, COMMON_LEAST = 5e-4, 8
-#: Probability that a typed name holds one error, and that a new name lies so close to a known one of the scope.
+#: A short form stands with its full form in so many families and in this part of its own, so many times oftener than by chance, and is so
+#: much rarer.
+SHORT_LEAST, SHORT_PART, SHORT_LIFT, SHORT_RARER = 3, 0.3, 5.0, 1.5
+#: Probability that a typed name holds one error, and the least that a new name lies so close to a known one of the scope.
 P_ERROR, P_NEW = 0.08, 1e-4
 #: Part of an explained spelling's frequency that supports its origin.
 EXPLAINED = 0.3
@@ -116,10 +104,10 @@ def deletions(w: str) -> set[str]:
 
 
 class Channel:
-    """Reads names with the collection's common given parts (word -> count)."""
+    """Reads names with the collection's common given parts (word -> count) and their short forms (word -> full form)."""
 
-    def __init__(self, common: dict[str, int]):
-        self.common = common
+    def __init__(self, common: dict[str, int], short: dict[str, str] | None = None):
+        self.common, self.short = common, short or {}
         self.by_key: dict[str, set[str]] = {}
         for w in common:
             if len(w) > 3:
@@ -128,15 +116,14 @@ class Channel:
         self.given = functools.lru_cache(200_000)(self._given)
 
     def _formal(self, w: str) -> str:
-        to = NICKNAMES.get(w)
-        return to if to and (to in self.common or w not in self.common) else w
+        return self.short.get(w, w)
 
     def _given(self, w: str) -> tuple[str, str]:
         """(full form, how it was written) of a given part."""
         bare = w.strip(".")
         if len(bare) == 1:
             return bare, "initial"
-        if bare in self.common or bare in NICKNAMES:
+        if bare in self.common:
             full = self._formal(bare)
             return full, "exact" if full == bare else "nickname"
         if w.endswith(".") or len(bare) <= 4:
@@ -203,9 +190,37 @@ def common_given(names: DataFrame, share: float = COMMON_SHARE, least: int = COM
     return {r["word"]: r["n"] for r in counts.where((F.col("n") >= floor) & (F.col("n") > 2 * F.col("f"))).collect()}
 
 
-def _read(common: dict[str, int]):
+def short_forms(names: DataFrame, common: dict[str, int]) -> dict[str, str]:
+    """short -> full form, of the common given parts. For each two of them: in how many (scope, family) both stand, against how many that
+    would be by chance. At most as many rows as common parts come to the driver; a family of any size holds at most that many."""
+    if not common:
+        return {}
+    read = names.mapInArrow(_read(common, {}), READ).where("how = 'exact' and given <> '' and family <> ''").select("scope", "family", "given").distinct()
+    n = read.groupBy("given").agg(F.count("*").alias("n"))
+    total = read.select("scope", "family").distinct().count()
+    both = read.join(read.withColumnRenamed("given", "other"), ["scope", "family"]).where("given <> other").groupBy("given", "other").agg(F.count("*").alias("both"))
+    both = both.join(n, "given").join(n.select(F.col("given").alias("other"), F.col("n").alias("n_other")), "other")
+    lift = F.col("both") * total / (F.col("n") * F.col("n_other"))
+    kept = both.where((F.col("both") >= SHORT_LEAST) & (F.col("both") >= SHORT_PART * F.col("n")) & (lift >= SHORT_LIFT) & (F.col("n_other") > SHORT_RARER * F.col("n")))
+    best = kept.groupBy("given").agg(F.max_by("other", F.struct(F.col("both") / F.col("n"), "other")).alias("full")).collect()
+    to = {r["given"]: r["full"] for r in best}
+    # a form that is itself short stands for what that one stands for
+    ends = {}
+    for w in to:
+        full, seen = to[w], {w}
+        while full in to and full not in seen:
+            seen.add(full)
+            full = to[full]
+        ends[w] = full
+    return {w: f for w, f in ends.items() if w != f}
+
+
+READ = "identifier_id long, scope string, family string, given string, how string, middle string"
+
+
+def _read(common: dict[str, int], short: dict[str, str]):
     def run(batches):
-        ch = Channel(common)
+        ch = Channel(common, short)
         for b in batches:
             got = [ch.read(t) for t in b.column(2).to_pylist()]
             keep = pa.array([g is not None for g in got])
@@ -219,48 +234,73 @@ def _deletion_keys(batches):
     for b in batches:
         node, scope, given, family, n, key = ([] for _ in range(6))
         for v, s, g, f, c in zip(*(x.to_pylist() for x in b.columns)):
-            for k in sorted(deletions(f)) if len(f) > 3 else [f]:
+            for k in sorted(deletions(f)) if len(f) > 1 else [f]:
                 for col, x in zip((node, scope, given, family, n, key), (v, s, g, f, c, k)):
                     col.append(x)
         yield pa.record_batch([pa.array(node, pa.int64()), pa.array(scope, pa.string()), pa.array(given, pa.string()), pa.array(family, pa.string()), pa.array(n, pa.float64()), pa.array(key, pa.string())], names=["node", "scope", "given", "family", "n", "key"])
 
 
+def _chance(word, errors):
+    """Probability that a new name of the length of ``word`` lies within so many errors of a given one: its neighbours among all words, at
+    least P_NEW."""
+    n = F.length(word)
+    return F.greatest(F.lit(P_NEW), F.pow(52 * n, errors) / F.pow(F.lit(26.0), n))
+
+
+def _attached(met: DataFrame) -> DataFrame:
+    """(a, b): each spelling a with the spelling b of largest posterior, from pairs (a, fa, na, b, fb, nb, errors) in both orders."""
+    # a spelling's frequency is its own and part of that of the spellings it explains with one error
+    explains = met.where("errors = 1").groupBy(F.col("b").alias("node")).agg((F.sum("na") * EXPLAINED).alias("more"))
+    support = lambda df, v, out: df.join(explains.select(F.col("node").alias(v), "more"), v, "left").withColumn(out, F.col("n" + v) + F.coalesce("more", F.lit(0.0))).drop("more")
+    ranked = support(support(met, "a", "sa"), "b", "sb").where("sb > sa or (sb = sa and fb < fa)")
+    posterior = F.col("sb") * F.pow(F.lit(P_ERROR), F.col("errors")) / F.length("fb")
+    return ranked.withColumn("p", posterior).where(F.col("p") > _chance("fa", F.col("errors")) * F.col("na")).groupBy("a").agg(F.max_by("b", F.struct("p", F.col("fb"))).alias("b"))
+
+
+def _keyed(nodes: DataFrame, fixed: str, word: str) -> DataFrame:
+    """(node, scope, fixed, word, n, key) for every one-deletion key of ``word``."""
+    return nodes.select("node", "scope", F.col(fixed).alias("given"), F.col(word).alias("family"), "n").mapInArrow(_deletion_keys, "node long, scope string, given string, family string, n double, key string")
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    side = lambda v: keyed.select("scope", "given", "key", F.col("node").alias(v), F.col("family").alias("f" + v), F.col("n").alias("n" + v))
+    met = side("a").join(side("b"), ["scope", "given", "key"]).where("a <> b").dropDuplicates(["a", "b"])
+    return met.withColumn("errors", _distance_udf()("fa", "fb"))
+
+
 def entities(identifiers: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """identifier_id, provider_scope, entity_name_id, family, given, how: one row per name row that names someone.
 
     entity_name_id is the least identifier_id of the rows that name the same person or organisation of the scope."""
     spark = identifiers.sparkSession
     scratch = scratch or Scratch(spark, "names")
-    names = identifiers.where(F.lower(F.trim(F.regexp_replace("identifier_type", r"[\s ]+", " "))) == "name").where("provider_scope is not null and display_value is not null")
-    names = names.select("identifier_id", F.col("provider_scope").alias("scope"), "display_value")
+    shown = F.when(F.trim("display_value") != "", F.col("display_value"))
+    if "normalized_full_name" in identifiers.columns:
+        shown = F.coalesce(shown, F.col("normalized_full_name"))
+    names = identifiers.where(F.lower(F.trim(F.regexp_replace("identifier_type", r"[\s ]+", " "))) == "name").where("provider_scope is not null")
+    names = names.select("identifier_id", F.col("provider_scope").alias("scope"), shown.alias("display_value")).where("display_value is not null")
     common = common_given(names)
-    read = scratch.put(names.mapInArrow(_read(common), "identifier_id long, scope string, family string, given string, how string, middle string"))
-    node = F.xxhash64("scope", "family", "given")
-    read = read.withColumn("node", node)
+    read = scratch.put(names.mapInArrow(_read(common, short_forms(names, common)), READ)).withColumn("node", F.xxhash64("scope", "family", "given"))
     # spellings without an error count in full, others little
-    weight = F.when(F.col("how").isin("exact", "nickname", "short"), 1.0).otherwise(0.2)
-    full = read.where("how <> 'initial'").groupBy("node", "scope", "given", "family").agg(F.sum(weight).alias("n"))
-    # 1. family parts one error apart, of one scope and given part: attach to the largest posterior
-    keyed = full.mapInArrow(_deletion_keys, "node long, scope string, given string, family string, n double, key string")
-    distance = _distance_udf()
-    left = keyed.select("scope", "given", "key", F.col("node").alias("a"), F.col("family").alias("fa"), F.col("n").alias("na"))
-    right = keyed.select("scope", "given", "key", F.col("node").alias("b"), F.col("family").alias("fb"), F.col("n").alias("nb"))
-    met = left.join(right, ["scope", "given", "key"]).where("a <> b").dropDuplicates(["a", "b"])
-    # two errors from an unseen spelling between them are believed in long names only
-    met = scratch.put(met.withColumn("errors", distance("fa", "fb")).where("errors = 1 or (errors = 2 and length(fa) >= 8)"))
-    # a spelling's frequency is its own and part of that of the spellings it explains with one error
-    explains = met.where("errors = 1").groupBy(F.col("b").alias("node")).agg((F.sum("na") * EXPLAINED).alias("more"))
-    support = lambda df, v, out: df.join(explains.select(F.col("node").alias(v), "more"), v, "left").withColumn(out, F.col("n" + v) + F.coalesce("more", F.lit(0.0))).drop("more")
-    ranked = support(support(met, "a", "sa"), "b", "sb").where("sb > sa or (sb = sa and fb < fa)")
-    posterior = F.col("sb") * F.pow(F.lit(P_ERROR), F.col("errors")) / F.length("fb")
-    best = ranked.withColumn("p", posterior).where(F.col("p") > P_NEW * F.col("na")).groupBy("a").agg(F.max_by("b", F.struct("p", F.col("fb"))).alias("b"))
-    # 2. initials: the most probable full name of the scope with that initial and the family, at most one error away
+    weight = F.when(F.col("how").isin("exact", "nickname", "short", "rare"), 1.0).otherwise(0.2)
+    full = read.where("how <> 'initial'").groupBy("node", "scope", "given", "family").agg(F.sum(weight).alias("n"), F.max(F.col("how") == "rare").alias("rare"))
+    # 1. family parts of one scope and given part
+    keyed = scratch.put(_keyed(full, "given", "family"))
+    edges = _attached(scratch.put(_met(keyed)))
+    # 2. given parts that are no candidates, of one scope and family part; and names in the other order of such parts
+    rare = full.where("rare and given <> ''")
+    edges = edges.unionByName(_attached(scratch.put(_met(_keyed(rare, "family", "given")))))
+    turned = rare.select("scope", F.col("given").alias("family"), F.regexp_replace("family", r"[^\w]", "").alias("given"), F.col("node").alias("a"), F.col("n").alias("na"))
+    there = full.select("scope", "family", F.regexp_replace("given", r"[^\w]", "").alias("given"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    edges = edges.unionByName(turned.join(there, ["scope", "family", "given"]).where("nb > na or (nb = na and b < a)").select("a", "b"))
+    # 3. initials: the most probable full name of the scope with that initial and the family, at most one error away
     short = read.where("how = 'initial'").groupBy("node", "scope", "given", "family").agg(F.count("*").cast("double").alias("n"))
-    skey = short.mapInArrow(_deletion_keys, "node long, scope string, given string, family string, n double, key string").select("scope", F.col("given").alias("initial"), "key", F.col("node").alias("a"), F.col("family").alias("fa"))
+    skey = _keyed(short, "given", "family").select("scope", F.col("given").alias("initial"), "key", F.col("node").alias("a"), F.col("family").alias("fa"))
     cand = keyed.where("given <> ''").select("scope", F.substring("given", 1, 1).alias("initial"), "key", F.col("node").alias("b"), F.col("family").alias("fb"), F.col("given").alias("gb"), F.col("n").alias("nb"))
-    met = skey.join(cand, ["scope", "initial", "key"]).dropDuplicates(["a", "b"]).withColumn("errors", distance("fa", "fb")).where("errors <= 1")
-    full_initials = met.groupBy("a").agg(F.max_by("b", F.struct(F.col("nb") * F.pow(F.lit(P_ERROR), F.col("errors")), "gb", "fb")).alias("b"))
-    edges = best.select("a", "b").unionByName(full_initials.select("a", "b"))
+    met = skey.join(cand, ["scope", "initial", "key"]).dropDuplicates(["a", "b"]).withColumn("errors", _distance_udf()("fa", "fb")).where("errors <= 1")
+    likely = F.col("nb") * F.pow(F.lit(P_ERROR), F.col("errors"))
+    near_enough = (F.col("errors") == 0) | (F.lit(P_ERROR) / F.length("fb") * F.col("nb") > _chance("fa", F.lit(1)))
+    edges = edges.unionByName(met.where(near_enough).groupBy("a").agg(F.max_by("b", F.struct(likely, "gb", "fb")).alias("b")))
     roots = contract(edges, scratch)
     named = read.join(roots.select(F.col("v").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("scope", "root").agg(F.min("identifier_id").alias("entity_name_id"))
@@ -280,7 +320,6 @@ def _distance_udf():
 
 def found(identifiers: DataFrame) -> DataFrame:
     """left_identifier_id, right_identifier_id of all pairs of one entity: the case list asks for every pair."""
-    e = entities(identifiers).select("provider_scope", "entity_name_id", "identifier_id")
-    a = e.select("provider_scope", "entity_name_id", F.col("identifier_id").alias("left_identifier_id"))
-    b = e.select("provider_scope", "entity_name_id", F.col("identifier_id").alias("right_identifier_id"))
-    return a.join(b, ["provider_scope", "entity_name_id"]).where("left_identifier_id < right_identifier_id").select("left_identifier_id", "right_identifier_id")
+    scratch = Scratch(identifiers.sparkSession, "names")
+    e = scratch.put(entities(identifiers, scratch).select("provider_scope", "entity_name_id", "identifier_id"))
+    return pairs_within(e, ["provider_scope", "entity_name_id"], "identifier_id", "left_identifier_id", "right_identifier_id").select("left_identifier_id", "right_identifier_id")

@@ -193,7 +193,7 @@ def test_plans_with_neighbourhoods_find_the_same_links(spark, monkeypatch):
 
 
 def test_signature_bytes_are_bounded():
-    """However many buckets there are, a signature costs 25 bytes at most."""
+    """However many buckets there are, a signature costs 29 bytes at most."""
     import numpy as np
     import pyarrow as pa
 
@@ -330,6 +330,8 @@ NAMES = [
 def test_names(spark):
     fill = [(1000 + i, f"{g} Fam{a}{b}ly", "other") for i, (g, a, b) in enumerate((g, a, b) for g in ("Robert", "Ursula") for a in "abcdefgh" for b in "rstuv")]
     fill += [(3000 + i, f"Fam{c}{c}{c} Timber LLC", "other") for i, c in enumerate("abcdefghijkl")]
+    # Bob stands beside Robert in many families, and in no other
+    fill += [(4000 + i, f"Bob Fam{a}{b}ly", "other") for i, (a, b) in enumerate((a, b) for a in "abcd" for b in "rst")]
     rows = [(i, n, "ws", "Name ") for i, n in NAMES] + [(i, n, s, "name") for i, n, s in fill] + [(5000, "Robert Linolm", None, "name"), (5001, "Robert Linolm", "ws2", "name"), (5002, "Robert Linolm", "ws", "email")]
     d = spark.createDataFrame(rows, "identifier_id long, display_value string, provider_scope string, identifier_type string").withColumn("family", F.lit("clash"))
     got = {r.identifier_id: r.entity_name_id for r in names.entities(d).where("provider_scope like 'ws%'").collect()}
@@ -338,6 +340,16 @@ def test_names(spark):
     assert names.found(d.limit(0)).count() == 0
 
 
+def test_names_of_rare_given_parts_and_short_families(spark):
+    """Given parts that are no candidates meet by one-deletion keys and in either order; short family parts by the chance of their length."""
+    rows = [(1, "Xiomara Lopezar"), (2, "Xiomara Lopezar"), (3, "Xiomra Lopezar"), (4, "Lopezar Xiomara"), (5, "Lopezar, Xiomara"), (6, "Quillon Lopezar"), (7, "X. Lopezar")]
+    rows += [(20 + i, "Xiomara Lio") for i in range(30)] + [(60, "Xiomara Loi"), (70, None), (71, " ")]
+    d = spark.createDataFrame([(i, n, "ws", "name", "quillon lopezar" if i in (70, 71) else None) for i, n in rows], "identifier_id long, display_value string, provider_scope string, identifier_type string, normalized_full_name string")
+    got = {r.identifier_id: r.entity_name_id for r in names.entities(d).collect()}
+    assert {i for i, e in got.items() if e == 1} == {1, 2, 3, 4, 5, 7}
+    assert {i for i, e in got.items() if e == 6} == {6, 70, 71} and got[60] == 20
+
+
 MAILS = [
     ("Fine.\n\nMfG\nOluwaseun\n\nReview Lead, X Pharma\nTel. +00 555 7863\n\n-----Ursprüngliche Nachricht-----\nVon: A\nGesendet: heute\nAn: B\nBetreff: c\n\nAlt.", "Fine."),
     ("On Wed, Jan 11, 2023 at 7:43 PM W N\n<w.n@x.example>\nwrote:\n> old one\n> old two\n\nNew text.\n\n> more old\n\nLast new.\n-- \nMe\n", "New text. Last new."),
