@@ -61,3 +61,20 @@ def families(spark, d) -> DataFrame:
     kind = F.when(F.col("flag") == "R", "reply_thread").when(F.col("flag") == "A", "attachment")
     c = l.select((F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") * 1000).alias("parent_id"), kind.alias("child_kind"), F.when(F.col("status") == "F", "deleted").otherwise("active").alias("lifecycle_status"))
     return o.unionByName(c)
+
+
+def threaded(spark, d) -> DataFrame:
+    """Sidecar rows as mails with threading headers. The rows have none of their own, so they follow from the row before: some answer it, some refer
+    to the two before it, some carry a conversation index, some have no id at all and are left to their subject."""
+    g = table(spark, d, "gmail_metadata").select("meta_id", "loaded_at", F.lower("rfc822messageid").alias("own"), "subject", "from_addr", "to_addr", "cc", "account")
+    before = lambda n: g.select((F.col("meta_id") + n).alias("meta_id"), F.col("own").alias(f"b{n}"))
+    j, k = g.join(before(1), "meta_id", "left").join(before(2), "meta_id", "left"), F.col("meta_id")
+    people = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "from_addr", "to_addr", "cc")), F.lit("([a-z0-9._+-]+@[a-z0-9.-]+)"), F.lit(1))))
+    bare, text = k % 6 == 0, F.lit(None).cast("string")
+    return j.select(
+        k.alias("id"), F.date_format("loaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.when(~bare, F.col("own")).alias("message_id"), F.when(~bare & (k % 4 == 3), F.col("b1")).alias("in_reply_to"),
+        F.when(~bare & (k % 5 == 4), F.array_compact(F.array("b2", "b1"))).otherwise(F.array().cast("array<string>")).alias("references"),
+        F.when(k % 12 == 0, F.concat(F.lit("root"), F.floor(k / 36))).alias("index_root"), F.when(k % 24 == 0, F.lit("Topic")).alias("topic"),
+        F.lower(F.trim(F.regexp_replace("subject", r"(?i)^\s*((re|fwd?)\s*:\s*)+", ""))).alias("subject"), people.alias("people"), F.col("account").alias("custodian"),
+        F.when(k % 50 == 1, F.concat(F.lit("pin"), F.floor(k / 100))).otherwise(text).alias("manual"),
+    )

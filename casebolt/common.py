@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -31,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder. Only where the session names none (tests on
-    one machine) a temporary folder is set."""
+    """The folder that all executors share: the session's checkpoint folder. Where the session names none, a session on one machine
+    (tests) gets a temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="casebolt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -63,6 +66,13 @@ class Scratch:
         back._casebolt_path = path
         return back
 
+    @staticmethod
+    def there(df: DataFrame) -> bool:
+        """Whether a written table is still in its folder."""
+        sc = df.sparkSession.sparkContext
+        hp = sc._jvm.org.apache.hadoop.fs.Path(df._casebolt_path)
+        return hp.getFileSystem(sc._jsc.hadoopConfiguration()).exists(hp)
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:

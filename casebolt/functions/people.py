@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,39 +12,53 @@ from pyspark.sql import types as T
 
 from casebolt.operators.packed import address_parses
 
-# Honorifics before and marks after a name.
-BEFORE = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "herr", "frau"}
-AFTER = {"esq", "jr", "sr", "ii", "iii", "iv", "phd", "md"}
+# Honorifics and marks that are no part of a name, and words of mail stores around one.
+NO_NAME = "mr|mrs|ms|miss|dr|prof|jr|sr|ii|iii|iv|esq"
+STORES = "mailbox|archive|export|pst|mbox"
 
-NAME = T.StructType([T.StructField(c, T.StringType()) for c in ("given", "middle", "family", "sort_name")] + [T.StructField("is_full", T.BooleanType())])
+NAME = T.StructType([T.StructField(c, T.StringType()) for c in ("given", "middle", "family", "full_name", "sort_name")] + [T.StructField("is_full", T.BooleanType())])
+_NO_NAME, _STORES = re.compile(rf"(?i)\b(?:{NO_NAME})\b\.?"), re.compile(rf"(?i)\b(?:{STORES})\b")
+
+
+def _lookup(t: str) -> str:
+    return " ".join(re.sub(r"[^\w@.+#/-]+", " ", t.lower()).split())
+
+
+def name_words(text: str) -> list[str]:
+    """The words of a name, without marks, honorifics and full stops."""
+    return [w for w in re.split(r"[\s.]+", _NO_NAME.sub(" ", re.sub("[\"'()<>]", " ", text))) if re.search("[A-Za-z]", w)]
 
 
 def parse_name(text: str | None) -> dict | None:
-    """given, middle, family, sort name and whether both ends are there; "Family, Given" is turned round; blank is no name."""
-    if not text or not text.strip():
+    """given, middle, family, full and sort form, and whether given and family part are there. "Family, Given" is turned round; one word
+    is a given part. Blank texts, addresses and texts without a letter name nobody."""
+    t = " ".join(unicodedata.normalize("NFKC", text or "").split())
+    bare = " ".join(_STORES.sub(" ", t).split())
+    t = bare if len(name_words(bare)) > 1 else t
+    if not t or "@" in t:
         return None
-    t = re.sub(r"<[^>]*>|\([^)]*\)", " ", text).strip().strip("\"'")
-    parts = [p.split() for p in t.split(",")]
-    parts = [p for p in parts if p and not all(w.strip(".").lower() in AFTER for w in p)]
-    if not parts:
+    family, given = (name_words(x) for x in ([*t.split(",", 1), ""])[:2])
+    if not (family and given):
+        words = name_words(t)
+        given, family = (words[:-1], words[-1:]) if len(words) > 1 else (words, [])
+    if not given:
         return None
-    words = (parts[1] + parts[0]) if len(parts) > 1 else parts[0]
-    family_words = len(parts[0]) if len(parts) > 1 else 1
-    while len(words) > 1 and words[0].strip(".").lower() in BEFORE:
-        words = words[1:]
-    while len(words) > 1 and words[-1].strip(".").lower() in AFTER:
-        words = words[:-1]
-    if len(words) == 1:
-        return {"given": None, "middle": None, "family": words[0], "sort_name": words[0].lower(), "is_full": False}
-    family_words = min(family_words, len(words) - 1)
-    given, middle, family = words[0], " ".join(words[1:-family_words]) or None, " ".join(words[-family_words:])
-    return {"given": given, "middle": middle, "family": family, "sort_name": " ".join(filter(None, [family, given, middle])).lower(), "is_full": len(given.strip(".")) > 1}
+    form = lambda ws: _lookup(" ".join(ws))
+    sort_name = " ".join(filter(None, map(form, (family, given[:1], given[1:]))))
+    return {"given": given[0], "middle": " ".join(given[1:]) or None, "family": " ".join(family) or None, "full_name": form([*given, *family]), "sort_name": sort_name, "is_full": bool(family)}
 
 
 @F.pandas_udf(NAME)
 def name_parts(s: pd.Series) -> pd.DataFrame:
-    rows = [parse_name(x) if isinstance(x, str) else None for x in s]
-    return pd.DataFrame([r or dict.fromkeys(("given", "middle", "family", "sort_name", "is_full")) for r in rows], columns=["given", "middle", "family", "sort_name", "is_full"])
+    fields = NAME.fieldNames()
+    return pd.DataFrame([(parse_name(x) if isinstance(x, str) else None) or dict.fromkeys(fields) for x in s], columns=fields)
+
+
+def is_full_name(c) -> Column:
+    """Whether a text names somebody by two words or more; inside the JVM."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(c, "[\"'()<>]", " "), rf"(?i)\b(?:{NO_NAME})\b\.?", " ")
+    return ~c.contains("@") & (F.size(F.filter(F.split(bare, r"[\s.]+"), lambda w: w.rlike("[A-Za-z]"))) >= 2)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import mimetypes
 import re
 import unicodedata
 
@@ -81,27 +82,25 @@ def clean_text(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", t).strip()
 
 
+def _chunk_end(t: str, start: int, size: int) -> int:
+    """Where the chunk that begins at ``start`` ends: at the last line end of its final zone, else the last blank of it, else at its size."""
+    full = start + size
+    if full >= len(t):
+        return len(t)
+    last = [t.rfind(mark, max(start + LEAST_FILL, full - zone), full) for mark, zone in (("\n", LINE_ZONE), (" ", BLANK_ZONE))]
+    return next((x for x in last if x > start), full)
+
+
 def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int, str]]:
-    """(char_start, char_end, chunk) over the cleaned text. A chunk ends at the last line end of its final zone, else at the last
-    blank of it, else at its full size; the next one starts an overlap before."""
+    """(char_start, char_end, chunk) over the cleaned text: the windows first, each beginning an overlap before the last one's end, then
+    their spans without white space around; blank windows have none."""
     t = clean_text(text)
-    out, start, n = [], 0, len(t)
-    while start < n:
-        end = min(n, start + size)
-        if end < n:
-            for mark, zone in (("\n", LINE_ZONE), (" ", BLANK_ZONE)):
-                at = t.rfind(mark, max(start + LEAST_FILL, end - zone), end)
-                if at > start:
-                    end = at
-                    break
-        piece = t[start:end].strip()
-        if piece:
-            s = t.index(piece, start)
-            out.append((s, s + len(piece), piece))
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    windows = [(0, _chunk_end(t, 0, size))] if t else []
+    while windows and windows[-1][1] < len(t):
+        begin = max(windows[-1][1] - overlap, windows[-1][0] + 1)
+        windows.append((begin, _chunk_end(t, begin, size)))
+    spans = ((a + len(w) - len(w.lstrip()), w.strip()) for a, w in ((a, t[a:b]) for a, b in windows))
+    return [(a, a + len(w), w) for a, w in spans if w]
 
 
 def chunks(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -117,28 +116,58 @@ def chunks(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "document_id long, chunk_index int, char_start int, char_end int, token_estimate long, text_content string")
 
 
-# Content classes by file extension.
+# Content classes by file extension. Images, audio and video follow the public media types; extensions of program texts
+# are a parameter, as their number grows.
 CONTENT_TYPES = {
-    "Email": "eml msg", "Chat": "chat slack", "Calendar": "ics", "Spreadsheet / Table": "csv tsv xls xlsx ods", "Presentation": "ppt pptx odp",
-    "Image": "png jpg jpeg gif bmp tif tiff webp heic", "E-Doc": "doc docx pdf rtf txt md odt", "Web": "htm html", "Code": "py js java c cpp sql sh json xml yaml yml",
+    "Email": "dbx eml emlx mbox msg nsf ost p7m p7s pst tnef vcf",
+    "Spreadsheet / Table": "123 csv dat dif gsheet numbers ods ots qpw slk sxc tsv xla xlam xlm xls xlsb xlsm xlsx xlt xltm xltx xlw",
+    "Presentation": "gslides key odp pot potm potx pps ppsm ppsx ppt pptm pptx sdd sldm sldx sti",
+    "Database": "accdb bak bson dbf dmp exp frm json ldf mdb mdf myd myi ndf odb ora pdb rdb sql",
+    "Web": "htm html mht mhtml xhtm xhtml xml",
+    "E-Doc": "doc docm docx dot dotm dotx eps fm md one pdf ps pub rtf txt vdx vsd vsdm vsdx vst vsx wpd wps",
+    "Container": "7z alzip bz2 cab e01 ex01 gz l01 lx01 rar tar z zip",
+    "Calendar": "calendar ical icalendar ics ifb invite vcal vcs",
+    "CAD": "dwg dxf eprt sldasm slddrw sldprt stl",
+    "Message": "rsmf",
+    "Image": "emf psd tga wmf heic", "Audio": "amr flac m4a ogg wma", "Video": "avi flv mkv wmv",
 }
+SOURCE_CODE = "bash c cpp cs css go h ini ipynb jar java js jsp jsx kt lua php pl ps1 py r rb rs scala sh swift ts tsx vb yaml yml"
+MEDIA = {"image": "Image", "audio": "Audio", "video": "Video"}
+
+
+def content_classes(source_code: str = SOURCE_CODE, more: dict[str, str] | None = None) -> dict[str, str]:
+    """extension -> class: media types first, then the named extensions, then ``more``."""
+    out = {e[1:]: MEDIA[m.split("/")[0]] for e, m in mimetypes.MimeTypes(filenames=()).types_map[True].items() if m.split("/")[0] in MEDIA}
+    out |= {e: kind for kind, exts in CONTENT_TYPES.items() for e in exts.split()} | {e: "Source Code" for e in source_code.split()}
+    return out | (more or {})
 
 
 def extension(c) -> Column:
     return F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]{1,8})$", 1))
 
 
-def content_type(c) -> Column:
-    out = None
-    for kind, exts in CONTENT_TYPES.items():
-        test = extension(c).isin(*exts.split())
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("Other")
+def content_type(c, classes: dict[str, str] | None = None) -> Column:
+    """Class of a file name by its extension; null for an unknown one."""
+    of: dict[str, list[str]] = {}
+    for e, kind in (classes or content_classes()).items():
+        of.setdefault(kind, []).append(e)
+    e = extension(c)
+    return F.coalesce(*[F.when(e.isin(*sorted(v)), kind) for kind, v in of.items()])
+
+
+def content_type_by_text(text, file_type=None, headers=None, chat=None) -> Column:
+    """Class that a text itself shows: mail headers (boolean), a chat (boolean), a calendar in its first lines; else null."""
+    head = F.upper(F.substring(text, 1, 4000))
+    calendar = head.contains("BEGIN:VCALENDAR") | head.contains("BEGIN:VEVENT")
+    if file_type is not None:
+        calendar = calendar | ((F.col(file_type) == "xml") & head.contains("<VCALENDAR"))
+    none = F.lit(False)
+    return F.when(none if headers is None else headers, "Email").when(none if chat is None else chat, "Chat").when(calendar, "Calendar")
 
 
 def unique_names(c) -> Column:
     """Distinct trimmed entries of a ;-list, in first-seen order."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def name_list(c: Column, most: int = 3) -> Column:

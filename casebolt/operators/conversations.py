@@ -7,6 +7,8 @@ key columns given), and the exact ordered cascade runs inside each component wit
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 import pandas as pd
@@ -82,7 +84,21 @@ def slack_threads(messages: DataFrame) -> DataFrame:
 
 
 # ---- mail threading
-THREADED = "id long, cluster long, how string, conversation_key string"
+THREADED = "id long, cluster long, how string, conversation_key string, display_name string"
+
+
+def _cluster(strong: bool) -> dict:
+    return {"subjects": set(), "people": set(), "custodians": set(), "last": None, "strong": strong, "ids": set(), "roots": set(), "topics": set(), "names": []}
+
+
+def _key(v: dict) -> str:
+    """The key of a conversation: its least message id, else its Outlook topic and index root, else the root, else a digest of subject and people."""
+    if v["ids"]:
+        return f"rfc:{min(v['ids'])}"
+    if v["roots"]:
+        return f"outlook:{min(v['topics'])}:{min(v['roots'])}" if v["topics"] else f"outlook_index:{min(v['roots'])}"
+    about = {"subject": min(v["subjects"], default=""), "participants": sorted(v["people"])}
+    return "heuristic:" + hashlib.sha256(json.dumps(about, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:24]
 
 
 def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +124,7 @@ def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
     for r in d[d["manual"].notna()].itertuples():
         key = ("manual", r.manual)
         c = of_root.setdefault(key, int(r.id))
-        clusters.setdefault(c, {"subjects": set(), "people": set(), "custodians": set(), "last": None, "strong": True, "ids": set()})
+        clusters.setdefault(c, _cluster(True))
         for m in filter(None, [r.message_id]):
             of_id.setdefault(m, c)
     for r in d.itertuples():
@@ -138,7 +154,7 @@ def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
                 c, how = best[0][1], "subject"
         if c is None:
             c = int(r.id)
-            clusters[c] = {"subjects": set(), "people": set(), "custodians": set(), "last": None, "strong": strong, "ids": set()}
+            clusters[c] = _cluster(strong)
         v = clusters[c]
         v["people"] |= people
         if r.subject:
@@ -152,19 +168,29 @@ def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
             v["ids"].add(m)
         if root:
             of_root.setdefault(root, c)
+            v["roots"].add(root[0])
+        if isinstance(r.topic, str) and r.topic.strip():
+            v["topics"].add(r.topic)
+        v["names"] += [x for x in (r.subject, getattr(r, "title", None)) if isinstance(x, str) and x.strip()][:1]
         out.append((int(r.id), c, how))
     res = pd.DataFrame(out, columns=["id", "cluster", "how"])
-    first = {c: min(v["ids"]) if v["ids"] else None for c, v in clusters.items()}
-    res["conversation_key"] = [f"rfc:{first[c]}" if first[c] else f"heuristic:{c}" for c in res["cluster"]]
+    res["conversation_key"] = res["cluster"].map({c: _key(v) for c, v in clusters.items()})
+    res["display_name"] = res["cluster"].map({c: next(iter([*v["names"], *sorted(v["topics"])]), None) for c, v in clusters.items()})
     return res
 
 
 def thread_mail(mail: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """id, cluster (its first document), how, conversation_key. ``mail`` has id, date (text), message_id, in_reply_to, references
-    (array), index_root, topic, subject (normalised), people (array), custodian, manual."""
-    signals = F.array_compact(F.array_union(F.array(F.concat(F.lit("m:"), "message_id"), F.concat(F.lit("m:"), "in_reply_to"), F.concat(F.lit("i:"), "index_root"), F.concat(F.lit("c:"), "manual"), F.concat(F.lit("s:"), F.nullif("subject", F.lit("")))), F.transform(F.coalesce("references", F.array().cast("array<string>")), lambda x: F.concat(F.lit("m:"), x))))
-    comp = components(mail.select("id", F.explode(F.filter(signals, lambda x: F.length(x) > 2)).alias("signal")), scratch)
-    j = mail.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """id, cluster (its first document), how, conversation_key, display_name (first subject, else the least topic). ``mail`` has id, date (text),
+    message_id, in_reply_to, references (array), index_root, topic, subject (normalised), people (array), custodian, manual.
+
+    Only documents without ids and roots can be matched by subject, so a subject ties none but those into one component."""
+    full = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    strong = full("message_id") | full("in_reply_to") | full("index_root") | (F.size(F.coalesce("references", F.array().cast("array<string>"))) > 0)
+    mail = mail.withColumn("_weak_subject", F.when(~strong, F.nullif("subject", F.lit(""))))
+    signals = F.array_compact(F.array_union(F.array(F.concat(F.lit("m:"), "message_id"), F.concat(F.lit("m:"), "in_reply_to"), F.concat(F.lit("i:"), "index_root"), F.concat(F.lit("c:"), "manual"), F.concat(F.lit("s:"), "_weak_subject")), F.transform(F.coalesce("references", F.array().cast("array<string>")), lambda x: F.concat(F.lit("m:"), x))))
+    mail = mail.withColumn("_signals", signals).drop("_weak_subject")
+    comp = components(mail.select("id", F.explode(F.filter("_signals", lambda x: F.length(x) > 2)).alias("signal")), scratch)
+    j = mail.drop("_signals").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return j.groupBy("component").applyInPandas(lambda pdf: cascade(pdf.drop(columns="component")), THREADED)
 
 
@@ -187,29 +213,42 @@ def components(members: DataFrame, scratch: Scratch | None = None, rounds: int =
     raise RuntimeError("labels did not settle")
 
 
-# ---- texts that are chats or mails
-_CHAT = [re.compile(p) for p in (r"^\[([^\]]{4,40})\]\s*([^:]{1,60}):\s?(.*)$", r"^(\d{4}-\d\d-\d\d[ T]\d\d:\d\d(?::\d\d)?)\s+([^:]{1,60}):\s?(.*)$", r"^(\d{1,2}:\d\d(?::\d\d)?(?: ?[AP]M)?)\s+([^:]{1,60}):\s?(.*)$", r"^()([^:\d]{1,40}):\s(.+)$")]
-_NO_SPEAKERS = {"from", "to", "cc", "bcc", "sent", "date", "subject", "total", "note", "re", "fw", "http", "https", "attachments"}
+# ---- texts that are chats
+# The forms of a chat line, labels that are no speaker, the longest line and the most words of a speaker.
+_CHAT = [
+    re.compile(p, re.I)
+    for p in (
+        r"^\[(?P<at>[^\]]{4,80})\]\s*(?P<speaker>[^:\n]{2,80}?):\s+(?P<message>\S.*)$",
+        r"^(?P<at>\d{4}-\d{2}-\d{2}[ T]\d{1,2}:\d{2}(?::\d{2})?(?:\s*(?:AM|PM))?(?:\s*(?:Z|UTC|[+\-]\d{2}:?\d{2}))?)\s*[-,]?\s*(?P<speaker>[^:\n]{2,80}?):\s+(?P<message>\S.*)$",
+        r"^(?P<at>\d{1,2}/\d{1,2}/\d{2,4}\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM)?)\s*[-,]?\s*(?P<speaker>[^:\n]{2,80}?):\s+(?P<message>\S.*)$",
+        r"^(?P<speaker>[^:\n]{2,80}?):\s+(?P<message>\S.*)$",
+    )
+]
+_NO_SPEAKERS = set("agenda answer bcc cc date description from message note notes owner priority question sent status subject summary task thread title to topic".split())
+CHAT_LINE, SPEAKER_WORDS = 240, 8
 
 
 def chat_entries(text: str) -> list[tuple[str, str, str]]:
-    """(time, speaker, message) of the lines of a chat text; continuation lines belong to the message above."""
-    out: list[list[str]] = []
+    """(time, speaker, message) of the lines that have the form of a chat line; the time may be empty."""
+    out = []
     for line in re.split(r"\r\n|\r|\n", text):
-        for p in _CHAT:
-            m = p.match(line) if len(line) <= 240 or p is not _CHAT[3] else None
-            if m and m[2].strip().lower() not in _NO_SPEAKERS and len(m[2].split()) <= 8:
-                out.append([m[1], m[2].strip(), m[3]])
+        bare = line.strip()
+        hits = (p.match(bare) for p in _CHAT) if bare and len(bare) <= CHAT_LINE else ()
+        for m in filter(None, hits):
+            speaker = " ".join(m["speaker"].split()).strip("[]() ")
+            if speaker and speaker.lower() not in _NO_SPEAKERS and len(speaker.split()) <= SPEAKER_WORDS and not speaker[0] == '"':
+                out.append((m.groupdict().get("at") or "", speaker, " ".join(m["message"].split())))
                 break
-        else:
-            if out and line.strip():
-                out[-1][2] += "\n" + line
-    return [tuple(x) for x in out]
+    return out
 
 
 def is_chat(text: str) -> bool:
+    """Two timed lines by two speakers, or three lines, in which without two times somebody speaks twice."""
     e = chat_entries(text)
-    return len(e) >= 3 and (len({s for _, s, _ in e}) >= 2) and (sum(bool(t) for t, _, _ in e) >= 2 or len(e) >= 2 * len({s for _, s, _ in e}))
+    speakers = [s.lower() for _, s, _ in e]
+    if sum(bool(at) for at, _, _ in e) >= 2:
+        return len(set(speakers)) >= 2 or len(e) >= 3
+    return len(e) >= 3 and len(set(speakers)) < len(speakers)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("at", "speaker", "message")])))

@@ -9,23 +9,29 @@ from pyspark.sql import functions as F
 
 from casebolt.common import Scratch
 from casebolt.functions import identifiers as ids
+from casebolt.functions import people
 from casebolt.operators.conversations import components
 
-# Words that tell the type of an entity.
-SYSTEM_BOXES = ["bounce", "daemon", "donotreply", "mailer-daemon", "no-reply", "noreply", "notifications", "postmaster"]
-SHARED_BOXES = ["accounting", "accounts", "admin", "billing", "contact", "desk", "enquiries", "hello", "help", "hr", "info", "legal", "mail", "office", "payroll", "records", "sales", "service", "support", "team"]
-ORG_SUFFIXES = ["ag", "co", "company", "corp", "corporation", "gmbh", "inc", "incorporated", "limited", "llc", "llp", "ltd", "plc", "sa"]
+# Local parts of system and shared mailboxes (letters and digits only), parts that any system mailbox holds, names of shared
+# mailboxes, words of organisations.
+SYSTEM_BOXES = ["automated", "daemon", "donotreply", "mailerdaemon", "notification", "notifications", "noreply", "postmaster"]
+SYSTEM_PARTS = ["donotreply", "noreply"]
+SHARED_BOXES = ["admin", "allcompany", "billing", "contact", "events", "help", "hello", "info", "legal", "legalevents", "marketing", "news", "press", "sales", "support", "team"]
+SHARED_NAMES = ["all company", "help desk", "legalweek", "support", "team"]
+ORG_WORDS = ["inc", "llc", "llp", "ltd", "corp", "corporation", "company", "co", "plc", "gmbh", "sarl", "partners", "holdings"]
 
 
 def entity_type(name: str, mail: str):
-    """system_mailbox, shared_mailbox, organization, person (a full name or an own address) or unknown, by the first rule that holds."""
-    box = F.regexp_extract(F.lower(F.col(mail)), "^([^@+]+)", 1)
-    head = F.regexp_extract(box, "^([a-z-]+)", 1)
-    last = F.regexp_extract(F.lower(F.regexp_replace(F.col(name), r"[.,()]", "")), r"(\S+)\s*$", 1)
-    full = F.trim(F.col(name)).rlike(r"^\S+\s+\S+")
+    """system_mailbox, shared_mailbox, organization, person (an address of its own or a full name) or unknown, by the first rule that holds."""
+    address = ids.email(mail)
+    box = F.regexp_replace(F.substring_index(address, "@", 1), "[^a-z0-9]+", "")
+    words = F.coalesce(ids.lookup_text(name), F.lit(""))
+    has = lambda xs: words.rlike(r"\b(" + "|".join(xs) + r")\b")
     return (
-        F.when(head.isin(*SYSTEM_BOXES), "system_mailbox").when(head.isin(*SHARED_BOXES) & F.col(mail).isNotNull(), "shared_mailbox")
-        .when(last.isin(*ORG_SUFFIXES) & full, "organization").when(full | F.col(mail).isNotNull(), "person").otherwise("unknown")
+        F.when(box.isin(*SYSTEM_BOXES) | box.rlike("|".join(SYSTEM_PARTS)), "system_mailbox")
+        .when(box.isin(*SHARED_BOXES) | (address.isNotNull() & has(SHARED_NAMES)), "shared_mailbox")
+        .when(has(ORG_WORDS), "organization")
+        .when(address.isNotNull() | people.is_full_name(name), "person").otherwise("unknown")
     )
 
 
@@ -139,3 +145,74 @@ def resolve(candidates: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     comp = components(candidates.select(F.col("candidate_id").alias("id"), F.explode("keys").alias("signal")), scratch)
     j = candidates.join(comp.withColumnRenamed("id", "candidate_id"), "candidate_id", "left").withColumn("component", F.coalesce("component", "candidate_id"))
     return j.groupBy("component").applyInPandas(lambda pdf: replay(pdf), RESOLVED)
+
+
+# ---- hints and manual decisions
+def with_hints(hints: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates (document_id, role, position, candidate_key, match_keys array) of hints first, then those read from text that share no match
+    key and no candidate key with a hint of the same document and role; a repeated candidate key counts once."""
+    at = ["document_id", "role"]
+    covered = hints.select(*at, F.explode(F.array_union("match_keys", F.array(F.concat(F.lit("#"), "candidate_key")))).alias("k")).distinct()
+    asked = candidates.select(*at, "position", F.explode(F.array_union("match_keys", F.array(F.concat(F.lit("#"), "candidate_key")))).alias("k"))
+    hit = asked.join(covered, [*at, "k"], "left_semi").select(*at, "position").distinct()
+    rest = candidates.join(hit, [*at, "position"], "left_anti")
+    both = hints.withColumn("source", F.lit("hint")).unionByName(rest.withColumn("source", F.lit("text")))
+    first = W.partitionBy(*at, "candidate_key").orderBy("source", "position")
+    return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+
+
+def block(blocks: DataFrame, left: int, right: int) -> DataFrame:
+    """Pairs that must not be merged, each with its lesser id on the left and once."""
+    one = blocks.sparkSession.createDataFrame([(min(left, right), max(left, right))], "left_entity_id long, right_entity_id long")
+    both = blocks.select(F.least("left_entity_id", "right_entity_id").alias("left_entity_id"), F.greatest("left_entity_id", "right_entity_id").alias("right_entity_id")).unionByName(one)
+    return both.where("left_entity_id < right_entity_id").distinct()
+
+
+def merge(entities: DataFrame, pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Entities after merges (source_id, target_id): the source keeps a pointer to the target and the status merged. Blocked pairs, an entity with
+    itself and sources that are merged already stay as they are; of several targets of a source the least counts."""
+    b = blocks.select(F.least("left_entity_id", "right_entity_id").alias("lo"), F.greatest("left_entity_id", "right_entity_id").alias("hi"))
+    ok = pairs.where("source_id <> target_id").withColumns({"lo": F.least("source_id", "target_id"), "hi": F.greatest("source_id", "target_id")}).join(b, ["lo", "hi"], "left_anti")
+    to = ok.groupBy(F.col("source_id").alias("entity_id")).agg(F.min("target_id").alias("_to"))
+    j = entities.join(to, "entity_id", "left")
+    new = F.col("_to").isNotNull() & (F.col("canonical_status") != "merged")
+    return j.withColumns({"merged_into": F.when(new, F.col("_to")).otherwise(F.col("merged_into")), "canonical_status": F.when(new, "merged").otherwise(F.col("canonical_status"))}).drop("_to")
+
+
+def ignore(entities: DataFrame, ids_: DataFrame) -> DataFrame:
+    """Entities with those of ``ids_`` ignored: they are linked no more and listed apart."""
+    hit = ids_.select("entity_id").distinct().withColumn("_hit", F.lit(True))
+    return entities.join(hit, "entity_id", "left").withColumn("canonical_status", F.when(F.col("_hit") & (F.col("canonical_status") != "merged"), "ignored").otherwise(F.col("canonical_status"))).drop("_hit")
+
+
+def split(entities: DataFrame, identifiers: DataFrame, entity_id: int, identifier_ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(entities, identifiers) after some identifiers of an entity moved to a new one of the same type and origin manual."""
+    new = entities.agg(F.max("entity_id")).first()[0] + 1  # one number
+    mine = (F.col("entity_id") == entity_id) & F.col("identifier_id").isin(identifier_ids)
+    if identifiers.where(mine).isEmpty():
+        raise ValueError(f"none of the identifiers belongs to entity {entity_id}")
+    fresh = entities.where(F.col("entity_id") == entity_id).withColumns({"entity_id": F.lit(new).cast("long"), "entity_origin": F.lit("manual"), "canonical_status": F.lit("active"), "merged_into": F.lit(None).cast("long")})
+    return entities.unionByName(fresh), identifiers.withColumn("entity_id", F.when(mine, F.lit(new)).otherwise(F.col("entity_id")))
+
+
+def assign(links: DataFrame, changes: DataFrame) -> DataFrame:
+    """Links (document_id, role, entity_id) after changes (document_id, role, entity_id, action assign | unassign, at): the last one of a link
+    decides, and each link is there once."""
+    last = changes.groupBy("document_id", "role", "entity_id").agg(F.max_by("action", "at").alias("action"))
+    kept = links.join(last.where("action = 'unassign'"), ["document_id", "role", "entity_id"], "left_anti").select("document_id", "role", "entity_id")
+    return kept.unionByName(last.where("action = 'assign'").select("document_id", "role", "entity_id")).distinct()
+
+
+def edit(entities: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
+    """Entities after edits (entity_id, fields...): a null leaves a field alone; an unknown id is a new entity of origin manual."""
+    c = changes.select("entity_id", *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_c"))
+    j = entities.withColumn("_e", F.lit(True)).join(c, "entity_id", "full")
+    out = j.withColumns({f: F.coalesce(f"_{f}", f) for f in fields})
+    return out.withColumns({"entity_origin": F.when(F.col("_e").isNull(), "manual").otherwise(F.col("entity_origin")), "canonical_status": F.coalesce("canonical_status", F.lit("active"))}).select(entities.columns)
+
+
+def listing(entities: DataFrame, links: DataFrame, status: str = "active") -> DataFrame:
+    """entity_id, label, entity_type, documents of the entities of a status; entities without documents count none."""
+    n = links.groupBy("entity_id").agg(F.countDistinct("document_id").alias("documents"))
+    e = entities.where(F.col("canonical_status") == status).select("entity_id", ids.label("display_name", "primary_email", "primary_phone", "entity_id").alias("label"), "entity_type")
+    return e.join(n, "entity_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casebolt.common import Scratch
 from casebolt.functions import bates
 
 # Fixed value: pattern of a control number with batch, family and attachment.
@@ -44,29 +45,39 @@ def expand_family(seeds: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *keys) -> DataFrame:
-    """Adds ordinal from 1 in the order of the keys, by a range partitioning and partition offsets, so no task sees all rows."""
+    """Adds ordinal from 1 in the order of the keys, by a range partitioning and partition offsets, so no task sees all rows. The numbered
+    ranges are written once: their sizes and their rows are the same ones."""
     spark = df.sparkSession
     ranged = df.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*keys)))
+    ranged = Scratch(spark, "numbered").put(ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*keys))))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)))
     return ranged.join(sizes.select("_p", "_before"), "_p").withColumn("ordinal", F.coalesce("_before", F.lit(0)) + F.col("_r")).drop("_p", "_r", "_before")
 
 
+#: Levels of spans whose numbers are wider than 64 bits begin here.
+WIDE = 100
+
+
 def points_in_spans(points: DataFrame, spans: DataFrame) -> DataFrame:
     """(point, span) of points(point, series, n) inside spans(span, series, lo, hi), without comparing all of a series.
 
     A span of length l lies in one or two buckets of size 2^k >= l, k its level; a point looks into its bucket of every level that
-    occurs (at most 63, collected). Numbers beyond 18 digits share one bucket of their series."""
-    level = lambda lo, hi: F.when(hi.isNotNull() & lo.isNotNull(), F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int")).otherwise(-1)
-    s = spans.withColumns({"_lo": F.col("lo").try_cast("long"), "_hi": F.col("hi").try_cast("long")}).where("lo <= hi")
-    s = s.withColumn("level", level(F.col("_lo"), F.col("_hi")))
+    occurs (at most 190, collected). Numbers beyond 18 digits have levels of their own, with buckets of exact decimals by their hash."""
+    s = spans.where("lo <= hi").withColumns({"_lo": F.col("lo").try_cast("long"), "_hi": F.col("hi").try_cast("long")})
+    # one level more where a double cannot hold the length exactly
+    level = F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int")
+    wide = WIDE + F.least(level + 1, F.lit(126))
+    s = s.withColumn("level", F.when(F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & (level < 50), level).otherwise(wide))
     at = lambda n: F.expr(f"cast(floor({n} / power(2, level)) as bigint)")
-    s = s.withColumn("bucket", F.explode(F.when(F.col("level") < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.array(at("_lo"), at("_hi"))))))
+    power = F.element_at(F.array(*[F.lit(str(2**k)).cast("decimal(38,0)") for k in range(127)]), F.greatest(F.col("level") - WIDE, F.lit(0)) + 1)
+    at_wide = lambda n: F.xxhash64((F.col(n) - F.col(n) % power).cast("decimal(38,0)"))
+    both = F.when(F.col("level") < WIDE, F.array(at("_lo"), at("_hi"))).otherwise(F.array(at_wide("lo"), at_wide("hi")))
+    s = s.withColumn("bucket", F.explode(F.array_distinct(both)))
     levels = sorted(r["level"] for r in s.select("level").distinct().collect())
     if not levels:
         return s.select(F.lit(None).cast("long").alias("point"), "span").limit(0)
     p = points.withColumn("_n", F.col("n").try_cast("long")).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    p = p.withColumn("bucket", F.when(F.col("level") < 0, F.lit(-1).cast("long")).otherwise(at("_n")))
+    p = p.withColumn("bucket", F.when(F.col("level") < WIDE, at("_n")).otherwise(at_wide("n")))
     return p.join(s.select("series", "level", "bucket", "span", "lo", "hi"), ["series", "level", "bucket"]).where("n between lo and hi").select("point", "span").distinct()
 
 

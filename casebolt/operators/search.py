@@ -3,8 +3,9 @@
     query := or ; or := and (OR and)* ; and := not+ (AND or juxtaposition) ; not := atom (NOT atom)*
     atom  := word | prefix* | "phrase" | column:atom | NEAR(words, n) | ( query )
 
-A posting row is (scope, doc, column, term, tf, positions). Every query term filters the postings first, so a scan reads the terms
-asked for only; matches are set operations over documents, phrases compare positions within one column.
+A posting row is (doc, column, term, tf, positions). ``build`` writes the postings once, in the order of terms, with the lengths of the
+documents and their number: a query of the written index reads the row groups of its terms only. Every query term filters the
+postings first; matches are set operations over documents, phrases compare positions within one column.
 score = -sum idf * f (k1+1) / (f + k1 (1 - b + b |D| / avgdl)), k1 1.2, b 0.75, idf = ln((N - n + .5) / (n + .5)), at least 1e-6;
 |D| counts all indexed columns. Smaller is better. Null texts have no postings; a query without hits gives no rows.
 """
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebolt.common import Scratch
 from casebolt.functions.text import tokens_of
 
 K1, B = 1.2, 0.75
@@ -55,6 +57,26 @@ def lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("doc").agg(F.sum("tf").alias("len"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A written index: postings in the order of terms, (doc, len), and (number of documents, mean length)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+    statistics: tuple[int, float]
+
+
+def build(docs: DataFrame, id_col: str, columns: list[str], scratch: Scratch) -> Index:
+    """Writes the index of the named text columns. Ranges of (term, doc) spread a frequent term over many files."""
+    rows = scratch.put(index(docs, id_col, columns))
+    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    postings = scratch.put(rows.repartitionByRange(parts, "term", "doc").sortWithinPartitions("term", "doc"))
+    scratch.drop(rows)
+    sizes = scratch.put(lengths(postings))
+    r = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    return Index(postings, sizes, (r["n"], r["mean"] or 1.0))
+
+
 @dataclass(frozen=True)
 class Term:
     words: tuple[str, ...]  # one word, or a phrase
@@ -206,8 +228,10 @@ def occurrences(postings: DataFrame, t: Term) -> DataFrame:
     return got.where(F.size("positions") > 0)
 
 
-def matches(postings: DataFrame, e) -> DataFrame:
+def matches(postings: DataFrame | Index, e) -> DataFrame:
     """(doc) of the documents a query selects."""
+    if isinstance(postings, Index):
+        postings = postings.postings
     if isinstance(e, Term):
         return occurrences(postings, e).select("doc").distinct()
     if isinstance(e, Near):
@@ -228,15 +252,16 @@ def matches(postings: DataFrame, e) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "doc", "left_semi"), sets)
 
 
-def rank(postings: DataFrame, query: str, statistics: tuple[int, float] | None = None) -> DataFrame:
-    """(doc, score) of the documents a query selects, unordered. ``statistics`` (documents, mean length) saves their computation."""
+def rank(source: DataFrame | Index, query: str) -> DataFrame:
+    """(doc, score) of the documents a query selects, unordered, from a written index or from postings (whose lengths are counted then)."""
     e = parse_query(query)
-    ids = matches(postings, e)
-    size = lengths(postings)
-    if statistics is None:
+    if isinstance(source, Index):
+        postings, size, (n_docs, mean) = source.postings, source.sizes, source.statistics
+    else:
+        postings, size = source, lengths(source)
         r = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-        statistics = (r["n"], r["mean"] or 1.0)
-    n_docs, mean = statistics
+        n_docs, mean = r["n"], r["mean"] or 1.0
+    ids = matches(postings, e)
     parts = []
     for k, t in enumerate(_terms(e)):
         tf = occurrences(postings, t).groupBy("doc").agg(F.sum(F.size("positions")).alias("f"))
@@ -250,7 +275,7 @@ def rank(postings: DataFrame, query: str, statistics: tuple[int, float] | None =
     return scored.groupBy("doc").agg((-F.sum(part)).alias("score"))
 
 
-def search_documents(meta: DataFrame, chunk_postings: DataFrame, chunk_docs: DataFrame, query: str) -> DataFrame:
+def search_documents(meta: DataFrame | Index, chunk_postings: DataFrame | Index, chunk_docs: DataFrame, query: str) -> DataFrame:
     """(doc, score): the better of a document's own fields and its best chunk."""
     a = rank(meta, query)
     b = rank(chunk_postings, query).join(chunk_docs.select(F.col("chunk").alias("doc"), "document_id"), "doc").select(F.col("document_id").alias("doc"), "score")

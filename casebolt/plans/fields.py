@@ -34,6 +34,12 @@ VIRTUAL = {
     "is_attachment": Field("is_attachment", "boolean", True, False, False),
     "has_attachments": Field("has_attachments", "boolean", True, False, False, False),
 }
+#: Virtual fields on the people of a document: name -> (role, what of the link). Names of several people have a plural form too.
+PEOPLE = {"custodian": ("custodian", "label"), "participant": ("participant", "label"), "recipient": ("recipient", "label")}
+for _role in ("author", "custodian", "participant", "recipient"):
+    for _name in (_role, _role + "s") if _role in ("participant", "recipient") else (_role,):
+        PEOPLE |= {f"raw_{_name}": (_role, "raw_value"), f"{_name}_entity_id": (_role, "entity_id")}
+VIRTUAL |= {n: Field(n, "integer" if of == "entity_id" else "text", True, False, False, False) for n, (_, of) in PEOPLE.items() if n not in VIRTUAL}
 
 
 class FieldError(ValueError):
@@ -50,12 +56,13 @@ def kind_of(t: T.DataType) -> str:
     return "real" if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)) else "text"
 
 
+#: Parts of declared column types that tell the kind, the first found deciding.
+_DECLARED = {"date": "DATE|TIME", "integer": "INT", "real": "REAL|FLOA|DOUB"}
+
+
 def declared_kind(declared: str) -> str:
-    """Kind of a declared column type: date or time, then int, then a floating type, else text."""
-    d = declared.upper()
-    if "DATE" in d or "TIME" in d:
-        return "date"
-    return "integer" if "INT" in d else "real" if any(x in d for x in ("REAL", "FLOA", "DOUB")) else "text"
+    """Kind of a declared column type; text if nothing in it says otherwise."""
+    return next((kind for kind, parts in _DECLARED.items() if re.search(parts, declared, re.I)), "text")
 
 
 def sanitize(name: str) -> str:

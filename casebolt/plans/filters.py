@@ -112,7 +112,8 @@ class _Parser:
             return c.compare(op, v)
         negate = self.maybe("word", "not")
         if self.maybe("word", "like"):
-            return c.negated(negate, lambda x, v=self.take("text"): x.cast("string").ilike(v))
+            like = self.take("text")
+            return c.negated(negate, lambda x: x.cast("string").ilike(like))
         if self.maybe("word", "in"):
             self.take("op", "(")
             vs = [self.literal(f)]

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebolt.functions import bates
-from casebolt.operators import collection, search
-from casebolt.plans.fields import Catalog
+from casebolt.operators import collection, families, search
+from casebolt.plans.fields import ALIASES, PEOPLE, VIRTUAL, Catalog
 from casebolt.plans.filters import compile_filter
 
 # Limits and defaults of scopes and displays.
@@ -75,20 +75,60 @@ class Corpus:
     chunk_postings: DataFrame | None = None
     chunks: DataFrame | None = None  # chunk, document_id
     snapshots: DataFrame | None = None  # run_id, id, ordinal
+    people: DataFrame | None = None  # document_id, role, raw_value, entity_id, label
+    productions: DataFrame | None = None  # production_id, production_name; documents have production_id
+    parents: DataFrame | None = None  # id, parent_id, child_kind, lifecycle_status; documents themselves if not given
     multi: tuple[str, ...] = ()
 
 
+def virtual_used(expression: str, columns: list[str]) -> set[str]:
+    """Virtual fields that an expression names, texts in quotes aside."""
+    bare = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"", " ", expression)
+    names = {ALIASES.get(w.lower(), w.lower()) for w in re.findall(r"[A-Za-z_]\w*", bare)}
+    return (names & set(VIRTUAL)) - ({c.lower() for c in columns} - {"dataset_name"})
+
+
+def with_virtual(docs: DataFrame, corpus: Corpus, used: set[str]) -> tuple[DataFrame, dict, tuple[str, ...]]:
+    """Documents with what the virtual fields ``used`` need, the field's Column, and which of them hold several values. Only the fields
+    used are joined; people and datasets are gathered per document before the join."""
+    columns, multi = {}, []
+    if "dataset_name" in used:
+        names = corpus.membership.groupBy(F.col("document_id").alias("id")).agg(F.collect_set("dataset_name").alias("_v_dataset_name"))
+        docs = docs.join(names, "id", "left")
+    asked = {n: PEOPLE[n] for n in sorted(used & set(PEOPLE))}
+    if asked:
+        if corpus.people is None:
+            raise ValueError(f"no people to filter {', '.join(asked)} by")
+        values = [F.collect_set(F.when(F.col("role") == role, F.col(of))).alias(f"_v_{n}") for n, (role, of) in asked.items()]
+        roles = sorted({role for role, _ in asked.values()})
+        docs = docs.join(corpus.people.where(F.col("role").isin(*roles)).groupBy(F.col("document_id").alias("id")).agg(*values), "id", "left")
+    for n in ({"dataset_name"} & used) | set(asked):
+        columns[n] = F.col(f"_v_{n}")
+        multi.append(n)
+    if "production_name" in used:
+        if corpus.productions is None or "production_id" not in docs.columns:
+            raise ValueError("no productions to filter by")
+        docs = docs.join(corpus.productions.select("production_id", F.col("production_name").alias("_v_production_name")), "production_id", "left")
+        columns["production_name"] = F.col("_v_production_name")
+    family = corpus.docs if corpus.parents is None else corpus.parents
+    if "is_attachment" in used:
+        mine = family.where(families.is_attachment()).select("id", F.lit(True).alias("_v_is_attachment"))
+        docs = docs.join(mine, "id", "left")
+        columns["is_attachment"] = F.coalesce("_v_is_attachment", F.lit(False))
+    if "has_attachments" in used:
+        docs = docs.join(families.has_attachments(family).select("id", F.lit(True).alias("_v_has_attachments")), "id", "left")
+        columns["has_attachments"] = F.coalesce("_v_has_attachments", F.lit(False))
+    return docs, columns, tuple(multi)
+
+
 def resolve(scope: Scope, corpus: Corpus) -> DataFrame:
     """The selected documents; with a keyword their score (relevance), from a run their ordinal."""
     docs = collection.visible(corpus.docs, corpus.membership)
     if scope.datasets:
         docs = collection.in_datasets(docs, corpus.membership, list(scope.datasets))
     if scope.filter:
-        names = corpus.membership.groupBy(F.col("document_id").alias("id")).agg(F.collect_set("dataset_name").alias("dataset_names"))
-        uses = re.search(r"\bdataset(_name|_label)?\b", scope.filter, re.I)
-        base = docs.join(names, "id", "left") if uses else docs
-        columns = {"dataset_name": F.col("dataset_names")} if uses else {}
-        docs = base.where(compile_filter(scope.filter, Catalog(docs), columns, ("dataset_name", *corpus.multi))).drop("dataset_names")
+        base, columns, multi = with_virtual(docs, corpus, virtual_used(scope.filter, docs.columns))
+        docs = base.where(compile_filter(scope.filter, Catalog(docs), columns, (*multi, *corpus.multi))).select(docs.columns)
     if scope.bates:
         a, b = (F.lit(x) for x in scope.bates)
         docs = docs.where(bates.overlaps("begin_bates", F.col("end_bates"), a, b))

@@ -51,7 +51,7 @@ def p7_zone_estimates(spark, d):
 
 
 def _add_core() -> None:
-    from casebolt import queries_core, queries_upkeep  # noqa: F401  (the second adds to the first's registry)
+    from casebolt import queries_core, queries_records, queries_upkeep  # noqa: F401  (the others add to the first's registry)
 
     Q.update(queries_core.Q)
 

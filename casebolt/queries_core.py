@@ -131,9 +131,15 @@ def _bm25_sql(terms: list[str], matched: str) -> str:
     return f"WITH {', '.join(ctes)}, m AS ({matched}) SELECT m.doc AS id, round(-({' + '.join(parts)}), 6) AS score FROM m JOIN ln ON ln.doc = m.doc CROSS JOIN st {joins}"
 
 
-def _index(spark, docs, ident, columns):
-    """Postings written once: every term, the lengths and the statistics read them instead of the texts."""
-    return Scratch(spark, "postings").put(search.index(docs, ident, columns))
+_BUILT: dict[tuple, search.Index] = {}
+
+
+def _index(spark, docs, ident, columns) -> search.Index:
+    """The index of a collection, written at its first use in a session; later queries on the same files read it."""
+    key = (spark.sparkContext.applicationId, docs.semanticHash(), ident, tuple(columns))
+    if key not in _BUILT or not all(map(Scratch.there, (_BUILT[key].postings, _BUILT[key].sizes))):
+        _BUILT[key] = search.build(docs, ident, columns, Scratch(spark, "index"))
+    return _BUILT[key]
 
 
 def _postings(spark, d):
@@ -196,7 +202,23 @@ def search_documents_blended(spark, d):
     return r.select(F.col("doc").alias("id"), F.round("score", 6).alias("score"))
 
 
-@query("chunk_layout")
+_CHUNKS = r"""t AS (SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT id, t, length(t) AS n, 0 AS a, {end0} AS b FROM t WHERE t <> '' UNION ALL SELECT id, t, n, a2, {end1} FROM (SELECT id, t, n, greatest(b - 250, a + 1) AS a2 FROM w WHERE b < n)),
+p AS (SELECT id, a, substring(t, a + 1, b - a) AS s FROM w),
+c AS (SELECT id, a + length(s) - length(regexp_replace(s, '^\s+', '')) AS char_start, regexp_replace(s, '^\s+|\s+$', '', 'g') AS piece FROM p),
+chunk AS (SELECT id AS document_id, (row_number() OVER (PARTITION BY id ORDER BY char_start))::INTEGER - 1 AS chunk_index, char_start::INTEGER AS char_start, (char_start + length(piece))::INTEGER AS char_end, piece FROM c WHERE piece <> '')"""
+
+
+def _end_sql(a: str, n: str) -> str:
+    """The end of the window that begins at a: a line end in its last 500 characters, else a blank in its last 250, else 3,200 on."""
+    last = lambda mark, zone: f"CASE WHEN contains(substring(t, greatest({a} + 400, {a} + 3200 - {zone}) + 1, {a} + 3200 - greatest({a} + 400, {a} + 3200 - {zone})), {mark}) THEN {a} + 3200 - instr(reverse(substring(t, greatest({a} + 400, {a} + 3200 - {zone}) + 1, {a} + 3200 - greatest({a} + 400, {a} + 3200 - {zone}))), {mark}) END"
+    return f"CASE WHEN {a} + 3200 >= {n} THEN {n} ELSE coalesce({last('chr(10)', 500)}, {last('chr(32)', 250)}, {a} + 3200) END"
+
+
+CHUNKS = _CHUNKS.replace("{end0}", _end_sql("0", "length(t)")).replace("{end1}", _end_sql("a2", "n"))
+
+
+@query("chunk_layout", f"WITH RECURSIVE {CHUNKS} SELECT document_id, chunk_index, char_start, char_end, greatest(1, length(piece) // 4) AS token_estimate, sha256(piece) AS sha FROM chunk")
 def chunk_layout(spark, d):
     return text.chunks(A.documents(spark, d)).select("document_id", "chunk_index", "char_start", "char_end", "token_estimate", F.sha2("text_content", 256).alias("sha"))
 
@@ -248,7 +270,7 @@ def dataset_summary(spark, d):
     return collection.dataset_summary(docs, m).select("dataset_name", "documents", "total_size", "content_types")
 
 
-_FAM = """fam AS (SELECT o_orderkey * 1000 AS id, NULL::BIGINT AS parent_id, NULL AS child_kind, CASE WHEN o_orderstatus = 'P' THEN 'missing' ELSE 'active' END AS lifecycle_status FROM orders
+_FAM = """fam AS MATERIALIZED (SELECT o_orderkey * 1000 AS id, NULL::BIGINT AS parent_id, NULL AS child_kind, CASE WHEN o_orderstatus = 'P' THEN 'missing' ELSE 'active' END AS lifecycle_status FROM orders
 UNION ALL SELECT l_orderkey * 1000 + l_linenumber, l_orderkey * 1000, CASE WHEN min(l_returnflag) = 'R' THEN 'reply_thread' WHEN min(l_returnflag) = 'A' THEN 'attachment' END, CASE WHEN min(l_linestatus) = 'F' THEN 'deleted' ELSE 'active' END FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
@@ -300,7 +322,7 @@ def is_attachment(spark, d):
     return A.families(spark, d).where(families.is_attachment()).select("id")
 
 
-@query("has_attachments", f"WITH {_FAM} SELECT id FROM fam p WHERE EXISTS (SELECT 1 FROM fam c WHERE c.parent_id = p.id AND coalesce(c.child_kind, 'attachment') = 'attachment' AND c.lifecycle_status <> 'deleted')")
+@query("has_attachments", f"WITH {_FAM} SELECT DISTINCT p.id FROM fam c JOIN fam p ON p.id = c.parent_id WHERE coalesce(c.child_kind, 'attachment') = 'attachment' AND c.lifecycle_status <> 'deleted'")
 def has_attachments(spark, d):
     return families.has_attachments(A.families(spark, d)).select("id")
 
@@ -364,10 +386,15 @@ def custodian_list(spark, d):
     return occurrences.canonical(A.copies(spark, d), FIELDS).where("size(custodians) > 0").select("document_id", F.array_join("custodians", "; ").alias("custodians"))
 
 
-@query("metadata_conflicts", f"""WITH {_OCC}, l AS (SELECT document_id, id, 'subject' AS field_name, trim(subject) AS value FROM occ UNION ALL SELECT document_id, id, 'recipients', trim(recipients) FROM occ),
+_BOTH = """occ AS (SELECT meta_id AS id, lower(rfc822messageid) AS document_id, subject, from_addr AS author FROM gmail_metadata WHERE rfc822messageid IS NOT NULL
+UNION ALL SELECT 100000000 + mail_id, lower(rfc822messageid), subject, from_addr FROM mail_messages WHERE rfc822messageid IS NOT NULL)"""
+
+
+@query("metadata_conflicts", f"""WITH {_BOTH}, l AS (SELECT document_id, id, 'subject' AS field_name, trim(subject) AS value FROM occ UNION ALL SELECT document_id, id, 'author', trim(author) FROM occ),
 v AS (SELECT document_id, field_name, value, max(id) AS occurrence_id FROM l WHERE value <> '' GROUP BY ALL) SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY document_id, field_name) > 1""")
 def metadata_conflicts(spark, d):
-    return occurrences.conflicts(A.copies(spark, d), ["subject", "recipients"])
+    shape = lambda name, ident, add: table(spark, d, name).where("rfc822messageid is not null").select((F.col(ident) + add).alias("id"), F.lower("rfc822messageid").alias("document_id"), "subject", F.col("from_addr").alias("author"), F.lit("active").alias("lifecycle_status"))
+    return occurrences.conflicts(shape("gmail_metadata", "meta_id", 0).unionByName(shape("mail_messages", "mail_id", 100000000)), ["subject", "author"])
 
 
 @query("sidecar_gap_fill", """WITH s AS (SELECT lower(rfc822messageid) AS message_id, arg_min(trim(subject), meta_id) FILTER (trim(subject) <> '') AS s, arg_min(trim(from_addr), meta_id) FILTER (trim(from_addr) <> '') AS f FROM gmail_metadata WHERE rfc822messageid IS NOT NULL GROUP BY 1)
@@ -459,7 +486,13 @@ def child_inherit(spark, d):
     return conversations.inherit(f).select("id", "conversation_id")
 
 
-@query("chat_transcripts")
+_LABELS = "agenda|answer|bcc|cc|date|description|from|message|note|notes|owner|priority|question|sent|status|subject|summary|task|thread|title|to|topic"
+
+
+@query("chat_transcripts", rf"""WITH l AS (SELECT doc_id AS id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents WHERE content_type = 'Chat')),
+x AS (SELECT id, regexp_extract(line, '^\[([^\]]{{4,80}})\]\s*([^:\n]{{2,80}}?):\s+(\S.*)$', ['at', 'speaker', 'message']) AS a, regexp_extract(line, '^([^:\n]{{2,80}}?):\s+(\S.*)$', ['speaker', 'message']) AS b FROM l WHERE length(line) BETWEEN 1 AND 240),
+y AS (SELECT id, a."at" AS tm, regexp_replace(regexp_replace(CASE WHEN a.speaker <> '' THEN a.speaker ELSE b.speaker END, '\s+', ' ', 'g'), '^[\[\]() ]+|[\[\]() ]+$', '', 'g') AS speaker FROM x)
+SELECT id, count(*) AS messages, count(DISTINCT speaker) AS speakers, min(tm) AS first_at FROM y WHERE speaker <> '' AND NOT regexp_full_match(lower(speaker), '{_LABELS}') AND len(string_split(speaker, ' ')) <= 8 AND NOT starts_with(speaker, '"') GROUP BY id""")
 def chat_transcripts(spark, d):
     t = A.documents(spark, d).where("content_type = 'Chat'").select("id", F.explode(conversations.chat_lines("text")).alias("x"))
     return t.groupBy("id").agg(F.count("*").alias("messages"), F.countDistinct("x.speaker").alias("speakers"), F.min("x.at").alias("first_at"))
@@ -473,22 +506,27 @@ def event_transcript(spark, d):
 
 @query("mail_threads")
 def mail_threads(spark, d):
-    g = table(spark, d, "gmail_metadata")
-    nothing = lambda t="string": F.lit(None).cast(t)
-    people = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "from_addr", "to_addr", "cc")), F.lit("([a-z0-9._+-]+@[a-z0-9.-]+)"), F.lit(1)))
-    rows = g.select(F.col("meta_id").alias("id"), F.date_format("loaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.lower("rfc822messageid").alias("message_id"), nothing().alias("in_reply_to"), F.array().cast("array<string>").alias("references"), nothing().alias("index_root"), nothing().alias("topic"), identifiers.subject("subject").alias("subject"), people.alias("people"), F.col("account").alias("custodian"), nothing().alias("manual"))
-    return conversations.thread_mail(rows).groupBy("how").agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
+    return conversations.thread_mail(A.threaded(spark, d)).select("id", "cluster", "how", "conversation_key", "display_name")
 
 
 # ---- entities
-@query("email_normalise", "SELECT identifier_id, CASE WHEN regexp_full_match(v, '[a-z0-9._%+''-]+@[a-z0-9-]+(\\.[a-z0-9-]+)+') THEN v END AS email FROM (SELECT identifier_id, regexp_replace(lower(regexp_replace(trim(display_value), '^[<>;,\\s]+|[<>;,\\s]+$', '', 'g')), '^mailto:', '') AS v FROM entity_identifiers WHERE lower(trim(identifier_type)) = 'email')")
+_EMAIL_OK = "regexp_full_match({0}, '[a-z0-9.!#$%&''*+/=?^_`{{|}}~-]+@[a-z0-9]([a-z0-9.-]*[a-z0-9])?') AND contains(string_split({0}, '@')[-1], '.')"
+
+
+def _email_sql(c: str) -> str:
+    v = f"regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(trim({c}), '^[<>;,]+|[<>;,]+$', '', 'g')), '^mailto:', ''), '^[<>;,]+', ''), '[<>;,]+$', '')"
+    return f"CASE WHEN {_EMAIL_OK.format(v)} THEN {v} END"
+
+
+@query("email_normalise", f"SELECT identifier_id, {_email_sql('display_value')} AS email FROM entity_identifiers WHERE lower(trim(identifier_type)) = 'email'")
 def email_normalise(spark, d):
     return table(spark, d, "entity_identifiers").where(F.lower(F.trim("identifier_type")) == "email").select("identifier_id", identifiers.email("display_value").alias("email"))
 
 
-@query("phone_normalise", """WITH p AS (SELECT identifier_id, regexp_extract(lower(trim(display_value)), '(?:ext\\.?|extension|x)\\s*(\\d{1,6})$', 1) AS e, regexp_replace(lower(trim(display_value)), '(?:ext\\.?|extension|x)\\s*\\d{1,6}$', '') AS m FROM entity_identifiers WHERE lower(trim(identifier_type)) = 'phone'),
-q AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS dg FROM p)
-SELECT identifier_id, CASE WHEN regexp_full_match(m, '[+()\\d\\s./-]+') AND length(dg) BETWEEN 7 AND 15 THEN (CASE WHEN length(dg) = 10 THEN '+1' || dg ELSE '+' || dg END) || (CASE WHEN e <> '' THEN 'x' || e ELSE '' END) END AS phone FROM q""")
+@query("phone_normalise", r"""WITH p AS (SELECT identifier_id, trim(display_value) AS v, regexp_extract(trim(display_value), '(?i)(?:ext\.?|extension|x)\s*([0-9]{1,10})\b', 1) AS e FROM entity_identifiers WHERE lower(trim(identifier_type)) = 'phone'),
+m AS (SELECT *, trim(CASE WHEN e <> '' THEN regexp_replace(v, '(?i)(?:ext\.?|extension|x)\s*([0-9]{1,10})\b', '') ELSE v END) AS m FROM p), q AS (SELECT *, regexp_replace(m, '\D', '', 'g') AS dg FROM m)
+SELECT identifier_id, CASE WHEN length(dg) BETWEEN 7 AND 15 AND (regexp_matches(m, '[()+\-\s.]') OR length(dg) >= 10) THEN
+  (CASE WHEN starts_with(m, '+') THEN '+' || dg WHEN length(dg) = 10 THEN '+1' || dg WHEN length(dg) = 11 AND starts_with(dg, '1') THEN '+' || dg ELSE dg END) || (CASE WHEN e <> '' THEN 'x' || e ELSE '' END) END AS phone FROM q""")
 def phone_normalise(spark, d):
     return table(spark, d, "entity_identifiers").where(F.lower(F.trim("identifier_type")) == "phone").select("identifier_id", identifiers.phone("display_value").alias("phone"))
 
@@ -504,7 +542,15 @@ def entity_inventory(spark, d):
     return collection.aggregate(table(spark, d, "entities"), [(c, F.col(c)) for c in ("entity_type", "entity_origin", "canonical_status")], name="n")
 
 
-@query("entity_types")
+NAME_WORDS = r"""list_filter(regexp_split_to_array(regexp_replace({}, '["''()<>]', ' ', 'g'), '[\s.]+'), lambda w: regexp_matches(w, '[A-Za-z]') AND NOT regexp_full_match(lower(regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), 'mr|mrs|ms|miss|dr|prof|jr|sr|ii|iii|iv|esq'))"""
+
+
+@query("entity_types", f"""WITH e AS (SELECT entity_id, {_email_sql('primary_email')} AS a, trim(regexp_replace(regexp_replace(lower(coalesce(display_name, '')), '[^\\p{{L}}\\p{{N}}_@.+#/-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS n,
+  len({NAME_WORDS.format("coalesce(display_name, '')")}) >= 2 AND NOT contains(coalesce(display_name, ''), '@') AS f FROM entities),
+b AS (SELECT *, regexp_replace(string_split(a, '@')[1], '[^a-z0-9]+', '', 'g') AS x FROM e)
+SELECT entity_id, CASE WHEN x IN ('automated', 'daemon', 'donotreply', 'mailerdaemon', 'notification', 'notifications', 'noreply', 'postmaster') OR contains(x, 'donotreply') OR contains(x, 'noreply') THEN 'system_mailbox'
+  WHEN x IN ('admin', 'allcompany', 'billing', 'contact', 'events', 'help', 'hello', 'info', 'legal', 'legalevents', 'marketing', 'news', 'press', 'sales', 'support', 'team') OR (a IS NOT NULL AND regexp_matches(n, '\\b(all company|help desk|legalweek|support|team)\\b')) THEN 'shared_mailbox'
+  WHEN regexp_matches(n, '\\b(inc|llc|llp|ltd|corp|corporation|company|co|plc|gmbh|sarl|partners|holdings)\\b') THEN 'organization' WHEN a IS NOT NULL OR f THEN 'person' ELSE 'unknown' END AS type_by_rule FROM b""")
 def entity_types(spark, d):
     return table(spark, d, "entities").select("entity_id", entities.entity_type("display_name", "primary_email").alias("type_by_rule"))
 
@@ -514,11 +560,10 @@ def auto_merge_identifiers(spark, d):
     return entities.auto_merge(table(spark, d, "entity_identifiers")).select("identifier_id")
 
 
-@query("entity_role_inventory", "SELECT 'sender' AS role, entity_id, count(DISTINCT mail_id) AS documents FROM mail_messages m JOIN (SELECT DISTINCT entity_id, lower(trim(normalized_value)) AS v FROM entity_identifiers WHERE lower(trim(identifier_type)) = 'email') ON v = regexp_extract(lower(from_addr), '([a-z0-9._+-]+@[a-z0-9.-]+)', 1) GROUP BY ALL")
+@query("entity_role_inventory", "SELECT source_kind AS role, entity_id, count(DISTINCT provider_scope) AS documents FROM entity_identifiers JOIN entities USING (entity_id) WHERE provider_scope IS NOT NULL AND canonical_status = 'active' GROUP BY ALL")
 def entity_role_inventory(spark, d):
-    i = table(spark, d, "entity_identifiers").where(F.lower(F.trim("identifier_type")) == "email").select("entity_id", F.lower(F.trim("normalized_value")).alias("v")).distinct()
-    m = table(spark, d, "mail_messages").select(F.col("mail_id").alias("document_id"), F.regexp_extract(F.lower("from_addr"), "([a-z0-9._+-]+@[a-z0-9.-]+)", 1).alias("v"))
-    return entities.role_inventory(m.join(i, "v").withColumn("role", F.lit("sender")))
+    i = table(spark, d, "entity_identifiers").where("provider_scope is not null").select(F.col("source_kind").alias("role"), "entity_id", F.col("provider_scope").alias("document_id"))
+    return entities.role_inventory(i.join(table(spark, d, "entities").where("canonical_status = 'active'").select("entity_id"), "entity_id", "left_semi"))
 
 
 @query("entity_caches", """WITH k AS (SELECT *, lower(trim(identifier_type)) AS k FROM entity_identifiers WHERE trim(display_value) <> ''), f AS (SELECT entity_id, k, display_value, row_number() OVER (PARTITION BY entity_id, k ORDER BY CASE WHEN k = 'name' AND NOT contains(trim(display_value), ' ') THEN 1 ELSE 0 END, 1 - coalesce(is_primary, 0), identifier_id) AS r FROM k)
@@ -608,9 +653,13 @@ def whitespace_normal_forms(spark, d):
     return t.select("id", text.normalize_inline("text").alias("inline"), text.token_estimate("text").alias("tokens"))
 
 
-@query("content_types_by_extension", "SELECT e AS extension, count(*) AS n FROM (SELECT lower(regexp_extract(file_name, '\\.([A-Za-z0-9]{1,8})$', 1)) AS e FROM documents WHERE file_name IS NOT NULL) GROUP BY e")
+@query("content_types_by_extension", """SELECT e AS extension, CASE e WHEN 'eml' THEN 'Email' WHEN 'docx' THEN 'E-Doc' WHEN 'txt' THEN 'E-Doc' WHEN 'pdf' THEN 'E-Doc' WHEN 'htm' THEN 'Web' WHEN 'sql' THEN 'Database' WHEN 'json' THEN 'Database' WHEN 'xml' THEN 'Web'
+  WHEN 'py' THEN 'Source Code' WHEN 'png' THEN 'Image' WHEN 'mp3' THEN 'Audio' WHEN 'mp4' THEN 'Video' WHEN 'zip' THEN 'Container' WHEN 'ics' THEN 'Calendar' WHEN 'csv' THEN 'Spreadsheet / Table' WHEN 'pptx' THEN 'Presentation' WHEN 'dwg' THEN 'CAD' WHEN 'rsmf' THEN 'Message' END AS content_class, count(*) AS n
+FROM (SELECT lower(regexp_extract(file_name, '\\.([A-Za-z0-9]{1,8})$', 1)) AS e FROM documents WHERE file_name IS NOT NULL UNION ALL SELECT unnest(['sql', 'json', 'xml', 'py', 'png', 'mp3', 'mp4', 'zip', 'ics', 'csv', 'pptx', 'dwg', 'rsmf', 'qqq'])) GROUP BY e""")
 def content_types_by_extension(spark, d):
-    return A.documents(spark, d).where("file_name is not null").groupBy(text.extension("file_name").alias("extension")).agg(F.count("*").alias("n"))
+    more = spark.createDataFrame([(f"x.{e}",) for e in "sql json xml py png mp3 mp4 zip ics csv pptx dwg rsmf qqq".split()], "file_name string")
+    names = A.documents(spark, d).where("file_name is not null").select("file_name").unionByName(more)
+    return names.groupBy(text.extension("file_name").alias("extension"), text.content_type("file_name").alias("content_class")).agg(F.count("*").alias("n"))
 
 
 @query("html_text")

@@ -8,7 +8,7 @@ from casebolt import adapters as A
 from casebolt.common import table
 from casebolt.functions import people, text
 from casebolt.operators import collection, conversations, families, runs, upkeep
-from casebolt.queries_core import _FAM, _SEEN, _seen, query  # the same registry
+from casebolt.queries_core import CHUNKS, NAME_WORDS, _FAM, _SEEN, _seen, query  # the same registry
 
 
 @query("membership_refresh", f"WITH {_FAM} SELECT f.id AS document_id, o_orderpriority AS dataset_name FROM fam f JOIN orders ON o_orderkey * 1000 = coalesce(f.parent_id, f.id)")
@@ -57,7 +57,7 @@ def family_page(spark, d):
     return upkeep.family_rows(families.numbered(page.select("id"), F.desc("id")), f)
 
 
-@query("chunk_listing")
+@query("chunk_listing", f"WITH RECURSIVE {CHUNKS} SELECT document_id, chunk_index, char_start, char_end FROM chunk WHERE document_id = (SELECT doc_id FROM documents WHERE text IS NOT NULL ORDER BY length(text) DESC, doc_id LIMIT 1) ORDER BY chunk_index LIMIT 50")
 def chunk_listing(spark, d):
     docs = A.documents(spark, d)
     longest = docs.where("text is not null").orderBy(F.desc(F.length("text")), "id").limit(1).first()  # one document
@@ -108,7 +108,15 @@ def timeline_segments(spark, d):
     return conversations.timeline(e).groupBy("conversation_id", "segment").agg(F.count("*").alias("n"))
 
 
-@query("name_parts")
+_FORM = r"trim(regexp_replace(regexp_replace(lower(array_to_string({}, ' ')), '[^\p{{L}}\p{{N}}_@.+#/-]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_NAMES = ("WITH i AS (SELECT identifier_id, trim(regexp_replace(display_value, '\\s+', ' ', 'g')) AS t FROM entity_identifiers WHERE lower(trim(identifier_type)) = 'name'), "
+  "h AS (SELECT identifier_id, t, CASE WHEN contains(t, ',') THEN " + NAME_WORDS.format("split_part(t, ',', 1)") + " ELSE [] END AS f, CASE WHEN contains(t, ',') THEN " + NAME_WORDS.format("regexp_replace(t, '^[^,]*,', '')") + " ELSE [] END AS g, " + NAME_WORDS.format("t") + " AS w FROM i), "
+  "x AS (SELECT identifier_id, NOT contains(t, '@') AND len(w) > 0 AS ok, CASE WHEN len(f) > 0 AND len(g) > 0 THEN g WHEN len(w) > 1 THEN w[:-2] ELSE w END AS given, CASE WHEN len(f) > 0 AND len(g) > 0 THEN f WHEN len(w) > 1 THEN w[-1:] ELSE [] END AS family FROM h) "
+  "SELECT identifier_id, CASE WHEN ok THEN given[1] END AS given, CASE WHEN ok THEN nullif(array_to_string(given[2:], ' '), '') END AS middle, CASE WHEN ok THEN nullif(array_to_string(family, ' '), '') END AS family, "
+  "CASE WHEN ok THEN " + _FORM.format("list_concat(given, family)") + " END AS full_name, CASE WHEN ok THEN " + _FORM.format("list_concat(family, given)") + " END AS sort_name, CASE WHEN ok THEN len(family) > 0 END AS is_full FROM x")
+
+
+@query("name_parts", _NAMES)
 def name_parts(spark, d):
     i = table(spark, d, "entity_identifiers").where(F.lower(F.trim("identifier_type")) == "name")
     return i.select("identifier_id", people.name_parts("display_value").alias("p")).select("identifier_id", "p.*")

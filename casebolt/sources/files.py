@@ -10,6 +10,7 @@ import csv
 import email
 import email.policy
 import email.utils
+import hashlib
 import io
 import json
 import re
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebolt.functions.text import clean_text, strip_html_text
+from casebolt.functions import identifiers
+from casebolt.functions.headers import OWN_LINES, header_blocks
+from casebolt.functions.text import clean_text, content_classes, strip_html_text
+from casebolt.operators.conversations import is_chat
 
-TEXT_TYPES = "txt md log json xml yaml yml py js java c cpp sql sh"
 NO_PARSER = {"pdf", "msg", "xls", "pst", "doc", "ppt"}
 
 
@@ -45,7 +48,7 @@ def decode(data: bytes, declared: str | None = None) -> tuple[str, str]:
     try:
         from charset_normalizer import from_bytes
 
-        best = from_bytes(data[:200_000]).best()
+        best = from_bytes(data).best()
         if best is not None:
             return data.decode(best.encoding), "ok"
     except (ImportError, UnicodeDecodeError, LookupError):
@@ -140,8 +143,8 @@ def kind_of_values(values: list[str]) -> str:
     return "text"
 
 
-def parse_xlsx(data: bytes, rows: int = 200) -> str:
-    """A summary of the sheets: their header with kinds, from at most ``rows`` rows each, and defined names."""
+def parse_xlsx(data: bytes) -> str:
+    """A summary of the sheets: their header with kinds, from all rows, and defined names."""
     local = lambda e: e.tag.rsplit("}", 1)[-1]
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
@@ -165,8 +168,6 @@ def parse_xlsx(data: bytes, rows: int = 200) -> str:
                         col = col * 26 + ord(ch) - 64
                     cells[col] = text
                 table.append([cells.get(i, "") for i in range(1, max(cells, default=0) + 1)])
-                if len(table) >= rows:
-                    break
             out.append(f"Sheet: {name}\n" + describe_table(table))
         defined = [e.get("name") for e in book.iter() if local(e) == "definedName"]
         return "\n\n".join(out + (["Names: " + ", ".join(defined)] if defined else []))
@@ -193,9 +194,8 @@ def parse_delimited(text: str) -> list[list[str]]:
     if m:
         text, delim = text[m.end() :], m[1]
     else:
-        sample = [x for x in text.splitlines()[:50] if x.strip()]
         def even(d):
-            n = [len(r) for r in csv.reader(sample, delimiter=d)]
+            n = [len(r) for r in csv.reader(io.StringIO(text), delimiter=d) if any(x.strip() for x in r)]
             return (min(n) > 1, -len(set(n)), min(n)) if n else (False, 0, 0)
 
         delim = max(",\t;|", key=even)
@@ -228,19 +228,20 @@ def parse_mail(data: bytes) -> dict:
         if kind == "text/calendar":
             cal.append(decode(body, p.get_content_charset())[0])
         elif name or (p.get_content_disposition() == "attachment"):
-            files.append((name or "attachment", kind, len(body), str(p.get("Content-ID") or "").strip("<>")))
+            files.append((name or "attachment", kind, body, str(p.get("Content-ID") or "").strip("<>")))
         elif kind == "text/plain" and plain is None:
             plain = decode(body, p.get_content_charset())[0]
         elif kind == "text/html" and rich is None:
             rich = decode(body, p.get_content_charset())[0]
     shown = set(re.findall(r"cid:([^\"'>\s]+)", rich or ""))
+    files = [(n, k, b) for n, k, b, cid in files if not (k.startswith("image/") and cid and cid in shown)]
     h = lambda k: str(m[k]) if m[k] is not None else None
     return {
         "message_id": (h("Message-ID") or "").strip().strip("<>").lower() or None, "in_reply_to": (h("In-Reply-To") or "").strip().strip("<>").lower() or None,
         "references": list(dict.fromkeys(x.lower() for x in re.findall(r"<([^<>\s]+)>", h("References") or ""))), "thread_index": h("Thread-Index"), "thread_topic": h("Thread-Topic"),
         "subject": h("Subject"), "from": h("From"), "to": h("To"), "cc": h("Cc"), "bcc": h("Bcc"), "date": header_date(h("Date")),
         "text": clean_text(plain) if plain and plain.strip() else strip_html_text(rich) if rich else "",
-        "attachments": [f"{n}" for n, k, _, cid in files if not (k.startswith("image/") and cid and cid in shown)], "calendars": cal,
+        "attachments": [n for n, _, _ in files], "parts": files, "calendars": cal,
     }
 
 
@@ -298,16 +299,34 @@ def extract(extension: str, data: bytes) -> tuple[str, str, str]:
     if extension == "eml":
         m = parse_mail(data)
         return m["text"], "ok", "Email"
-    if extension in ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp"):
+    kind = CLASSES.get(extension)
+    if kind == "Image" and extension != "svg":
         return "", "empty", "Image"
+    if kind in ("Container", "Audio", "Video", "CAD") or (b"\0" in data and data[:2] not in (b"\xff\xfe", b"\xfe\xff")):
+        return "", "unsupported", kind or "Other"  # left closed
     text, status = decode(data)
     if extension in ("csv", "tsv"):
         return describe_table(parse_delimited(text)), status, "Spreadsheet / Table"
-    if extension in ("htm", "html"):
+    if kind == "Web" and extension != "xml":
         return strip_html_text(text), status, "Web"
-    if extension == "ics":
+    if kind == "Calendar":
         return "\n\n".join("\n".join(f"{k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in e.items()) for e in parse_ics(text)), status, "Calendar"
-    return clean_text(text), status, "E-Doc" if extension in ("txt", "md", "log") else "Code"
+    text = clean_text(text)
+    shown = kind_by_content(extension, text) if kind in ("E-Doc", "Web", None) else None
+    return text, status, shown or kind or "Other"
+
+
+CLASSES = content_classes()
+
+
+def kind_by_content(extension: str, text: str) -> str | None:
+    """Class that a text itself shows: Email by the headers it begins with, Chat by its lines, Calendar by its first ones."""
+    if header_blocks(text, OWN_LINES):
+        return "Email"
+    if is_chat(text):
+        return "Chat"
+    head = text[:4000].upper()
+    return "Calendar" if "BEGIN:VCALENDAR" in head or "BEGIN:VEVENT" in head or (extension == "xml" and "<VCALENDAR" in head) else None
 
 
 _FILE_ROWS = "path string, item_id string, extension string, size long, file_hash string, content_type string, text_status string, text string, error string"
@@ -315,7 +334,6 @@ _FILE_ROWS = "path string, item_id string, extension string, size long, file_has
 
 def read_files(files: DataFrame) -> DataFrame:
     """One row for each file, one for each message of an mbox (item_id its message id, or its digest; repeats get #2, #3 …)."""
-    import hashlib
 
     def rows_of(path, ext, size, data):
         digest = hashlib.sha256(data).hexdigest()
@@ -329,7 +347,7 @@ def read_files(files: DataFrame) -> DataFrame:
             return
         try:
             text, status, kind = extract(ext, data)
-            yield path, None, ext, size, digest, kind, status if text else "empty", text, None
+            yield path, None, ext, size, digest, kind, status if text or status == "unsupported" else "empty", text, None
         except Exception as e:
             yield path, None, ext, size, digest, None, "failed", None, f"{type(e).__name__}: {e}"
 
@@ -343,6 +361,66 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("path", "extension", "size", "content").mapInArrow(run, _FILE_ROWS)
 
 
+_HEADERS = ("message_id", "in_reply_to", "thread_index", "thread_topic", "subject", "from", "to", "cc", "bcc", "date")
+_MAIL_ROWS = "path string, item_id string, parent_item_id string, attachment_no int, file_name string, content_type string, text_status string, text string, file_hash string, size long, error string, references array<string>, " + ", ".join(f"`{h}` string" for h in _HEADERS)
+
+
+def mail_rows(path: str, data: bytes) -> list[dict]:
+    """A message and its attachments as rows: the attachments are its children, numbered from 1 in their order and parsed by their
+    extension; an attached message has its own children. A part that cannot be parsed has an error."""
+    out: list[dict] = []
+
+    def add(raw: bytes, item: str | None, parent: str | None, number: int | None, name: str | None) -> None:
+        m = parse_mail(raw)
+        digest = hashlib.sha256(raw).hexdigest()
+        item = item or m["message_id"] or digest
+        out.append({"path": path, "item_id": item, "parent_item_id": parent, "attachment_no": number, "file_name": name, "content_type": "Email", "text_status": "ok" if m["text"] else "empty", "text": m["text"], "file_hash": digest, "size": len(raw), "references": m["references"]} | {h: m[h] for h in _HEADERS})
+        for k, (part, kind, body) in enumerate(m["parts"], 1):
+            child = f"{item}/{k}"
+            ext = (re.search(r"\.([A-Za-z0-9]{1,8})$", part) or ["", ""])[1].lower()
+            if ext == "eml" or kind == "message/rfc822":
+                add(body, child, item, k, part)
+                continue
+            row = {"path": path, "item_id": child, "parent_item_id": item, "attachment_no": k, "file_name": part, "file_hash": hashlib.sha256(body).hexdigest(), "size": len(body)}
+            try:
+                text, status, kind = extract(ext, body)
+                out.append(row | {"content_type": kind, "text_status": status if text else "unsupported" if status == "unsupported" else "empty", "text": text})
+            except Exception as e:
+                out.append(row | {"text_status": "failed", "error": f"{type(e).__name__}: {e}"})
+
+    add(data, None, None, None, None)
+    return out
+
+
+def read_mails(files: DataFrame) -> DataFrame:
+    """Messages of .eml and .mbox files with their headers, and their attachments as child rows (``mail_rows``)."""
+    names = [x.strip().split(" ")[0].strip("`") for x in _MAIL_ROWS.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, ext, data in zip(*(c.to_pylist() for c in b.columns)):
+                for part in split_mbox(data) if ext == "mbox" else [data]:
+                    try:
+                        rows += mail_rows(path, part)
+                    except Exception as e:
+                        rows.append({"path": path, "text_status": "failed", "error": f"{type(e).__name__}: {e}"})
+            types = {"attachment_no": pa.int32(), "size": pa.int64(), "references": pa.list_(pa.string())}
+            yield pa.record_batch([pa.array([r.get(n) for r in rows], types.get(n, pa.string())) for n in names], names=names)
+
+    return files.where("extension in ('eml', 'mbox')").select("path", "extension", "content").mapInArrow(run, _MAIL_ROWS)
+
+
+def threading_headers(mails: DataFrame) -> DataFrame:
+    """The messages of read_mails in the shape that conversations.thread_mail takes. Attachments have no threading of their own."""
+    people = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "from", "to", "cc", "bcc")), F.lit("([a-z0-9._%+-]+@[a-z0-9.-]+)"), F.lit(1))))
+    none = F.lit(None).cast("string")
+    return mails.where("parent_item_id is null and error is null").select(
+        F.xxhash64("path", "item_id").alias("id"), "date", "message_id", "in_reply_to", "references", identifiers.index_root("thread_index").alias("index_root"), F.col("thread_topic").alias("topic"),
+        identifiers.subject("subject").alias("subject"), people.alias("people"), none.alias("custodian"), none.alias("manual"), "item_id",
+    )
+
+
 # ---- structured exports
 # Names of load file columns.
 LOAD_COLUMNS = {
@@ -356,8 +434,13 @@ LOAD_COLUMNS = {
 
 
 def read_dat(spark: SparkSession, path: str) -> DataFrame:
-    """A Concordance load file: fields parted by \\x14, quoted by þ, Latin-1; known column names become the standard ones."""
-    df = spark.read.csv(path, sep="\x14", quote="þ", encoding="ISO-8859-1", header=True)
+    """A load file: Concordance (fields parted by \\x14, quoted by þ, Latin-1), or if its header has no \\x14, parted by whichever of comma, tab,
+    pipe and semicolon the header has most of (UTF-8, double quotes). Known column names become the standard ones."""
+    head = (spark.read.option("encoding", "ISO-8859-1").text(path).first() or [""])[0]  # the header line
+    if "\x14" in head:
+        df = spark.read.csv(path, sep="\x14", quote="þ", encoding="ISO-8859-1", header=True)
+    else:
+        df = spark.read.csv(path, sep=max(",\t|;", key=head.count), header=True, multiLine=True, escape='"')
     key = lambda c: re.sub(r"[^a-z0-9_]", "", c.lower())
     to = {a: k for k, v in LOAD_COLUMNS.items() for a in (*v, k, k.replace("_", ""))}
     return df.select(*[F.col(f"`{c}`").alias(to.get(key(c), key(c))) for c in df.columns])
@@ -375,6 +458,16 @@ def read_slack(spark: SparkSession, root: str) -> DataFrame:
     return df.where("type = 'message'").select(F.regexp_extract("path", r"/([^/]+)/[^/]+\.json$", 1).alias("channel"), "ts", "thread_ts", "user", "text", "reply_count")
 
 
+def slack_names(spark: SparkSession, root: str, messages: DataFrame) -> DataFrame:
+    """Messages of read_slack with user_name (real name, else display name, else the id) from users.json and channel_purpose from channels.json."""
+    u = spark.read.schema("id string, name string, real_name string, profile struct<real_name:string,display_name:string>").json(f"{root}/users.json", multiLine=True)
+    full = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    users = u.select(F.col("id").alias("user"), F.coalesce(full("profile.real_name"), full("real_name"), full("profile.display_name"), full("name")).alias("_name")).dropDuplicates(["user"])
+    c = spark.read.schema("name string, purpose struct<value:string>").json(f"{root}/channels.json", multiLine=True)
+    channels = c.select(F.col("name").alias("channel"), F.col("purpose.value").alias("channel_purpose")).dropDuplicates(["channel"])
+    return messages.join(users, "user", "left").join(channels, "channel", "left").withColumn("user_name", F.coalesce("_name", "user")).drop("_name")
+
+
 def read_sidecar(spark: SparkSession, path: str, need: list[str], kind: str = "csv") -> DataFrame:
     """A mail export's metadata table; a file without the needed columns is refused."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
