@@ -14,10 +14,30 @@ def export_csv(df: DataFrame, path: str, fields: list[str], one_file: bool = Fal
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def export_table(df: DataFrame, path: str, status: DataFrame | None = None) -> dict:
-    """A table as Parquet; the job restarts from the beginning, so its state is one row."""
-    df.write.mode("overwrite").parquet(path)
-    return {"state": "completed", "rows": df.sparkSession.read.parquet(path).count()}
+def export_step(df: DataFrame, path: str, key: str, size: int) -> dict:
+    """The next ``size`` rows of an export of documents, entities or conversations in the order of ``key``, written to path/step=N. The
+    greatest key of the steps there is the cursor, so an export that was broken off goes on where it stopped; a step is there as a whole or
+    not at all. Returns the state, the cursor and the rows of this step; completed once a step finds no more."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    steps = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    done = [s for s in steps if s.startswith("step=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{s}/_SUCCESS"))]
+    cursor = spark.read.parquet(*[f"{path}/{s}" for s in done]).agg(F.max(key)).first()[0] if done else None
+    left = df if cursor is None else df.where(F.col(key) > F.lit(cursor))
+    part = left.orderBy(key).limit(size)
+    target = f"{path}/step={len(done)}"
+    part.write.mode("overwrite").parquet(target)
+    r = spark.read.schema(df.schema).parquet(target).agg(F.count("*").alias("n"), F.max(key).alias("at")).first()
+    return {"state": "running" if r["n"] == size else "completed", "cursor": cursor if r["at"] is None else r["at"], "rows": r["n"]}
+
+
+def export_table(df: DataFrame, path: str, key: str, size: int = 1_000_000) -> dict:
+    """All steps of an export, from where an earlier call stopped."""
+    state = export_step(df, path, key, size)
+    while state["state"] == "running":
+        state = export_step(df, path, key, size)
+    return state
 
 
 def export_archive(manifest: DataFrame, path: str) -> int:

@@ -12,31 +12,59 @@ from pyspark.sql import functions as F
 from casebolt.operators.occurrences import upsert
 
 
+#: Batches that are kept beside the base before all are merged into a new one.
+MOST_BATCHES = 16
+
+
 def merge_landing(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str, key: list[str]) -> None:
-    """Merges the JSON files of a folder into a Parquet table of versions (table/v=N); the newest version is the state."""
+    """Merges the JSON files of a folder into a table. A micro-batch writes its own rows only (table/v=N, with their key as _key); every
+    MOST_BATCHES of them are merged into a base (table/base=N), after which they and the old base are removed. ``current`` reads the base
+    and the batches after it."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        try:
-            old = current(batch.sparkSession, table)
-            out = upsert(old, batch, key)
-        except FileNotFoundError:
-            out = upsert(batch.limit(0), batch, key)
-        out.write.mode("overwrite").parquet(f"{table}/v={number}")
+        rows = upsert(batch.limit(0), batch, key).withColumn("_key", F.struct(*key))
+        rows.write.mode("overwrite").parquet(f"{table}/v={number}")
+        base, batches = _parts(spark, table)
+        if len(batches) > MOST_BATCHES:
+            _merged(spark, table, base, batches).write.mode("overwrite").parquet(f"{table}/base={batches[-1]}")
+            for name in [f"v={n}" for n in batches] + ([] if base is None else [f"base={base}"]):
+                _fs(spark, table)[1].delete(_fs(spark, f"{table}/{name}")[0], True)
 
     q = spark.readStream.schema(schema).json(landing).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _parts(spark: SparkSession, table: str) -> tuple[int | None, list[int]]:
+    """The newest base and the batches after it, of those written completely."""
+    p, fs = _fs(spark, table)
     if not fs.exists(p):
+        return None, []
+    done = [s.getPath().getName().split("=") for s in fs.listStatus(p) if fs.exists(_fs(spark, f"{table}/{s.getPath().getName()}/_SUCCESS")[0])]
+    base = max((int(x[1]) for x in done if x[0] == "base"), default=None)
+    return base, sorted(int(x[1]) for x in done if x[0] == "v" and (base is None or int(x[1]) > base))
+
+
+def _merged(spark: SparkSession, table: str, base: int | None, batches: list[int]) -> DataFrame:
+    read = lambda name, n: spark.read.parquet(f"{table}/{name}={n}").withColumn("_v", F.lit(n))
+    every = ([] if base is None else [read("base", base)]) + [read("v", n) for n in batches]
+    rows = every[0]
+    for x in every[1:]:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    kept = [c for c in rows.columns if c not in ("_key", "_v")]
+    return rows.groupBy("_key").agg(F.max_by(F.struct(*kept), "_v").alias("x")).select("x.*", "_key")
+
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The newest row of each key; a table without any batch is not there."""
+    base, batches = _parts(spark, table)
+    if base is None and not batches:
         raise FileNotFoundError(table)
-    done = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not done:
-        raise FileNotFoundError(table)
-    return spark.read.parquet(f"{table}/{max(done, key=lambda n: int(n.split('=')[1]))}")
+    return _merged(spark, table, base, batches).drop("_key")
 
 
 def activity(events: DataFrame, bucket: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -283,6 +283,33 @@ def test_streaming_merge(spark, tmp_path):
     assert sorted(map(tuple, landing.current(spark, tab).select("id", "v").collect())) == [(1, "a"), (2, "c")]
 
 
+def test_streaming_merges_batches_into_a_base(spark, tmp_path, monkeypatch):
+    from casebolt.streaming import landing
+
+    monkeypatch.setattr(landing, "MOST_BATCHES", 2)
+    land, tab, ck = (str(tmp_path / x) for x in ("in", "t", "ck"))
+    with pytest.raises(FileNotFoundError):
+        landing.current(spark, tab)
+    for n in range(5):
+        spark.createDataFrame([(n % 2, f"v{n}"), (None, f"n{n}")], "id long, v string").write.mode("append").json(land)
+        landing.merge_landing(spark, land, tab, ck, "id long, v string", ["id"])
+        names = [p.name for p in (tmp_path / "t").iterdir()]
+        assert len(names) <= 3
+    assert any(x.startswith("base=") for x in names)
+    assert sorted(map(tuple, landing.current(spark, tab).where("id is not null").select("id", "v").collect())) == [(0, "v4"), (1, "v3")]
+
+
+def test_export_in_steps(spark, tmp_path):
+    from casebolt.sources import sinks
+
+    d, path = spark.range(25).withColumn("x", F.col("id") * 2), str(tmp_path / "e")
+    assert sinks.export_step(d, path, "id", 10) == {"state": "running", "cursor": 9, "rows": 10}
+    (tmp_path / "e" / "step=1").mkdir()  # a step that was broken off
+    assert sinks.export_table(d, path, "id", 10) == {"state": "completed", "cursor": 24, "rows": 5}
+    assert sorted(r.id for r in spark.read.parquet(*[str(p) for p in (tmp_path / "e").iterdir()]).collect()) == list(range(25))
+    assert sinks.export_step(d.limit(0), str(tmp_path / "f"), "id", 10) == {"state": "completed", "cursor": None, "rows": 0}
+
+
 def test_files(spark, tmp_path):
     from casebolt.sources import files
 
