@@ -190,12 +190,12 @@ def common_given(names: DataFrame, share: float = COMMON_SHARE, least: int = COM
     return {r["word"]: r["n"] for r in counts.where((F.col("n") >= floor) & (F.col("n") > 2 * F.col("f"))).collect()}
 
 
-def short_forms(names: DataFrame, common: dict[str, int]) -> dict[str, str]:
+def short_forms(names: DataFrame, common: dict[str, int], scratch: Scratch) -> dict[str, str]:
     """short -> full form, of the common given parts. For each two of them: in how many (scope, family) both stand, against how many that
     would be by chance. At most as many rows as common parts come to the driver; a family of any size holds at most that many."""
     if not common:
         return {}
-    read = names.mapInArrow(_read(common, {}), READ).where("how = 'exact' and given <> '' and family <> ''").select("scope", "family", "given").distinct()
+    read = scratch.put(names.mapInArrow(_read(common, {}), READ).where("how = 'exact' and given <> '' and family <> ''").select("scope", "family", "given").distinct())
     n = read.groupBy("given").agg(F.count("*").alias("n"))
     total = read.select("scope", "family").distinct().count()
     both = read.join(read.withColumnRenamed("given", "other"), ["scope", "family"]).where("given <> other").groupBy("given", "other").agg(F.count("*").alias("both"))
@@ -280,7 +280,7 @@ def entities(identifiers: DataFrame, scratch: Scratch | None = None) -> DataFram
     names = identifiers.where(F.lower(F.trim(F.regexp_replace("identifier_type", r"[\s ]+", " "))) == "name").where("provider_scope is not null")
     names = names.select("identifier_id", F.col("provider_scope").alias("scope"), shown.alias("display_value")).where("display_value is not null")
     common = common_given(names)
-    read = scratch.put(names.mapInArrow(_read(common, short_forms(names, common)), READ)).withColumn("node", F.xxhash64("scope", "family", "given"))
+    read = scratch.put(names.mapInArrow(_read(common, short_forms(names, common, scratch)), READ)).withColumn("node", F.xxhash64("scope", "family", "given"))
     # spellings without an error count in full, others little
     weight = F.when(F.col("how").isin("exact", "nickname", "short", "rare"), 1.0).otherwise(0.2)
     full = read.where("how <> 'initial'").groupBy("node", "scope", "given", "family").agg(F.sum(weight).alias("n"), F.max(F.col("how") == "rare").alias("rare"))
