@@ -80,6 +80,9 @@ def dataset_summary(docs: DataFrame, membership: DataFrame) -> DataFrame:
     )
     kinds = m.groupBy("dataset_name", "content_type").agg(F.count("*").alias("n")).groupBy("dataset_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "content_type"))).alias("k"))
     text = F.array_join(F.transform("k", lambda x: F.concat(F.coalesce(x["content_type"], F.lit("(none)")), F.lit(": "), -x["neg"])), ", ")
+    if "source" in membership.columns:  # how each document came into the dataset: by hand, or from a source; by both counts for both
+        how = membership.select("dataset_name", "document_id", F.when(F.col("source") == "manual", "manual").otherwise("source").alias("how")).distinct().join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        g = g.join(how.groupBy("dataset_name").agg(F.count_if(F.col("how") == "manual").alias("manual_documents"), F.count_if(F.col("how") == "source").alias("source_documents")), "dataset_name")
     return g.join(kinds.select("dataset_name", text.alias("content_types")), "dataset_name")
 
 

@@ -50,6 +50,15 @@ def canonical(occ: DataFrame, fields: list[str], key: str = "document_id") -> Da
     )
 
 
+def keep_locked(fresh: DataFrame, stored: DataFrame, fields: list[str], key: str = "document_id") -> DataFrame:
+    """Documents rebuilt from their copies with the stored values of the fields that a user locked (stored: key, fields, locked array of field
+    names); a locked null stays null. Documents not stored yet have no locks."""
+    old = stored.select(key, F.col("locked").alias("_locked"), *[F.col(f).alias(f"_{f}") for f in fields])
+    j = fresh.join(old, key, "left")
+    held = lambda f: F.coalesce(F.array_contains("_locked", f), F.lit(False))
+    return j.withColumns({f: F.when(held(f), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).drop("_locked", *[f"_{f}" for f in fields])
+
+
 def conflicts(occ: DataFrame, fields: list[str], key: str = "document_id") -> DataFrame:
     """(key, field_name, value, occurrence_id): where active copies hold different non-blank values, each value once with its last copy."""
     live = occ.where("lifecycle_status = 'active'")

@@ -19,6 +19,14 @@ def content_hash(*parts) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.concat(F.lit("+"), F.col(p).cast("string")), F.lit("-")) for p in parts]), 256)
 
 
+def attachment_manifests(attachments: DataFrame) -> DataFrame:
+    """(message_id, manifest) of attachments (message_id, name, size, file_hash): one text a message, its attachments in the order of hash, name
+    and size, so that their order in the mail says nothing. It is a part of the message's content hash."""
+    a = F.struct(F.coalesce("file_hash", F.lit("-")).alias("h"), F.coalesce("name", F.lit("-")).alias("n"), F.coalesce("size", F.lit(-1)).cast("long").alias("s"))
+    line = F.transform(F.sort_array(F.collect_list(a)), lambda x: F.concat_ws("|", x["h"], x["n"], x["s"].cast("string")))
+    return attachments.groupBy("message_id").agg(F.array_join(line, "\n").alias("manifest"))
+
+
 def load_state(stored: DataFrame, loaded: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """State of each record against a new load file: unchanged (all fields equal, nulls too), changed, new, retired."""
     a = stored.select(key, F.struct(*fields).alias("old"), F.lit(True).alias("s"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casebolt import adapters as A
 from casebolt.common import table
 from casebolt.functions import headers, identifiers, people
-from casebolt.operators import entities, jobs, reconcile, records, search
+from casebolt.operators import collection, entities, jobs, occurrences, reconcile, records, search, upkeep
 from casebolt.plans.scope import Corpus, Scope, resolve
 from casebolt.queries_core import NAME_WORDS, _index, query
 
@@ -172,6 +172,27 @@ def dataset_delete(spark, d):
     return reconcile.delete_dataset(member.select("dataset_id").distinct(), member, "scan_ocr")[2]
 
 
+@query("locked_fields", """WITH f AS (SELECT lower(rfc822messageid) AS document_id, min(subject) AS subject, min(from_addr) AS author FROM gmail_metadata WHERE rfc822messageid IS NOT NULL GROUP BY 1),
+s AS (SELECT lower(rfc822messageid) AS document_id, min(subject) AS subject FROM mail_messages WHERE rfc822messageid IS NOT NULL GROUP BY 1)
+SELECT f.document_id, CASE WHEN s.document_id IS NOT NULL THEN s.subject ELSE f.subject END AS subject, f.author FROM f LEFT JOIN s USING (document_id)""")
+def locked_fields(spark, d):
+    shape = lambda n: table(spark, d, n).where("rfc822messageid is not null").groupBy(F.lower("rfc822messageid").alias("document_id")).agg(F.min("subject").alias("subject"), F.min("from_addr").alias("author"))
+    return occurrences.keep_locked(shape("gmail_metadata"), shape("mail_messages").withColumn("locked", F.array(F.lit("subject"))), ["subject", "author"])
+
+
+@query("attachment_manifests", "SELECT l_orderkey AS message_id, string_agg(sha256(l_returnflag) || '|' || l_linestatus || '|' || l_linenumber, chr(10) ORDER BY sha256(l_returnflag), l_linestatus, l_linenumber) AS manifest FROM lineitem GROUP BY 1")
+def attachment_manifests(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linestatus").alias("name"), F.col("l_linenumber").alias("size"), F.sha2("l_returnflag", 256).alias("file_hash"))
+    return upkeep.attachment_manifests(l)
+
+
+@query("dataset_sources", "SELECT source AS dataset_name, count(DISTINCT doc_id) FILTER (doc_id % 3 = 0) AS manual_documents, count(DISTINCT doc_id) FILTER (doc_id % 3 <> 0) AS source_documents FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def dataset_sources(spark, d):
+    docs = A.documents(spark, d).withColumns({"custodian": F.col("lang"), "date_created": F.lit(None).cast("timestamp"), "date_modified": F.lit(None).cast("timestamp")})
+    m = docs.where("dataset_name is not null").select("dataset_name", F.col("id").alias("document_id"), F.when(F.col("id") % 3 == 0, "manual").otherwise("filesystem").alias("source"))
+    return collection.dataset_summary(docs.drop("dataset_name"), m).select("dataset_name", "manual_documents", "source_documents")
+
+
 # ---- jobs
 @query("next_job_versions", "SELECT n.id AS ident, n.job_id, (coalesce(m, 0) + row_number() OVER (PARTITION BY n.job_id ORDER BY n.id))::INTEGER AS version FROM (SELECT doc_id AS id, doc_id % 20 AS job_id FROM documents WHERE lang = 'es') n LEFT JOIN (SELECT job_id, max(version) AS m FROM job_versions GROUP BY 1) v ON v.job_id = n.job_id")
 def next_job_versions(spark, d):
