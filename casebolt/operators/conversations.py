@@ -2,16 +2,19 @@
 
 Mail threading depends on the order of the documents: each one looks at the clusters that earlier ones formed. Documents that could
 ever meet are therefore grouped by connected components over all their signals (in a distributed contraction elsewhere, or by the
-key columns given), and the exact ordered cascade runs inside each component with applyInPandas.
+key columns given), and the exact ordered cascade runs inside each component, over the components of a partition in one pass.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
+from collections import Counter, namedtuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,10 +88,11 @@ def slack_threads(messages: DataFrame) -> DataFrame:
 
 # ---- mail threading
 THREADED = "id long, cluster long, how string, conversation_key string, display_name string"
+Mail = namedtuple("Mail", "id date message_id in_reply_to references index_root topic subject people custodian manual title")
 
 
 def _cluster(strong: bool) -> dict:
-    return {"subjects": set(), "people": set(), "custodians": set(), "last": None, "strong": strong, "ids": set(), "roots": set(), "topics": set(), "names": []}
+    return {"subjects": set(), "people": set(), "custodians": set(), "last": None, "strong": strong, "ids": set(), "roots": set(), "topics": set(), "name": None}
 
 
 def _key(v: dict) -> str:
@@ -101,67 +105,65 @@ def _key(v: dict) -> str:
     return "heuristic:" + hashlib.sha256(json.dumps(about, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:24]
 
 
-def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one component, documents by date (blank last) and id. Each one joins the cluster of its message id, of the
-    message it answers, of its references (the longest trailing part that one cluster alone knows), of its conversation index, or
-    of the best matching earlier cluster with the same subject; otherwise it opens one."""
-    d = pdf.copy()
-    d["_blank"] = d["date"].isna() | (d["date"].astype(str).str.strip() == "")
-    d = d.sort_values(["_blank", "date", "id"], kind="stable")
+def _known_cluster(of_id: dict, refs: list) -> int | None:
+    """The cluster that alone knows the longest trailing part of the references: that of the last known one."""
+    return next((of_id[r] for r in reversed(refs) if r in of_id), None)
+
+
+def _threads(mails: list[Mail]) -> list[tuple]:
+    """Rows of THREADED of one component, in the order of the mails' dates (blank last) and ids. Earlier clusters without ids are found by
+    subject and person, so a subject of many mails costs what they have in common, not its square."""
     of_id: dict[str, int] = {}
     of_root: dict[tuple, int] = {}
+    weak: dict[tuple, list[int]] = {}
     clusters: dict[int, dict] = {}
     out = []
-
-    def cluster_of_refs(refs):
-        for k in range(len(refs)):
-            hit = {of_id[r] for r in refs[k:] if r in of_id}
-            if len(hit) == 1:
-                return hit.pop()
-        return None
-
+    mails = sorted(mails, key=lambda r: (not (r.date or "").strip(), r.date is None, r.date or "", r.id))
     # pinned conversations exist before any automatic one
-    for r in d[d["manual"].notna()].itertuples():
-        key = ("manual", r.manual)
-        c = of_root.setdefault(key, int(r.id))
-        clusters.setdefault(c, _cluster(True))
-        for m in filter(None, [r.message_id]):
-            of_id.setdefault(m, c)
-    for r in d.itertuples():
-        refs = list(r.references) if r.references is not None and not isinstance(r.references, float) else []
-        people = set(r.people) if r.people is not None and not isinstance(r.people, float) else set()
-        root = (r.index_root, r.topic) if isinstance(r.index_root, str) and r.index_root else None
+    for r in mails:
+        if r.manual is not None:
+            c = of_root.setdefault(("manual", r.manual), r.id)
+            clusters.setdefault(c, _cluster(True))
+            if r.message_id:
+                of_id.setdefault(r.message_id, c)
+    for r in mails:
+        refs, people = r.references or [], set(r.people or ())
+        root = (r.index_root, r.topic) if r.index_root else None
         strong = bool(r.message_id or r.in_reply_to or refs or root)
         c, how = None, "new"
-        if isinstance(r.manual, str):
+        if r.manual is not None:
             c, how = of_root[("manual", r.manual)], "manual"
-        elif r.message_id in of_id and r.message_id:
+        elif r.message_id and r.message_id in of_id:
             c, how = of_id[r.message_id], "message"
         elif r.in_reply_to and r.in_reply_to in of_id:
             c, how = of_id[r.in_reply_to], "reply"
-        elif (hit := cluster_of_refs(refs)) is not None:
+        elif (hit := _known_cluster(of_id, refs)) is not None:
             c, how = hit, "references"
-        elif root in of_root and root:
+        elif root and root in of_root:
             c, how = of_root[root], "index"
         elif not strong and r.subject:
             best = []
-            for k, v in clusters.items():
-                both = len(people & v["people"])
-                if not v["strong"] and r.subject in v["subjects"] and both and not (r.custodian and v["custodians"] and r.custodian not in v["custodians"]) and (v["last"] is None or not r.date or v["last"] <= r.date):
+            for k, both in Counter(k for p in people for k in weak.get((r.subject, p), ())).items():
+                v = clusters[k]
+                if not (r.custodian and v["custodians"] and r.custodian not in v["custodians"]) and (v["last"] is None or not r.date or v["last"] <= r.date):
                     best.append(((both, v["last"] or ""), k))
-            best.sort(reverse=True)
+            best = heapq.nlargest(2, best)
             if best and (len(best) == 1 or best[0][0] != best[1][0]):
                 c, how = best[0][1], "subject"
         if c is None:
-            c = int(r.id)
+            c = r.id
             clusters[c] = _cluster(strong)
         v = clusters[c]
+        # a cluster without ids has one subject
+        if not v["strong"] and r.subject:
+            for p in people - v["people"]:
+                weak.setdefault((r.subject, p), []).append(c)
         v["people"] |= people
         if r.subject:
             v["subjects"].add(r.subject)
         if r.custodian:
             v["custodians"].add(r.custodian)
-        if isinstance(r.date, str) and r.date:
+        if r.date:
             v["last"] = max(v["last"] or "", r.date)
         for m in filter(None, [r.message_id, r.in_reply_to, *refs]):
             of_id.setdefault(m, c)
@@ -169,14 +171,43 @@ def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
         if root:
             of_root.setdefault(root, c)
             v["roots"].add(root[0])
-        if isinstance(r.topic, str) and r.topic.strip():
+        if r.topic and r.topic.strip():
             v["topics"].add(r.topic)
-        v["names"] += [x for x in (r.subject, getattr(r, "title", None)) if isinstance(x, str) and x.strip()][:1]
-        out.append((int(r.id), c, how))
-    res = pd.DataFrame(out, columns=["id", "cluster", "how"])
-    res["conversation_key"] = res["cluster"].map({c: _key(v) for c, v in clusters.items()})
-    res["display_name"] = res["cluster"].map({c: next(iter([*v["names"], *sorted(v["topics"])]), None) for c, v in clusters.items()})
-    return res
+        v["name"] = v["name"] or next((x for x in (r.subject, r.title) if x and x.strip()), None)
+        out.append((r.id, c, how))
+    ends = {c: (_key(v), v["name"] or min(v["topics"], default=None)) for c, v in clusters.items()}
+    return [(*x, *ends[x[1]]) for x in out]
+
+
+def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Clusters of one component, documents by date (blank last) and id. Each one joins the cluster of its message id, of the
+    message it answers, of its references (the longest trailing part that one cluster alone knows), of its conversation index, or
+    of the best matching earlier cluster with the same subject; otherwise it opens one."""
+    text = lambda x: x if isinstance(x, str) else None
+    many = lambda x: [] if x is None or isinstance(x, float) else list(x)
+    columns = [pdf[c].tolist() if c in pdf else [None] * len(pdf) for c in Mail._fields]
+    mails = [Mail(*[int(x) if c == "id" else many(x) if c in ("references", "people") else text(x) for c, x in zip(Mail._fields, row)]) for row in zip(*columns)]
+    return pd.DataFrame(_threads(mails), columns=[c.split()[0] for c in THREADED.split(", ")])
+
+
+def _by_component(batches):
+    """Threads of rows (component, fields of a mail) in the order of their components; a component may go on in the next batch."""
+    held, current = [], None
+    for b in batches:
+        out = []
+        for component, *mail in zip(*(c.to_pylist() for c in b.columns)):
+            if component != current:
+                out += _threads(held)
+                held, current = [], component
+            held.append(Mail(*mail))
+        yield _threaded_batch(out)
+    yield _threaded_batch(_threads(held))
+
+
+def _threaded_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    fields = [pa.field(n, kinds[k]) for n, k in (c.split() for c in THREADED.split(", "))]
+    return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [()] * len(fields), fields)], schema=pa.schema(fields))
 
 
 def thread_mail(mail: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -189,15 +220,21 @@ def thread_mail(mail: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     mail = mail.withColumn("_weak_subject", F.when(~strong, F.nullif("subject", F.lit(""))))
     signals = F.array_compact(F.array_union(F.array(F.concat(F.lit("m:"), "message_id"), F.concat(F.lit("m:"), "in_reply_to"), F.concat(F.lit("i:"), "index_root"), F.concat(F.lit("c:"), "manual"), F.concat(F.lit("s:"), "_weak_subject")), F.transform(F.coalesce("references", F.array().cast("array<string>")), lambda x: F.concat(F.lit("m:"), x))))
     mail = mail.withColumn("_signals", signals).drop("_weak_subject")
-    comp = components(mail.select("id", F.explode(F.filter("_signals", lambda x: F.length(x) > 2)).alias("signal")), scratch)
-    j = mail.drop("_signals").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return j.groupBy("component").applyInPandas(lambda pdf: cascade(pdf.drop(columns="component")), THREADED)
+    # a clash of two signals puts unrelated mails into one component, where they do not meet
+    comp = components(mail.select("id", F.explode(F.transform(F.filter("_signals", lambda x: F.length(x) > 2), lambda x: F.xxhash64(x))).alias("signal")), scratch)
+    fields = [F.col(f"`{c}`") if c in mail.columns else F.lit(None).cast("string").alias(c) for c in Mail._fields]
+    j = mail.select(*fields).join(comp, "id", "left").select(F.coalesce("component", "id").alias("component"), *Mail._fields)
+    # most components are a few mails: a call of Python takes a partition of them
+    return j.repartition("component").sortWithinPartitions("component").mapInArrow(_by_component, THREADED)
 
 
 def components(members: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
     """(id, component) of documents that share signals, however far: least labels pass along signals and are compressed by label."""
     scratch = scratch or Scratch(members.sparkSession, "threads")
-    links = scratch.put(members.distinct())
+    members = scratch.put(members.distinct())
+    # a signal of one document links nothing
+    shared = members.groupBy("signal").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("signal")
+    links = scratch.put(members.join(shared, "signal", "left_semi").select("id", "signal"))
     label = scratch.put(links.groupBy("id").agg(F.min("id").alias("component")))
     for _ in range(rounds):
         least = links.join(label, "id").groupBy("signal").agg(F.min("component").alias("component"))
@@ -209,7 +246,8 @@ def components(members: DataFrame, scratch: Scratch | None = None, rounds: int =
         scratch.drop(label)
         label = jump
         if not changed:
-            return label
+            # documents without a shared signal stay alone
+            return members.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     raise RuntimeError("labels did not settle")
 
 

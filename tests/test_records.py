@@ -1,5 +1,6 @@
 """Identifiers, content classes, names, header blocks, mail families, reconciliation, jobs and entity decisions on small tables."""
 
+import time
 from datetime import datetime
 from email.message import EmailMessage
 
@@ -215,6 +216,18 @@ def test_threads_equal_one_sequential_run(spark, sf):
     assert got == want and {"reply", "references", "index", "message", "manual", "new"} <= {h for _, h in got.values()}
 
 
+def test_threads_take_no_call_a_component(spark):
+    """Components are worked off by partition, and one subject of many mails in less than its square."""
+    s = "id long, date string, message_id string, in_reply_to string, references array<string>, index_root string, topic string, subject string, people array<string>, custodian string, manual string"
+    rows = [(i, "2020-01-01", f"m{i}", f"m{i - 1}" if i % 3 else None, [], None, None, "hi", ["a"], "c", None) for i in range(300)] + [(1000 + i, "2020-01-02", None, None, [], None, None, "weekly", [f"p{i % 2000}"], None, None) for i in range(6000)]
+    df = conversations.thread_mail(spark.createDataFrame(rows, s))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    began = time.monotonic()
+    got = {r.id: (r.cluster, r.how) for r in df.collect()}
+    assert time.monotonic() - began < 60
+    assert len(got) == 6300 and got[5] == (3, "reply") and got[3] == (3, "new") and got[1001] == (1001, "new") and got[5001] == (1001, "subject")
+
+
 def test_written_index(spark):
     from casebolt.common import Scratch
 
