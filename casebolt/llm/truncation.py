@@ -3,8 +3,9 @@
 1. Near-copies: the heads of every text, of 12, 24, 48, ... words, are signed with min-hashes of their five-word shingles in bands. A cut text
    looks with the longest of its heads for longer texts: a text and the copy it was cut from agree in that head however early the cut
    came. A pair in SHARED bands that shares at least 0.8 of the text's shingles is verified and aligned at the text's last words: where the copy goes
-   on in the same word or sentence, the text ends early. Equal texts are one candidate. The longer texts are tried until one aligns, in
-   rounds over growing parts of all texts, the first of them about PART texts of the largest band; none of its texts is left out.
+   on in the same word or sentence, the text ends early. Equal texts are one candidate. All longer texts are tried, in rounds over parts of
+   them, the first about PART texts of the largest band. Only a copy that goes on in the same word ends the search, since no other
+   copy can change that result; so none depends on the order of the parts.
 2. Field limits show as lengths at which several unlike texts of one source end without a sentence end, many more than at the lengths
    around (SPIKE times their mean), so ordinary lengths do not pass however many rows there are.
 3. The rest is scored by the terminality of its closing: how its last line is closed, and how often, over all texts, the closing word
@@ -228,7 +229,8 @@ def _align(batches):
 
 
 def aligned(feats: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """same, copy_goes_on ('' where verified copies end alike) of the texts, by hash, with a verified longer copy."""
+    """same, copies of the texts, by hash, with a verified longer copy: the different results of ends_early against all of them, or of some
+    of them with 'word', which decides by itself."""
     spark = feats.sparkSession
     # equal texts are one, under the least id
     ones = feats.where("size(bands) > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
@@ -240,7 +242,7 @@ def aligned(feats: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     asked = scratch.put(one.select("same", "doc_id", "size", F.explode(last).alias("band")).join(sizes, "band").where("longest > size").select("same", "doc_id", "size", "band", "n"))
     most = asked.agg(F.max("n")).first()[0]
     if most is None:
-        return spark.createDataFrame([], "same long, copy_goes_on string")
+        return spark.createDataFrame([], "same long, copies array<string>")
     wanted = scratch.put(asked.select("band").distinct())
     keys = scratch.put(only(keys, wanted, "left_semi", "band").select("band", F.col("doc_id").alias("copy_id"), F.col("size").alias("copy_size"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).alias("place")))
     done, low, high = [], 0.0, min(1.0, PART / most)
@@ -252,17 +254,17 @@ def aligned(feats: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         some = scratch.put(only(texts, ids, "left_semi", "doc_id"))
         both = pairs.join(some, "doc_id").join(some.select(F.col("doc_id").alias("copy_id"), F.col("text").alias("copy")), "copy_id")
         got = both.select("same", "text", "copy").mapInArrow(_align, "same long, how string")
-        done.append(scratch.put(got.groupBy("same").agg(F.max("how").alias("copy_goes_on"))))
+        done.append(scratch.put(got.distinct()))
         scratch.drop(pairs, ids, some)
         if high >= 1.0:
             break
         low, high = high, min(1.0, high * 8)
-        # the others go on with those that did not end early yet
-        asked = scratch.put(asked.join(done[-1].where("copy_goes_on <> ''").select("same"), "same", "left_anti"))
+        # the others go on with those whose result may still change
+        asked = scratch.put(asked.join(done[-1].where("how = 'word'").select("same"), "same", "left_anti"))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    return every.groupBy("same").agg(F.max("copy_goes_on").alias("copy_goes_on"))
+    return every.groupBy("same").agg(F.collect_set("how").alias("copies"))
 
 
 def field_limits(endings: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def field_limits(endings: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, form, terminality, copy_goes_on ('word', 'sentence', 'stop', 'stop, new', '' or null without a verified copy), at_limit,
+    """doc_id, form, terminality, copy_goes_on (the first of 'word', 'sentence', 'stop', 'stop, new', '' that some copy shows; null without a verified copy), at_limit,
     truncated: one row per text with content. A null source has no field limit."""
     scratch = scratch or Scratch(docs.sparkSession, "truncation")
     texts = docs.select("doc_id", "text").where("text is not null")
@@ -288,20 +290,23 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     stats = texts.select("text").mapInArrow(_word_ends, "word string, ends long, n long").join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
     stats = stats.select("word", F.col("n").alias("occurs"), (F.col("ends") / (F.col("n") + 2)).alias("terminality"))
     j = feats.drop("bands").join(stats, "word", "left").join(copies, "same", "left").join(limits, ["source", "size"], "left")
-    goes_on, at_limit, known = F.coalesce("copy_goes_on", F.lit("")), F.coalesce("at_limit", F.lit(False)), F.coalesce("terminality", F.lit(0.0))
-    in_sentence = goes_on.isin("word", "sentence")
+    at_limit, known = F.coalesce("at_limit", F.lit(False)), F.coalesce("terminality", F.lit(0.0))
+    # some copy goes on so
+    some = lambda how: F.coalesce(F.array_contains("copies", how), F.lit(False))
+    in_sentence = some("word") | some("sentence")
+    goes_on = F.coalesce(*[F.when(some(how), how) for how in ("word", "sentence", "stop", "stop, new", "")])
     short = (F.length("word") <= SHORT_WORD) & (known >= ABBREVIATION) & (F.coalesce("occurs", F.lit(0)) >= KNOWN_WORD)
     cut = (
         F.when(F.col("form") == "mark", True)
-        .when(F.col("form") == "sentence", (goes_on.isin("word", "stop")) | ((goes_on == "stop, new") & short))
+        .when(F.col("form") == "sentence", some("word") | some("stop") | (some("stop, new") & short))
         # dots may close a sentence; a cut leaves them at a limit or behind a part of a word
         .when(F.col("form") == "dots", at_limit | in_sentence | (F.coalesce("occurs", F.lit(0)) < KNOWN_WORD))
-        .when(F.col("form") == "closer", F.coalesce("exact", F.lit(False)) | (goes_on == "word"))
+        .when(F.col("form") == "closer", F.coalesce("exact", F.lit(False)) | some("word"))
         .when(at_limit | in_sentence, True)
         # a figure closes nothing by itself
         .otherwise(F.col("word").rlike("[0-9]") | (known <= OPEN_AT_MOST))
     )
-    return j.select("doc_id", "form", known.alias("terminality"), "copy_goes_on", (at_limit & (F.col("form") != "sentence")).alias("at_limit"), cut.alias("truncated"))
+    return j.select("doc_id", "form", known.alias("terminality"), goes_on.alias("copy_goes_on"), (at_limit & (F.col("form") != "sentence")).alias("at_limit"), cut.alias("truncated"))
 
 
 def found(docs: DataFrame) -> DataFrame:

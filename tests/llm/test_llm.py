@@ -453,6 +453,22 @@ def test_alignment_tries_every_copy(spark):
     assert got[501] == "sentence"
 
 
+def test_alignment_does_not_depend_on_the_parts(spark, monkeypatch):
+    """Copies that go on in another way decide by what they show, not by which of them stands in an earlier part, nor by their number."""
+    rng = random.Random(11)
+    base = [rng.choice(VOC) for _ in range(40)]
+    rest = lambda n: [rng.choice(VOC) for _ in range(n)]
+    stop = " ".join([*base, "Ledgerwise."])
+    name = " ".join(rest(60)) + "\n\nAnna Ber"
+    rows = [(1, "s", stop), (2, "s", name)] + [(10 + i, "s", " ".join([stop, "Then", *rest(8)])) for i in range(120)] + [(500, "s", stop + " and so on and on")]
+    rows += [(1000 + i, "s", " ".join([name, *rest(8)])) for i in range(120)] + [(1500, "s", name + "gmann was here and there")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for part in (1, 4, 64, 10_000):
+        monkeypatch.setattr(truncation, "PART", part)
+        got = {r.doc_id: (r.copy_goes_on, r.truncated) for r in truncation.judge(d).where("doc_id < 10").collect()}
+        assert got == {1: ("stop", True), 2: ("word", True)}, part
+
+
 def test_limits_do_not_come_by_chance(spark):
     rng = random.Random(10)
     rows = [("many", rng.randrange(100, 400), i) for i in range(20_000)] + [("many", 250, 100_000 + i) for i in range(2_000)] + [("few", 512, i) for i in range(3)] + [("few", 80 + 9 * i, 10 + i) for i in range(9)] + [(None, 5, i) for i in range(9)]
